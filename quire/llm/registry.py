@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from . import decontam
+from .decontam import op10_decontamination
 from .simhash import op9_simhash
 
-QUERIES = {"op9_simhash": op9_simhash}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op9_simhash": op9_simhash, "op10_decontamination": op10_decontamination}
+ORACLES: dict[str, str] = {"op10_decontamination": decontam.ORACLE}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam
+from . import decontam, warc
 from .decontam import op10_decontamination
+from .secrets import op7_secrets
 from .simhash import op9_simhash
+from .warc import op5_warc
 
-QUERIES = {"op9_simhash": op9_simhash, "op10_decontamination": op10_decontamination}
-ORACLES: dict[str, str] = {"op10_decontamination": decontam.ORACLE}
+QUERIES = {"op5_warc": op5_warc, "op7_secrets": op7_secrets, "op9_simhash": op9_simhash, "op10_decontamination": op10_decontamination}
+ORACLES: dict[str, str] = {"op5_warc": warc.ORACLE, "op10_decontamination": decontam.ORACLE}

@@ -40,20 +40,20 @@ def simhash(texts: pa.Array) -> pa.Array:
     return pa.array(np.array([fingerprint(bytes(data[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)], np.uint64).view(np.int64))
 
 
-def cells(prints: DataFrame) -> DataFrame:
-    """(cell, fp) for every grid point at Manhattan distance 0 or 1 from either half of a fingerprint's segment counts.
+def cells(prints: DataFrame, *others: str) -> DataFrame:
+    """(cell, fp and others) for every grid point at Manhattan distance 0 or 1 from either half of a fingerprint's segment counts.
 
     Two fingerprints at Hamming distance 4 or less differ by 2 or less in one of the halves, and Manhattan distance on segment
     counts never exceeds Hamming distance. So the counts of that half are at most 2 apart, and a grid point lies within 1 of both.
     """
     count = "(({0} & {1}L) + (shiftright({0}, 1) & {1}L))".format
-    halves = prints.select("fp", F.posexplode(F.expr("array(fp & 4294967295L, shiftrightunsigned(fp, 32))")).alias("half", "x"))
-    halves = halves.select("fp", F.expr(f"{count('x', EVEN_BITS)} + half * 4294967296L").alias("h"))
+    halves = prints.select("fp", *others, F.posexplode(F.expr("array(fp & 4294967295L, shiftrightunsigned(fp, 32))")).alias("half", "x"))
+    halves = halves.select("fp", *others, F.expr(f"{count('x', EVEN_BITS)} + half * 4294967296L").alias("h"))
     moves = ["h"]
     for j in range(SEGMENTS_OF_HALF):
         at = f"(shiftright(h, {2 * j}) & 3)"
         moves += [f"if({at} < 2, h + {1 << 2 * j}L, null)", f"if({at} > 0, h - {1 << 2 * j}L, null)"]
-    return halves.select(F.explode(F.expr(f"array_compact(array({', '.join(moves)}))")).alias("cell"), "fp")
+    return halves.select(F.explode(F.expr(f"array_compact(array({', '.join(moves)}))")).alias("cell"), "fp", *others)
 
 
 def near_components(prints: DataFrame) -> DataFrame:
@@ -63,14 +63,16 @@ def near_components(prints: DataFrame) -> DataFrame:
     component through as many rows. The full join of the cells then only looks for links between different components: every link
     is compared, but a dense group emits no quadratic number of pairs.
     """
-    grid = cells(prints)
+    grid = cells(prints).repartition("cell")
     shared = grid.groupBy("cell").agg(F.min("fp").alias("leader"), F.max("fp").alias("last")).where("leader < last").drop("last")
-    met = stored(grid.join(shared, "cell"), "cells")
-    first = met.where(f"fp != leader and bit_count(fp ^ leader) <= {DISTANCE}").select(F.col("fp").alias("u"), F.col("leader").alias("v")).distinct()
-    part = stored(components(first), "parts")
-    named = met.join(part.withColumnRenamed("node", "fp"), "fp", "left").select("cell", "fp", F.coalesce("component", "fp").alias("part"))
-    a, b = named, named.select("cell", F.col("fp").alias("fp2"), F.col("part").alias("part2"))
-    more = a.join(b, "cell").where(f"part < part2 and bit_count(fp ^ fp2) <= {DISTANCE}").select(F.col("part").alias("u"), F.col("part2").alias("v")).distinct()
+    near = (F.col("fp") != F.col("leader")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("leader"))) <= DISTANCE)
+    first = grid.withColumnRenamed("cell", "c").join(shared.hint("merge"), (F.col("c") == F.col("cell")) & near).select(F.col("fp").alias("u"), F.col("leader").alias("v"))
+    part = stored(components(first.distinct()), "parts")
+    named = prints.select("fp").join(part.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("part"))
+    named = cells(stored(named, "named-parts"), "part").repartition("cell")
+    a, b = named, named.select(F.col("cell").alias("cell2"), F.col("fp").alias("fp2"), F.col("part").alias("part2"))
+    across = (F.col("cell") == F.col("cell2")) & (F.col("part") < F.col("part2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= DISTANCE)
+    more = a.join(b.hint("merge"), across).select(F.col("part").alias("u"), F.col("part2").alias("v")).distinct()
     return components(more.unionByName(part.select(F.col("node").alias("u"), F.col("component").alias("v")))).withColumnRenamed("node", "fp")
 
 

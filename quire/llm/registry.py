@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import decontam, warc
 from .decontam import op10_decontamination
+from .line_dedup import op6_line_dedup
 from .media import op1_media
 from .pii import op2_pii
 from .toxicity import op3_toxicity
@@ -11,5 +12,5 @@ from .secrets import op7_secrets
 from .simhash import op9_simhash
 from .warc import op5_warc
 
-QUERIES = {"op1_media": op1_media, "op2_pii": op2_pii, "op3_toxicity": op3_toxicity, "op5_warc": op5_warc, "op7_secrets": op7_secrets, "op9_simhash": op9_simhash, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_media": op1_media, "op2_pii": op2_pii, "op3_toxicity": op3_toxicity, "op5_warc": op5_warc, "op6_line_dedup": op6_line_dedup, "op7_secrets": op7_secrets, "op9_simhash": op9_simhash, "op10_decontamination": op10_decontamination}
 ORACLES: dict[str, str] = {"op5_warc": warc.ORACLE, "op10_decontamination": decontam.ORACLE}

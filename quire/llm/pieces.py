@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, MOST = 3, 16
 #: Zipf-Mandelbrot shift of a piece's rank; exponent on weights (1: as they are, 0: all segmentations alike); log-probability a byte.
 SHIFT, SHARPNESS, BYTE = 20.0, 1.0, -12.0
+#: Positions of lattices that a Python worker keeps, of about 60 bytes each.
+MAX_POINTS = 2_000_000
 BLANK, LITERAL, END = "▁", "\udfff", "\udffe"
 _TYPES = re.compile("▁+[^▁\n]*|[^▁\n]+|\n")
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -91,61 +94,127 @@ class Vocabulary:
         return out
 
 
+class _Numbers(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Lattice:
-    """The lattices of distinct strings, one after another, each followed by an end position.
+    """The lattices of distinct strings, one after another, each followed by an end position; strings are added as they come.
 
-    piece[p, n - 1] is the piece of n characters at p, 0: none, -1: one character spelt in bytes. upto holds running sums of the
-    probabilities of the pieces at p, and log_p their logarithms.
+    The edges at position p are first[p] to first[p + 1], by size. An edge has its size in characters, its piece (-1: one character
+    spelt in bytes), and the logarithm of its probability there. A draw looks at the likeliest edge first, then at the others in turn.
     """
 
-    def __init__(self, vocabulary: Vocabulary, strings: list[str]) -> None:
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary, self.numbers, self.used, self.count, self.edges = vocabulary, _Numbers(), 0, 0, 0
+        self.positions = {"points": np.zeros(1 << 16, np.uint32), "first": np.zeros(1 << 16, np.int32), "best": np.zeros(1 << 16, np.int32), "likely": np.zeros(1 << 16, np.float32)}
+        self.by_edge = {"size": np.zeros(1 << 17, np.int8), "piece": np.zeros(1 << 17, np.int32), "log_p": np.zeros(1 << 17, np.float32)}
+        self.start, self.end = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    @staticmethod
+    def _room(arrays: dict[str, np.ndarray], used: int, more: int) -> None:
+        for name, old in arrays.items():
+            if used + more > len(old):
+                arrays[name] = np.zeros(max(used + more, 2 * len(old)), old.dtype)
+                arrays[name][:used] = old[:used]
+
+    def grow(self) -> None:
+        """Builds the lattices of the strings that were numbered since the last call."""
+        strings = list(islice(self.numbers, self.count, None))
+        if not strings:
+            return
+        self.count = len(self.numbers)
         points = np.frombuffer((END.join(strings) + END).encode("utf-32-le", "surrogatepass"), np.uint32)
         n = len(points)
-        self.points = points
         ends = np.nonzero(points == ord(END))[0]
-        self.start = np.append(0, ends[:-1] + 1)
-        self.end = ends
-        left = np.repeat(ends, ends - self.start + 1) - np.arange(n)
-        self.piece = np.zeros((n, MOST), np.int32)
-        score = np.full((n, MOST), -np.inf)
+        begin = np.append(0, ends[:-1] + 1)
+        left = np.repeat(ends, ends - begin + 1) - np.arange(n)
         h, at = np.zeros(n, np.uint64), np.nonzero(left > 0)[0]
         shifted = points.astype(np.uint64) + np.uint64(1)
+        parts = []
         for size in range(1, MOST + 1):
             at = at[left[at] >= size]
             if not len(at):
                 break
-            h[at] = h[at] * _B + shifted[at + size - 1]
-            found = vocabulary.find(h[at])
+            h[at] = now = h[at] * _B + shifted[at + size - 1]
+            found = self.vocabulary.find(now)
             if size == 1:
                 found[found == 0] = -1
-            hit = found != 0
-            self.piece[at[hit], size - 1] = found[hit]
-            score[at[hit], size - 1] = np.where(found[hit] > 0, vocabulary.weights[found[hit]], BYTE)
+            hit = np.nonzero(found)[0]
+            parts.append((at[hit], found[hit], np.full(len(hit), size)))
+        pos, piece, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+        w = np.where(piece > 0, self.vocabulary.weights[piece], BYTE)
         behind = np.zeros(n)
-        order = np.argsort(left, kind="stable")
-        bounds = np.searchsorted(left[order], np.arange(int(left.max(initial=0)) + 2))
-        for d in range(1, len(bounds) - 1):
-            own = order[bounds[d] : bounds[d + 1]]
-            w = min(d, MOST)
-            s = score[own, :w] + behind[own[:, None] + np.arange(1, w + 1)]
-            top = s.max(1)
-            total = top + np.log(np.exp(s - top[:, None]).sum(1))
-            behind[own] = total
-            score[own, :w] = s - total[:, None]
-        self.log_p = score
-        self.upto = np.cumsum(np.exp(score), axis=1)
-        self.last = MOST - 1 - (self.piece != 0)[:, ::-1].argmax(1)
+        back = np.argsort(left[pos] * n + pos, kind="stable")
+        b_pos, b_to, b_w = pos[back], (pos + size)[back], w[back]
+        heads = np.nonzero(np.diff(b_pos, prepend=-1))[0]
+        bounds = np.searchsorted(left[b_pos[heads]], np.arange(1, int(left.max()) + 2))
+        tails = np.append(heads, len(b_pos))
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if lo == hi:
+                continue
+            own = slice(tails[lo], tails[hi])
+            x = b_w[own] + behind[b_to[own]]
+            local = heads[lo:hi] - tails[lo]
+            top = np.maximum.reduceat(x, local)
+            behind[b_pos[heads[lo:hi]]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(tails[lo : hi + 1]))), local))
+        order = np.argsort(pos * 32 + size, kind="stable")
+        pos, piece, size, w = pos[order], piece[order], size[order], w[order]
+        log_p = w + behind[pos + size] - behind[pos]
+        p = np.exp(log_p)
+        heads = np.nonzero(np.diff(pos, prepend=-1))[0]
+        count = np.diff(np.append(heads, len(pos)))
+        top = np.maximum.reduceat(p, heads)
+        best_at = np.nonzero(p == np.repeat(top, count))[0]
+        first = np.zeros(n, np.int64)
+        first[pos[heads]] = count
+        first = np.cumsum(first) - first
+        best, likely = np.zeros(n, np.int64), np.zeros(n)
+        best[pos[best_at]] = best_at
+        likely[pos[heads]] = np.where(count == 1, 2.0, top)
+        self._room(self.positions, self.used, n + 1)
+        self._room(self.by_edge, self.edges, len(pos))
+        where, own = slice(self.used, self.used + n), slice(self.edges, self.edges + len(pos))
+        for name, x in (("points", points), ("first", first + self.edges), ("best", best + self.edges), ("likely", likely)):
+            self.positions[name][where] = x
+        for name, x in (("size", size), ("piece", piece), ("log_p", log_p)):
+            self.by_edge[name][own] = x
+        self.start, self.end = np.append(self.start, begin + self.used), np.append(self.end, ends + self.used)
+        self.used += n
+        self.edges += len(pos)
+        self.positions["first"][self.used] = self.edges
 
     def pick(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """The size, less 1, of a piece at each position, for uniform u."""
-        return np.minimum((self.upto[at] <= u[:, None]).sum(1), self.last[at])
+        """An edge at each position, for uniform u."""
+        out = self.positions["best"][at]
+        rest = np.nonzero(u >= self.positions["likely"][at])[0]
+        left = u[rest] - self.positions["likely"][at[rest]]
+        edge, stop, best = self.positions["first"][at[rest]], self.positions["first"][at[rest] + 1], out[rest]
+        while len(rest):
+            left = left - np.where(edge == best, 0.0, np.exp(self.by_edge["log_p"][edge]))
+            out[rest] = np.where(edge == best, out[rest], edge)  # the last one tried stands where rounding leaves a remainder
+            keep = ((left >= 0) | (edge == best)) & (edge + 1 < stop)
+            rest, left, edge, stop, best = rest[keep], left[keep], edge[keep] + 1, stop[keep], best[keep]
+        return out
+
+    def spread(self, at: np.ndarray) -> np.ndarray:
+        """Probabilities at few positions, by size."""
+        p, edge, stop = np.zeros((len(at), MOST)), self.positions["first"][at], self.positions["first"][at + 1]
+        for k in range(MOST):
+            own = np.nonzero(edge + k < stop)[0]
+            e = edge[own] + k
+            p[own, self.by_edge["size"][e] - 1] = np.exp(self.by_edge["log_p"][e].astype(float))
+        return p
 
     def pick_other(self, at: np.ndarray, u: np.ndarray, taken: np.ndarray) -> np.ndarray:
-        """Like pick, among pieces whose place in the rows of ``taken`` is not set."""
-        p = np.where(taken, 0.0, np.exp(self.log_p[at]))
+        """Like pick, among edges whose place by size in the rows of ``taken`` is not set."""
+        full = self.spread(at)
+        p = np.where(taken, 0.0, full)
         sums = np.cumsum(p, axis=1)
-        free = (p > 0)[:, ::-1]
-        return np.minimum((sums <= u[:, None] * sums[:, -1:]).sum(1), MOST - 1 - free.argmax(1))
+        chosen = np.minimum((sums <= u[:, None] * sums[:, -1:]).sum(1), MOST - 1 - (p > 0)[:, ::-1].argmax(1))
+        return self.positions["first"][at] + np.cumsum(full > 0, axis=1)[np.arange(len(at)), chosen] - 1
 
 
 def _uniform(seed: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -158,18 +227,18 @@ def _below(limit: np.ndarray, log_mass: np.ndarray, u: np.ndarray) -> np.ndarray
         return np.where(np.isneginf(log_mass), -np.inf, -np.logaddexp(-limit, np.log(-np.log(u)) - log_mass))
 
 
-def search(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, samples: int = SAMPLES) -> list[list[dict]]:
+def search(net: Lattice, texts: list[str], keys: np.ndarray, samples: int = SAMPLES) -> list[list[dict]]:
     """For each text up to ``samples`` distinct segmentations as dicts of ids, log_p, perturbed, log_inclusion, decoded (bytes)."""
     docs = len(texts)
-    numbers: dict[str, int] = {}
-    words, per = [], np.zeros(docs, np.int64)
+    vocabulary = net.vocabulary
+    words, per, number = [], np.zeros(docs, np.int64), net.numbers.__getitem__
     for d, t in enumerate(texts):
         own = _TYPES.findall(BLANK + t.replace(BLANK, LITERAL).replace(" ", BLANK)) if t else []
         per[d] = len(own)
-        words.extend([numbers.setdefault(w, len(numbers)) for w in own])
+        words.extend(map(number, own))
     if not words:
         return [[{"ids": np.zeros(0, np.int32), "log_p": 0.0, "perturbed": 0.0, "log_inclusion": 0.0, "decoded": b""}] for _ in texts]
-    net = Lattice(vocabulary, list(numbers))
+    net.grow()
     kind = np.array(words, np.int64)
     size = (net.end - net.start)[kind]
     word_at = np.cumsum(size) - size
@@ -237,11 +306,12 @@ def search(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, samples:
             f = np.nonzero(first)[0]
             d = word_doc[active[f]]
             n = net.pick_other(at[f], _uniform(seeds[d], place[f] - doc_at[d] + (r << 40)), taken[d])
-            piece_at[place[f]], log_at[place[f]] = net.piece[at[f], n], net.log_p[at[f], n]
+            piece_at[place[f]], log_at[place[f]] = net.by_edge["piece"][n], net.by_edge["log_p"][n]
             net_at_cut, cut_size = np.zeros(docs, np.int64), np.zeros(docs, np.int64)
-            net_at_cut[d], cut_size[d] = at[f], n + 1
-            place[f] += n + 1
-            at[f] += n + 1
+            size_f = net.by_edge["size"][n].astype(np.int64)
+            net_at_cut[d], cut_size[d] = at[f], size_f
+            place[f] += size_f
+            at[f] += size_f
         stop = net.end[kind[active]]
         while True:
             keep = at < stop
@@ -250,8 +320,9 @@ def search(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, samples:
                 break
             d = word_doc[active]
             n = net.pick(at, _uniform(seeds[d], place - doc_at[d] + (r << 40)))
-            piece_at[place], log_at[place] = net.piece[at, n], net.log_p[at, n]
-            place, at = place + n + 1, at + n + 1
+            piece_at[place], log_at[place] = net.by_edge["piece"][n], net.by_edge["log_p"][n]
+            size_n = net.by_edge["size"][n]
+            place, at = place + size_n, at + size_n
         places = np.nonzero(piece_at)[0]
         fresh_doc = np.searchsorted(doc_at, places, side="right") - 1
         pieces, logs = piece_at[places], log_at[places]
@@ -281,7 +352,7 @@ def search(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, samples:
             own = np.nonzero(live)[0]
             left = taken.copy()
             left[own, cut_size[own] - 1] = True
-            rest = np.where(left[own], 0.0, np.exp(net.log_p[net_at_cut[own]])).sum(1)
+            rest = np.where(left[own], 0.0, net.spread(net_at_cut[own])).sum(1)
             prefix = np.zeros(docs)
             hit = np.nonzero(places == cut[fresh_doc])[0]
             prefix[fresh_doc[hit]] = before[hit]
@@ -305,7 +376,7 @@ def _emit(vocabulary: Vocabulary, net: Lattice, kind: np.ndarray, word_at: np.nd
     """Spells byte fallbacks out and appends each text's segmentation."""
     odd = np.nonzero(pieces < 0)[0]
     w = np.searchsorted(word_at, places[odd], side="right") - 1
-    points = net.points[net.start[kind[w]] + places[odd] - word_at[w]]
+    points = net.positions["points"][net.start[kind[w]] + places[odd] - word_at[w]]
     spelt = [list((BLANK if c == ord(LITERAL) else chr(c)).encode()) for c in points.tolist()]
     extra = np.ones(len(pieces), np.int64)
     extra[odd] = [len(b) for b in spelt]
@@ -338,12 +409,22 @@ SEGMENTATION = StructType([StructField("ids", ArrayType(IntegerType())), StructF
 DIGEST = StructType([StructField("n_pieces", IntegerType()), StructField("ids_sha256", StringType()), *SEGMENTATION.fields[1:]])
 
 
+_KEPT: list[Lattice] = []
+
+
+def _lattice(vocabulary: Vocabulary) -> Lattice:
+    """This worker's lattice of the strings seen so far, or a new one when that has MAX_POINTS positions."""
+    if not _KEPT or _KEPT[0].used > MAX_POINTS or _KEPT[0].vocabulary.pieces is not vocabulary.pieces and _KEPT[0].vocabulary.pieces != vocabulary.pieces:
+        _KEPT[:] = [Lattice(vocabulary)]
+    return _KEPT[0]
+
+
 def _batches(texts: pa.Array, keys: pa.Array, vocabulary: Vocabulary, samples: int) -> Iterator[tuple[bytes, list[dict]]]:
     data, at = utf8(texts)
     ids = keys.fill_null(-1).to_numpy(zero_copy_only=False)
     for i, j in slices(np.diff(at)):
         raw = [bytes(data[a:b]) for a, b in zip(at[i:j], at[i + 1 : j + 1], strict=True)]
-        yield from zip(raw, search(vocabulary, [b.decode() for b in raw], ids[i:j], samples), strict=True)
+        yield from zip(raw, search(_lattice(vocabulary), [b.decode() for b in raw], ids[i:j], samples), strict=True)
 
 
 def segmentations(text: Column, key: Column, vocabulary: Vocabulary, samples: int = SAMPLES) -> Column:

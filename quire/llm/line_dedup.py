@@ -266,17 +266,21 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with ``text`` without the lines that repeat an earlier one or nearly so, ``n_dropped`` and ``n_links``.
 
     Null texts stay null, and texts without such lines stay as they are. Of repeated rows with equal id and text all keep or lose the
-    same lines.
+    same lines. Columns of docs named like the new ones are replaced.
     """
     session(docs)
     per = line_classes(docs).where("not kept or n_links > 0").groupBy("doc_id", "text_key").agg(F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("gone"), F.sum("n_links").alias("n_links"))
-    per = stored(per.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}), "lines-gone")
-    out = docs.withColumn("_at", F.xxhash64("text")).join(small_side(per), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_key")), "left")
-    cut = F.split("text", "\n")
-    kept = F.expr("array_join(transform(filter(transform(split(text, '\\n'), (x, i) -> struct(x, i)), p -> not array_contains(gone, p.i)), p -> p.x), '\\n')")
-    text = F.when(F.size("gone") > 0, kept).otherwise(F.col("text"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(cut))
-    return out.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns), n_lines.alias("n_lines"), F.coalesce(F.when(F.size("gone") > 0, F.size("gone")), F.lit(0)).alias("n_dropped"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    per = stored(per.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("gone").alias("__gone"), F.col("n_links").alias("__links")), "lines-gone")
+    own = docs["doc_id"].eqNullSafe(per["__id"]) & (F.xxhash64(docs["text"]) == per["__key"])
+    out = docs.join(small_side(per), own, "left")
+    kept = F.expr("array_join(transform(filter(transform(split(text, '\\n'), (x, i) -> struct(x, i)), p -> not array_contains(__gone, p.i)), p -> p.x), '\\n')")
+    text = F.when(F.size("__gone") > 0, kept).otherwise(F.col("text"))
+    new = {
+        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))),
+        "n_dropped": F.coalesce(F.when(F.size("__gone") > 0, F.size("__gone")), F.lit(0)),
+        "n_links": F.coalesce("__links", F.lit(0)),
+    }
+    return out.select(*(text.alias(c) if c == "text" else docs[c] for c in docs.columns if c not in new), *(x.alias(n) for n, x in new.items()))
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -252,8 +252,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Mode
 SCORED = StructType([StructField("score", DoubleType()), StructField("predicted", IntegerType())])
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
-    """docs with a struct column ``toxicity`` (score, predicted). Null and empty texts get the score of a text without matches;
+def score_documents(docs: DataFrame, labels: DataFrame, model: Model | None = None, name: str = "toxicity") -> DataFrame:
+    """docs with a struct column ``name`` (score, predicted). Null and empty texts get the score of a text without matches;
     repeated rows get equal scores; labels without documents, and unlabelled or empty tables, leave the seeds and fixed weights."""
     session(docs)
     model = model or train(docs, labels)
@@ -263,7 +263,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, model: Model | None = No
         scores = [model.score(t) for t in _batch(texts)]
         return pa.array([{"score": s, "predicted": int(s >= 0.5)} for s in scores], pa.struct([("score", pa.float64()), ("predicted", pa.int32())]))
 
-    return docs.withColumn("toxicity", scored("text"))
+    return docs.withColumn(name, scored("text"))
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -273,4 +273,5 @@ def op3_toxicity(spark, sf_dir: str) -> DataFrame:
 
 def acceptable(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those predicted toxic."""
-    return score_documents(docs, labels).where("toxicity.predicted = 0").drop("toxicity")
+    scored = score_documents(docs, labels, name="__toxicity")
+    return scored.where("__toxicity.predicted = 0").select(*(scored[c] for c in docs.columns))

@@ -1 +1 @@
-"""Part of the document translation dataflow."""
+"""Column functions; every one is a JVM expression."""

@@ -1 +1 @@
-"""Part of the document translation dataflow."""
+"""Readers and writers of documents; Python is confined to the parsing and building of files."""

@@ -1 +1 @@
-"""Part of the document translation dataflow."""
+"""An extension: files that arrive over time join the translation cache once each."""

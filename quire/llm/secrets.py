@@ -12,12 +12,13 @@ from .common import session
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}+", r"[0-9a-f]{24,}+"
 #: Strings that the models judge: unbroken runs of an alphabet that keys and tokens are written in.
-CANDIDATE, LEAST_CHARS = r"[A-Za-z0-9+/_-]{20,}+", 20
+CANDIDATE, LEAST_CHARS = r"[A-Za-z0-9_-]{20,}+", 20
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 #: The models are fitted on the documents whose hashed ids are the smallest, so many of them at most.
 SAMPLE_DOCS = 4_000
-#: Smoothing counts for a pair of characters, and the log-likelihood ratio a character that marks a string as random.
-RANDOM_PRIOR, WORD_PRIOR, MARGIN = 2.0, 0.02, 0.7
+#: Share of equal chances in the random model, weight of single characters' chances in the words' model, and the mean log-likelihood
+#: ratio of a pair of characters that marks a string as random.
+EQUAL, BACKOFF, MARGIN = 0.5, 5.0, 3.0
 
 
 def _spans(text: str, pattern: str, kind: str, order: int, guard: str, keep: str) -> Column:
@@ -51,21 +52,36 @@ def _pairs(strings: DataFrame) -> dict[tuple[int, int], int]:
 def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> list[float]:
     """Log-likelihood ratios of character pairs, row by row; place 0 is any character outside the alphabet.
 
-    Labelled samples: what follows the assignments, keys and hex strings that the fixed patterns find is random; the other words
-    of the same documents are ordinary. Random strings are smoothed towards equal chances, so that hex digits alone do not define them.
+    Labelled samples: what follows the assignments, keys and hex strings that the fixed patterns find is random; the other words of
+    the same documents, too short to be candidates, are ordinary. The random model is half what it saw and half equal chances, so that
+    hex digits alone do not define it; the words' model falls back on how frequent a character is in words.
     """
-    t = docs.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(sample)
+    place = F.xxhash64("doc_id", "text")
+    last = docs.select(place.alias("h")).distinct().orderBy("h").limit(sample).agg(F.max("h").alias("h")).first().h  # hashes alone are sorted
+    t = docs.select(F.coalesce("text", F.lit("")).alias("t"), place.alias("h")).where(F.lit(False) if last is None else F.col("h") <= last).groupBy("h").agg(F.min("t").alias("t"))
     found = t.select("t", base_spans().alias("b"))
     value = F.when(F.col("x.k") == "assign", F.regexp_extract("x.m", ASSIGN, 2)).otherwise(F.col("x.m"))
     secret = found.select(F.explode("b").alias("x")).select(value.alias("s"))
-    plain = found.select(F.explode(F.expr(f"regexp_extract_all(t, r'(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{4,}}', 0)")).alias("s"), "b").where("not exists(b, x -> contains(x.m, s))").select("s")
-    models, n = [], len(ALPHABET)
-    for counts, prior in ((_pairs(secret), RANDOM_PRIOR), (_pairs(plain), WORD_PRIOR)):
-        sums: dict[int, float] = {}
-        for (a, _), c in counts.items():
-            sums[a] = sums.get(a, 0) + c
-        models.append(lambda a, b, counts=counts, sums=sums, prior=prior: math.log((counts.get((a, b), 0) + prior) / (sums.get(a, 0) + prior * (n + 1))))
-    return [round(models[0](a, b) - models[1](a, b), 3) for a in range(n + 1) for b in range(n + 1)]
+    word = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{4,{LEAST_CHARS - 1}}}+(?![A-Za-z0-9+/_-])"
+    plain = found.select(F.explode(F.regexp_extract_all("t", F.lit(word), F.lit(0))).alias("s"), "b").where("not exists(b, x -> contains(x.m, s))").select("s")
+    n = len(ALPHABET) + 1
+
+    def rows(pairs: dict[tuple[int, int], int]) -> tuple[dict[int, int], dict[int, int], int]:
+        first: dict[int, int] = {}
+        second: dict[int, int] = {}
+        for (a, b), c in pairs.items():
+            first[a], second[b] = first.get(a, 0) + c, second.get(b, 0) + c
+        return first, second, sum(pairs.values())
+
+    random, words = _pairs(secret), _pairs(plain)
+    (r_first, _, _), (w_first, w_second, w_all) = rows(random), rows(words)
+
+    def ratio(a: int, b: int) -> float:
+        p_random = EQUAL / n + (1 - EQUAL) * (random.get((a, b), 0) / r_first[a] if a in r_first else 1 / n)
+        p_single = (w_second.get(b, 0) + 0.5) / (w_all + 0.5 * n)
+        return math.log(p_random) - math.log((words.get((a, b), 0) + BACKOFF * p_single) / (w_first.get(a, 0) + BACKOFF))
+
+    return [round(ratio(a, b), 3) for a in range(n) for b in range(n)]
 
 
 def model_spans(ratios: list[float], text: str = "t", base: str = "base") -> Column:
@@ -75,7 +91,7 @@ def model_spans(ratios: list[float], text: str = "t", base: str = "base") -> Col
     place = "locate(substr(x.m, i, 1), '" + ALPHABET + "')"
     score = f"aggregate(sequence(1, length(x.m) - 1), 0D, (a, i) -> a + element_at({table}, {place} * {n} + {place.replace('(x.m, i', '(x.m, i + 1')} + 1))"
     free = f"not exists({base}, b -> b.s < x.e and x.s < b.e)"
-    return _spans(text, CANDIDATE, "random", 3, f"{text} rlike r'[A-Za-z0-9+/_-]{{{LEAST_CHARS}}}'", f"{free} and {score} > {MARGIN} * (length(x.m) - 1)")
+    return _spans(text, CANDIDATE, "random", 3, f"{text} rlike r'[A-Za-z0-9_-]{{{LEAST_CHARS}}}'", f"{free} and {score} > {MARGIN} * (length(x.m) - 1)")
 
 
 def scan(docs: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:

@@ -21,7 +21,7 @@ from .common import components, lookup_skewed, session, slices, small_side, stor
 #: Lines of fewer code points are left alone. Lines at most EDITS insertions, deletions and substitutions apart are links.
 LEAST_CHARS, EDITS = 30, 2
 #: Lines whose keys a task remembers having sent, and rows that it matches at once.
-REMEMBERED, ROWS_AT_ONCE, BLOCK = 1_000_000, 400_000, 2_048
+REMEMBERED, ROWS_AT_ONCE, BLOCK = 300_000, 400_000, 2_048
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))

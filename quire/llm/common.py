@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -17,14 +19,14 @@ HOT_SHARE = 1 / 500
 #: Largest table that is broadcast, after its rows and bytes have been counted.
 BROADCAST_BYTES = 48 << 20
 #: Bytes of text that a Python worker takes at once.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 def session(df: DataFrame) -> SparkSession:
     """The session, with Arrow batches that hold few enough rows for long texts."""
     spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 1000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 500:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     return spark
 
 
@@ -105,8 +107,24 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+_TRIMMED = [0.0]
+
+
+def trim(after: float = 1.0) -> None:
+    """Gives freed memory back to the system, at most once in so many seconds: Python workers live on from stage to stage."""
+    now = time.monotonic()
+    if now - _TRIMMED[0] >= after:
+        _TRIMMED[0] = now
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+
 def utf8(column: pa.Array) -> tuple[memoryview, np.ndarray]:
     """The bytes of a string column and where each row's start; nulls are empty."""
+    trim()
     column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1 + column.offset)[column.offset :] if len(column) else np.zeros(1, np.int64)
     data = memoryview(column.buffers()[2]) if column.buffers()[2] is not None else memoryview(b"")
@@ -123,3 +141,4 @@ def slices(sizes: np.ndarray, limit: int = BATCH_BYTES) -> Iterator[tuple[int, i
         total += n
     if start < len(sizes):
         yield start, len(sizes)
+    trim()

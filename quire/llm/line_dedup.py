@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import components, lookup_skewed, session, slices, small_side, stored, utf8
+from .common import components, lookup_skewed, session, slices, small_side, stored, trim, utf8
 
 #: Lines of fewer code points are left alone. Lines at most EDITS insertions, deletions and substitutions apart are links.
 LEAST_CHARS, EDITS = 30, 2
+#: Bytes of text whose keys are made at once, in arrays of 8 bytes a character.
+SEND_BYTES = 512 << 10
 #: Lines whose keys a task remembers having sent, and rows that it matches at once.
-REMEMBERED, ROWS_AT_ONCE, BLOCK = 300_000, 400_000, 2_048
+REMEMBERED, ROWS_AT_ONCE, BLOCK = 300_000, 200_000, 2_048
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -101,7 +103,7 @@ def _send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for batch in batches:
         data, offsets = utf8(batch.column(0))
-        for i, j in slices(np.diff(offsets)):
+        for i, j in slices(np.diff(offsets), SEND_BYTES):
             fresh: dict[int, str] = {}
             for a, b in zip(offsets[i:j], offsets[i + 1 : j + 1], strict=True):
                 for line in bytes(data[a:b]).split(b"\n"):
@@ -115,6 +117,8 @@ def _send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = np.fromiter(fresh, np.uint64, len(fresh)).view(np.int64)
             who, keys, own, signs = line_keys(list(fresh.values()))
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[who]), pa.array(signs.view(np.int64)[who]), pa.array(own)], ["key", "line", "sign", "own"])
+    del seen
+    trim(0)
 
 
 def _close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -180,6 +184,8 @@ def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             more = max(ROWS_AT_ONCE, 2 * count)
     if held:
         yield from work(True)
+    held.clear()
+    trim(0)
 
 
 def within(a: list[str], b: list[str], edits: int = EDITS) -> np.ndarray:

@@ -26,12 +26,14 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, MOST = 3, 16
 #: Zipf-Mandelbrot shift of a piece's rank; exponent on weights (1: as they are, 0: all segmentations alike); log-probability a byte.
 SHIFT, SHARPNESS, BYTE = 20.0, 1.0, -12.0
-#: Positions of lattices that a Python worker keeps, of about 60 bytes each.
-MAX_POINTS = 2_000_000
+#: Positions of lattices that a Python worker keeps, of about 130 bytes each with their strings.
+MAX_POINTS = 1_000_000
+#: Bytes of text that are searched at once: few enough for the arrays to stay in the processor's cache.
+SEARCH_BYTES = 512 << 10
 BLANK, LITERAL, END = "▁", "\udfff", "\udffe"
 _TYPES = re.compile("▁+[^▁\n]*|[^▁\n]+|\n")
-_B = np.uint64(0x9E3779B97F4A7C15)
-_SLOTS = 22
+_B, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_SLOTS = 20
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -64,7 +66,7 @@ class Vocabulary:
             for c in self.pieces[i]:
                 h = (h * int(_B) + ord(c) + 1) & (1 << 64) - 1
             hashes[i] = h
-        mixed = _mixed(hashes)
+        mixed = hashes * _SPREAD
         self.hashes, self.first, self.second = hashes, np.zeros(1 << _SLOTS, np.int32), {}
         for i in plain:
             slot = int(mixed[i] >> np.uint64(64 - _SLOTS))
@@ -84,7 +86,7 @@ class Vocabulary:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The piece of each hash, 0 where there is none (id 0 is the unknown piece)."""
-        got = self.first[_mixed(h) >> np.uint64(64 - _SLOTS)]
+        got = self.first[(h * _SPREAD) >> np.uint64(64 - _SLOTS)]
         out = np.where((got > 0) & (self.hashes[got] == h), got, 0)
         if len(self.more):
             rest = np.nonzero((got > 0) & (out == 0))[0]
@@ -104,13 +106,13 @@ class Lattice:
     """The lattices of distinct strings, one after another, each followed by an end position; strings are added as they come.
 
     The edges at position p are first[p] to first[p + 1], by size. An edge has its size in characters, its piece (-1: one character
-    spelt in bytes), and the logarithm of its probability there. A draw looks at the likeliest edge first, then at the others in turn.
+    spelt in bytes), and the logarithms of its probability there and of that of all others together. A draw looks at the likeliest edge first, then at the others in turn.
     """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary, self.numbers, self.used, self.count, self.edges = vocabulary, _Numbers(), 0, 0, 0
         self.positions = {"points": np.zeros(1 << 16, np.uint32), "first": np.zeros(1 << 16, np.int32), "best": np.zeros(1 << 16, np.int32), "likely": np.zeros(1 << 16, np.float32)}
-        self.by_edge = {"size": np.zeros(1 << 17, np.int8), "piece": np.zeros(1 << 17, np.int32), "log_p": np.zeros(1 << 17, np.float32)}
+        self.by_edge = {"size": np.zeros(1 << 17, np.int8), "piece": np.zeros(1 << 17, np.int32), "log_p": np.zeros(1 << 17, np.float32), "other": np.zeros(1 << 17, np.float32)}
         self.start, self.end = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     @staticmethod
@@ -131,27 +133,34 @@ class Lattice:
         ends = np.nonzero(points == ord(END))[0]
         begin = np.append(0, ends[:-1] + 1)
         left = np.repeat(ends, ends - begin + 1) - np.arange(n)
-        h, at = np.zeros(n, np.uint64), np.nonzero(left > 0)[0]
+        at = np.nonzero(left > 0)[0]
+        h = np.zeros(len(at), np.uint64)
         shifted = points.astype(np.uint64) + np.uint64(1)
-        parts = []
+        grid = np.zeros((n, MOST), np.int16 if len(self.vocabulary.pieces) < 1 << 15 else np.int32)
         for size in range(1, MOST + 1):
-            at = at[left[at] >= size]
+            if size > 1:
+                keep = left[at] >= size
+                at, h = at[keep], h[keep]
             if not len(at):
                 break
-            h[at] = now = h[at] * _B + shifted[at + size - 1]
-            found = self.vocabulary.find(now)
+            h = h * _B + shifted[at + size - 1]
+            found = self.vocabulary.find(h)
             if size == 1:
                 found[found == 0] = -1
-            hit = np.nonzero(found)[0]
-            parts.append((at[hit], found[hit], np.full(len(hit), size)))
-        pos, piece, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+            grid[at, size - 1] = found
+        cell = np.flatnonzero(grid)
+        piece, pos, size = grid.ravel()[cell].astype(np.int32), (cell // MOST).astype(np.int32), (cell % MOST + 1).astype(np.int32)
+        total = len(cell)
+        count = np.bincount(pos, minlength=n)
+        first = np.append(0, np.cumsum(count))
         w = np.where(piece > 0, self.vocabulary.weights[piece], BYTE)
         behind = np.zeros(n)
-        back = np.argsort(left[pos] * n + pos, kind="stable")
+        away = left[pos]
+        back = np.argsort(away.astype(np.uint16) if int(left.max()) < 1 << 16 else away, kind="stable")
         b_pos, b_to, b_w = pos[back], (pos + size)[back], w[back]
         heads = np.nonzero(np.diff(b_pos, prepend=-1))[0]
-        bounds = np.searchsorted(left[b_pos[heads]], np.arange(1, int(left.max()) + 2))
-        tails = np.append(heads, len(b_pos))
+        bounds = np.searchsorted(away[back[heads]], np.arange(1, int(left.max()) + 2))
+        tails = np.append(heads, total)
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if lo == hi:
                 continue
@@ -159,27 +168,27 @@ class Lattice:
             x = b_w[own] + behind[b_to[own]]
             local = heads[lo:hi] - tails[lo]
             top = np.maximum.reduceat(x, local)
-            behind[b_pos[heads[lo:hi]]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(tails[lo : hi + 1]))), local))
-        order = np.argsort(pos * 32 + size, kind="stable")
-        pos, piece, size, w = pos[order], piece[order], size[order], w[order]
-        log_p = w + behind[pos + size] - behind[pos]
+            behind[b_pos[heads[lo:hi]]] = top + np.log(np.add.reduceat(np.exp((x - np.repeat(top, np.diff(tails[lo : hi + 1]))).astype(np.float32)), local))
+        log_p = (w + behind[pos + size] - behind[pos]).astype(np.float32)
         p = np.exp(log_p)
-        heads = np.nonzero(np.diff(pos, prepend=-1))[0]
-        count = np.diff(np.append(heads, len(pos)))
+        heads = first[:-1][count > 0]
         top = np.maximum.reduceat(p, heads)
-        best_at = np.nonzero(p == np.repeat(top, count))[0]
-        first = np.zeros(n, np.int64)
-        first[pos[heads]] = count
-        first = np.cumsum(first) - first
+        best_at = np.nonzero(p == np.repeat(top, count[count > 0]))[0]
         best, likely = np.zeros(n, np.int64), np.zeros(n)
         best[pos[best_at]] = best_at
-        likely[pos[heads]] = np.where(count == 1, 2.0, top)
+        likely[count > 0] = np.where(count[count > 0] == 1, 2.0, top)
+        first = first[:-1]
         self._room(self.positions, self.used, n + 1)
         self._room(self.by_edge, self.edges, len(pos))
         where, own = slice(self.used, self.used + n), slice(self.edges, self.edges + len(pos))
         for name, x in (("points", points), ("first", first + self.edges), ("best", best + self.edges), ("likely", likely)):
             self.positions[name][where] = x
-        for name, x in (("size", size), ("piece", piece), ("log_p", log_p)):
+        with np.errstate(divide="ignore"):
+            other = np.log1p(-np.minimum(p, np.float32(0.999)))
+            # The likeliest edge may leave less than its own rounding error, so the others there are summed.
+            p[best[count > 0]] = 0
+            other[best[count > 0]] = np.log(np.add.reduceat(p, heads))
+        for name, x in (("size", size), ("piece", piece), ("log_p", log_p), ("other", other)):
             self.by_edge[name][own] = x
         self.start, self.end = np.append(self.start, begin + self.used), np.append(self.end, ends + self.used)
         self.used += n
@@ -218,7 +227,7 @@ class Lattice:
 
 
 def _uniform(seed: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return ((_mixed(seed + _mixed(count.astype(np.uint64) + np.uint64(1))) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+    return ((_mixed(seed + (count.astype(np.uint64) + np.uint64(1)) * _B) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
 def _below(limit: np.ndarray, log_mass: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -250,51 +259,45 @@ def search(net: Lattice, texts: list[str], keys: np.ndarray, samples: int = SAMP
     seeds = _mixed(keys.astype(np.int64).view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
 
     live = chars > 0
-    cut, parent = doc_at.copy(), np.full(docs, -1)
-    with np.errstate(divide="ignore"):
-        now = np.where(live, -np.log(-np.log(_uniform(seeds, np.full(docs, 1 << 62)))), -np.inf)
-    taken_at, taken = np.full(docs, -1), np.zeros((docs, MOST), bool)
-    paths: list[tuple] = []  # per round: edges' places, pieces, log-probabilities, maxima of their sets, first edge of each text
-    special: list[tuple] = []  # sets that were opened before: per round arrays over texts
+    cut, base = doc_at.copy(), np.zeros(docs)
+    now = np.where(live, -np.log(-np.log(_uniform(seeds, np.full(docs, 1 << 62)))), -np.inf)
+    taken = np.zeros((docs, MOST), bool)
+    heads: list[tuple[np.ndarray, bytes]] = [(np.zeros(0, np.int32), b"")] * docs
+    paths: list[_Path] = []
+    special: list[dict] = []  # sets that were opened before, by round: what is left of them
     out: list[list[dict]] = [[] for _ in texts]
     for r in range(samples + 1):
         if r:
-            best, parent, cut, which = np.full(docs, -np.inf), np.full(docs, -1), doc_at.copy(), np.full(docs, -1)
-            for q, (places, _, _, maxima, firsts) in enumerate(paths):
-                m = np.maximum.reduceat(np.append(maxima, -np.inf), np.minimum(firsts[:-1], len(maxima)))
-                m[firsts[:-1] == firsts[1:]] = -np.inf
+            best, parent, which = np.full(docs, -np.inf), np.full(docs, -1), np.full(docs, -1)
+            for q, path in enumerate(paths):
+                m = path.largest()
                 better = m > best
                 best[better], parent[better], which[better] = m[better], q, -1
-            for q, s in enumerate(special):
-                better = s["best"] > best
-                best[better], parent[better], which[better] = s["best"][better], s["parent"][better], q
+            for q, left in enumerate(special):
+                better = left["best"] > best
+                best[better], which[better] = left["best"][better], q
             live = np.isfinite(best)
             if r == samples or not live.any():
-                for d, found in enumerate(out):
-                    for x in found:
-                        gap = x["log_p"] - best[d] if np.isfinite(best[d]) else np.inf
-                        x["log_inclusion"] = 0.0 if gap > 30 else float(np.log(-np.expm1(-np.exp(gap)))) if gap > -30 else float(gap)
                 break
             now = best
-            edge = np.full(docs, -1)
             taken[:] = False
-            for q, (places, pieces, _, maxima, firsts) in enumerate(paths):
+            heads = list(heads)
+            for q, path in enumerate(paths):
                 own = np.nonzero(live & (which < 0) & (parent == q))[0]
                 if len(own):
-                    doc_of = np.repeat(np.arange(docs), np.diff(firsts))
-                    hits = np.nonzero(maxima == best[doc_of])[0]
-                    hits = hits[np.isin(doc_of[hits], own)]
-                    edge[doc_of[hits[::-1]]] = hits[::-1]
-                    cut[own] = places[edge[own]]
-                    maxima[edge[own]] = -np.inf
-                    taken[own, _sizes(places, edge[own], firsts, own, doc_at, chars) - 1] = True
-            for q, s in enumerate(special):
+                    edge = path.open(own, best)
+                    cut[own], base[own] = path.places[edge], path.before[edge]
+                    taken[own, net.by_edge["size"][path.edges[edge]] - 1] = True
+                    for d, n_ids, n_bytes in zip(own.tolist(), path.id_at[edge].tolist(), path.byte_at[edge].tolist(), strict=True):
+                        heads[d] = (path.ids[d][: n_ids + path.id_base[d]], path.data[d][: n_bytes + path.byte_base[d]])
+            for q, left in enumerate(special):
                 own = np.nonzero(live & (which == q))[0]
-                cut[own], taken[own] = s["cut"][own], s["taken"][own]
-                s["best"][own] = -np.inf
-            taken_at = np.where(live, cut, -1)
+                cut[own], base[own], taken[own] = left["cut"][own], left["base"][own], left["taken"][own]
+                left["best"][own] = -np.inf
+                for d in own.tolist():
+                    heads[d] = left["heads"][d]
         # Draw the rest of each text from its cut on: first the piece at the cut, then word by word.
-        piece_at, log_at = np.zeros(total, np.int32), np.zeros(total)
+        edge_at = np.zeros(total, np.int32)  # one more than the edge that starts at a character
         word_cut = np.searchsorted(word_at, cut, side="right") - 1
         begin = np.where(np.arange(len(kind)) > word_cut[word_doc], 0, -1)
         own_words = word_cut[live]
@@ -302,11 +305,10 @@ def search(net: Lattice, texts: list[str], keys: np.ndarray, samples: int = SAMP
         active = np.nonzero((begin >= 0) & live[word_doc])[0]
         place, at = word_at[active] + begin[active], net.start[kind[active]] + begin[active]
         if r:
-            first = taken_at[word_doc[active]] == place
-            f = np.nonzero(first)[0]
+            f = np.nonzero(place == cut[word_doc[active]])[0]
             d = word_doc[active[f]]
             n = net.pick_other(at[f], _uniform(seeds[d], place[f] - doc_at[d] + (r << 40)), taken[d])
-            piece_at[place[f]], log_at[place[f]] = net.by_edge["piece"][n], net.by_edge["log_p"][n]
+            edge_at[place[f]] = n + 1
             net_at_cut, cut_size = np.zeros(docs, np.int64), np.zeros(docs, np.int64)
             size_f = net.by_edge["size"][n].astype(np.int64)
             net_at_cut[d], cut_size[d] = at[f], size_f
@@ -320,89 +322,102 @@ def search(net: Lattice, texts: list[str], keys: np.ndarray, samples: int = SAMP
                 break
             d = word_doc[active]
             n = net.pick(at, _uniform(seeds[d], place - doc_at[d] + (r << 40)))
-            piece_at[place], log_at[place] = net.by_edge["piece"][n], net.by_edge["log_p"][n]
+            edge_at[place] = n + 1
             size_n = net.by_edge["size"][n]
             place, at = place + size_n, at + size_n
-        places = np.nonzero(piece_at)[0]
-        fresh_doc = np.searchsorted(doc_at, places, side="right") - 1
-        pieces, logs = piece_at[places], log_at[places]
-        n_new = np.bincount(fresh_doc, minlength=docs)
-        if r:  # the part before the cut is the parent's
-            parts = [(places, pieces, logs, fresh_doc, np.ones(len(places), bool))]
-            for q, (p_places, p_pieces, p_logs, _, firsts) in enumerate(paths):
-                doc_of = np.repeat(np.arange(docs), np.diff(firsts))
-                keep = live[doc_of] & (parent[doc_of] == q) & (p_places < cut[doc_of])
-                parts.append((p_places[keep], p_pieces[keep], p_logs[keep], doc_of[keep], np.zeros(int(keep.sum()), bool)))
-            places, pieces, logs, fresh_doc, new = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(places, kind="stable")
-            places, pieces, logs, fresh_doc, new = places[order], pieces[order], logs[order], fresh_doc[order], new[order]
-        else:
-            new = np.ones(len(places), bool)
-        firsts = np.append(0, np.cumsum(np.bincount(fresh_doc, minlength=docs)))
-        sums = np.append(0.0, np.cumsum(logs))
-        before = sums[:-1] - sums[firsts[fresh_doc]]
-        with np.errstate(divide="ignore"):
-            other = np.log(np.maximum(0.0, -np.expm1(logs)))
-        mass = np.where(other > -34, before + other, -np.inf)
+        places = np.nonzero(edge_at)[0]
+        edges = edge_at[places] - 1
+        firsts = np.append(np.searchsorted(places, doc_at), len(places))
+        doc_of = np.repeat(np.arange(docs), np.diff(firsts))
+        sums = np.append(0.0, np.cumsum(net.by_edge["log_p"][edges], dtype=float))
+        before = sums[:-1] + (base - sums[firsts[:-1]])[doc_of]
+        mass = before + net.by_edge["other"][edges]
         maxima = np.full(len(places), -np.inf)
-        grow = np.nonzero(new & ((places != cut[fresh_doc]) if r else True) & np.isfinite(mass))[0]
-        dg = fresh_doc[grow]
+        grow = np.nonzero(((places != cut[doc_of]) if r else True) & np.isfinite(mass))[0]
+        dg = doc_of[grow]
         maxima[grow] = _below(now[dg], mass[grow], _uniform(seeds[dg], places[grow] - doc_at[dg] + (r << 40) + (1 << 39)))
         if r:
             own = np.nonzero(live)[0]
             left = taken.copy()
             left[own, cut_size[own] - 1] = True
             rest = np.where(left[own], 0.0, net.spread(net_at_cut[own])).sum(1)
-            prefix = np.zeros(docs)
-            hit = np.nonzero(places == cut[fresh_doc])[0]
-            prefix[fresh_doc[hit]] = before[hit]
             new_best = np.full(docs, -np.inf)
             with np.errstate(divide="ignore"):
-                new_best[own] = _below(now[own], np.where(rest > 1e-15, prefix[own] + np.log(rest), -np.inf), _uniform(seeds[own], np.full(len(own), (1 << 61) + r)))
-            special.append({"best": new_best, "parent": np.full(docs, r), "cut": cut.copy(), "taken": left})
-        paths.append((places, pieces, logs, maxima, firsts))
-        _emit(vocabulary, net, kind, word_at, places, pieces, firsts, sums, live if r else np.ones(docs, bool), now, out)
+                new_best[own] = _below(now[own], np.where(rest > 1e-15, base[own] + np.log(rest), -np.inf), _uniform(seeds[own], np.full(len(own), (1 << 61) + r)))
+            special.append({"best": new_best, "cut": cut.copy(), "base": base.copy(), "taken": left, "heads": heads})
+        path = _Path(places, edges, before, maxima, firsts)
+        path.spell(net, kind, word_at, heads, live if r else np.ones(docs, bool))
+        paths.append(path)
+        log_p = base + sums[firsts[1:]] - sums[firsts[:-1]]
+        for d in np.nonzero(live if r else np.ones(docs, bool))[0].tolist():
+            out[d].append({"ids": path.ids[d], "log_p": float(log_p[d]), "perturbed": float(now[d]) if chars[d] else 0.0, "log_inclusion": 0.0, "decoded": path.data[d][1:]})
+    for d, found in enumerate(out):  # the largest maximum left is the threshold that the emitted ones exceed
+        for x in found:
+            gap = x["log_p"] - best[d] if np.isfinite(best[d]) else np.inf
+            x["log_inclusion"] = 0.0 if gap > 30 else float(np.log(-np.expm1(-np.exp(gap)))) if gap > -30 else float(gap)
     return out
 
 
-def _sizes(places: np.ndarray, edge: np.ndarray, firsts: np.ndarray, own: np.ndarray, doc_at: np.ndarray, chars: np.ndarray) -> np.ndarray:
-    """Number of characters of edges: up to the next one or the text's end."""
-    last = edge + 1 == firsts[own + 1]
-    follow = np.where(last, doc_at[own] + chars[own], places[np.minimum(edge + 1, len(places) - 1)])
-    return follow - places[edge]
-
-
-def _emit(vocabulary: Vocabulary, net: Lattice, kind: np.ndarray, word_at: np.ndarray, places: np.ndarray, pieces: np.ndarray, firsts: np.ndarray, sums: np.ndarray, live: np.ndarray, now: np.ndarray, out: list[list[dict]]) -> None:
-    """Spells byte fallbacks out and appends each text's segmentation."""
-    odd = np.nonzero(pieces < 0)[0]
-    w = np.searchsorted(word_at, places[odd], side="right") - 1
-    points = net.positions["points"][net.start[kind[w]] + places[odd] - word_at[w]]
-    spelt = [list((BLANK if c == ord(LITERAL) else chr(c)).encode()) for c in points.tolist()]
-    extra = np.ones(len(pieces), np.int64)
-    extra[odd] = [len(b) for b in spelt]
-    ids = np.repeat(pieces, extra)
-    at = np.append(0, np.cumsum(extra))
-    if len(odd):
-        ids[np.concatenate([np.arange(at[o], at[o + 1]) for o in odd.tolist()])] = [vocabulary.bytes[b] for bs in spelt for b in bs]
-    decoded = decode(vocabulary, ids, at[firsts])
-    for d in np.nonzero(live)[0].tolist():
-        a, b = firsts[d], firsts[d + 1]
-        out[d].append({"ids": ids[at[a] : at[b]], "log_p": float(sums[b] - sums[a]), "perturbed": float(now[d]) if b > a else 0.0, "log_inclusion": 0.0, "decoded": decoded[d]})
-
-
-def decode(vocabulary: Vocabulary, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """The bytes of each run of ids between bounds, with blanks restored and the one that encoding puts in front removed."""
+class _Path:
+    """The edges that one round drew for each text, from its cut on, with the log-probability before each edge and the maximum of the
+    segmentations that agree up to it and then differ; and, spelt out by text, all ids and bytes, those before the cut included."""
+
+    def __init__(self, places: np.ndarray, edges: np.ndarray, before: np.ndarray, maxima: np.ndarray, firsts: np.ndarray) -> None:
+        self.places, self.edges, self.before, self.maxima, self.firsts = places, edges, before, maxima, firsts
+
+    def largest(self) -> np.ndarray:
+        a, b = self.firsts[:-1], self.firsts[1:]
+        m = np.maximum.reduceat(np.append(self.maxima, -np.inf), np.minimum(a, len(self.maxima)))
+        m[a == b] = -np.inf
+        return m
+
+    def open(self, docs: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """The edges that hold the texts' largest maxima, which are taken away."""
+        mine = np.full(len(self.firsts) - 1, np.inf)
+        mine[docs] = best[docs]
+        hits = np.nonzero(self.maxima == np.repeat(mine, np.diff(self.firsts)))[0]
+        edge = np.zeros(len(self.firsts) - 1, np.int64)
+        edge[np.searchsorted(self.firsts, hits[::-1], side="right") - 1] = hits[::-1]
+        self.maxima[edge[docs]] = -np.inf
+        return edge[docs]
+
+    def spell(self, net: Lattice, kind: np.ndarray, word_at: np.ndarray, heads: list[tuple[np.ndarray, bytes]], live: np.ndarray) -> None:
+        pieces = net.by_edge["piece"][self.edges]
+        odd = np.nonzero(pieces < 0)[0]
+        extra = np.ones(len(pieces), np.int64)
+        spelt: list[list[int]] = []
+        if len(odd):
+            w = np.searchsorted(word_at, self.places[odd], side="right") - 1
+            points = net.positions["points"][net.start[kind[w]] + self.places[odd] - word_at[w]]
+            spelt = [list((BLANK if c == ord(LITERAL) else chr(c)).encode()) for c in points.tolist()]
+            extra[odd] = [len(b) for b in spelt]
+        at = np.append(0, np.cumsum(extra))
+        ids = np.repeat(pieces, extra)
+        if len(odd):
+            ids[np.repeat(at[odd] - np.append(0, np.cumsum(extra[odd])[:-1]), extra[odd]) + np.arange(int(extra[odd].sum()))] = [net.vocabulary.bytes[b] for bs in spelt for b in bs]
+        data, ends = decode(net.vocabulary, ids)
+        a = self.firsts[:-1]
+        self.id_at, self.byte_at = at[:-1] - np.repeat(at[a], np.diff(self.firsts)), ends[at[:-1]] - np.repeat(ends[at[a]], np.diff(self.firsts))
+        self.id_base, self.byte_base = [len(h[0]) for h in heads], [len(h[1]) for h in heads]
+        id_cut, byte_cut = at[self.firsts].tolist(), ends[at[self.firsts]].tolist()
+        self.ids, self.data = [None] * len(heads), [b""] * len(heads)
+        for d in np.nonzero(live)[0].tolist():
+            own, head = ids[id_cut[d] : id_cut[d + 1]], heads[d]
+            self.ids[d] = np.concatenate([head[0], own]) if len(head[0]) else own
+            self.data[d] = head[1] + data[byte_cut[d] : byte_cut[d + 1]]
+
+
+def decode(vocabulary: Vocabulary, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The bytes of ids, blanks restored, and where each id's begin, with the end last. A text's encoding starts with one blank more."""
     if not hasattr(vocabulary, "spellings"):
         spell = [p.replace(BLANK, " ").encode() for p in vocabulary.pieces]
         for b, i in vocabulary.bytes.items():
             spell[i] = bytes([b])
-        vocabulary.spellings = (np.frombuffer(b"".join(spell), np.uint8), np.cumsum([0] + [len(s) for s in spell]))
+        vocabulary.spellings = (np.frombuffer(b"".join(spell), np.uint8), np.cumsum([0] + [len(x) for x in spell]))
     table, offset = vocabulary.spellings
     size = (offset[1:] - offset[:-1])[ids]
     ends = np.append(0, np.cumsum(size))
-    data = table[np.repeat(offset[ids] - ends[:-1], size) + np.arange(int(ends[-1]))].tobytes()
-    cuts = ends[bounds].tolist()
-    return [data[a:b][1:] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return table[np.repeat(offset[ids] - ends[:-1], size) + np.arange(int(ends[-1]))].tobytes(), ends
 
 
 SEGMENTATION = StructType([StructField("ids", ArrayType(IntegerType())), StructField("log_p", DoubleType()), StructField("perturbed", DoubleType()), StructField("log_inclusion", DoubleType()), StructField("decodes", BooleanType())])
@@ -422,7 +437,7 @@ def _lattice(vocabulary: Vocabulary) -> Lattice:
 def _batches(texts: pa.Array, keys: pa.Array, vocabulary: Vocabulary, samples: int) -> Iterator[tuple[bytes, list[dict]]]:
     data, at = utf8(texts)
     ids = keys.fill_null(-1).to_numpy(zero_copy_only=False)
-    for i, j in slices(np.diff(at)):
+    for i, j in slices(np.diff(at), SEARCH_BYTES):
         raw = [bytes(data[a:b]) for a, b in zip(at[i:j], at[i + 1 : j + 1], strict=True)]
         yield from zip(raw, search(_lattice(vocabulary), [b.decode() for b in raw], ids[i:j], samples), strict=True)
 
@@ -462,8 +477,25 @@ def op8_pieces(spark, sf_dir: str, model: str = MODEL) -> DataFrame:
     return found.select("doc_id", "sample", "s.*")
 
 
-def encoded_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """docs with ``ids``, the best sampled segmentation, and the scores of all of them."""
+def encoded_documents(docs: DataFrame, model: str = MODEL, samples: int = SAMPLES) -> DataFrame:
+    """docs with ``piece_ids``, the best sampled segmentation, and of all of them n_samples, log_p and log_inclusion, and whether each
+    gives back the text. Columns of docs named like these are replaced."""
     session(docs)
-    found = docs.withColumn("s", segmentations(F.col("text"), F.col("doc_id"), Vocabulary(model)))
-    return found.select(*docs.columns, F.col("s")[0]["ids"].alias("ids"), F.size("s").alias("n_samples"), F.transform("s", lambda x: x["log_p"]).alias("log_p"), F.transform("s", lambda x: x["log_inclusion"]).alias("log_inclusion"), F.forall("s", lambda x: x["decodes"]).alias("decodes"))
+    vocabulary = Vocabulary(model)
+    kind = StructType([StructField("piece_ids", ArrayType(IntegerType())), StructField("n_samples", IntegerType()), StructField("log_p", ArrayType(DoubleType())), StructField("log_inclusion", ArrayType(DoubleType())), StructField("decodes", BooleanType())])
+
+    @F.arrow_udf(kind)
+    def run(texts: pa.Array, keys: pa.Array) -> pa.Array:
+        ids, n, log_p, inclusion, decodes = [], [], [], [], []
+        for raw, found in _batches(texts, keys, vocabulary, samples):
+            ids.append(found[0]["ids"])
+            n.append(len(found))
+            log_p.append([x["log_p"] for x in found])
+            inclusion.append([x["log_inclusion"] for x in found])
+            decodes.append(all(x["decoded"] == raw for x in found))
+        offsets = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
+        best = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+        return pa.StructArray.from_arrays([best, pa.array(n, pa.int32()), pa.array(log_p, pa.list_(pa.float64())), pa.array(inclusion, pa.list_(pa.float64())), pa.array(decodes, pa.bool_())], [f.name for f in kind])
+
+    found = docs.withColumn("__s", run(F.col("text"), F.col("doc_id").cast("long")))
+    return found.select(*(F.col(c) for c in docs.columns if c not in kind.names), "__s.*")

@@ -151,11 +151,14 @@ def _batch(texts: pa.Array) -> Iterable[str]:
 @F.arrow_udf(ArrayType(StringType()))
 def lexicon_entries(texts: pa.Array) -> pa.Array:
     """The distinct words of a text as =word, and their stems as stem*."""
-    out = []
+    parts, out = [pa.array([], pa.list_(pa.string()))], []
     for t in _batch(texts):
         words = set(_WORDS.findall(t.lower()))
         out.append([f"={w}" for w in words] + list({f"{w[:n]}*" for w in words for n in STEM_LENGTHS if len(w) > n}))
-    return pa.array(out, pa.list_(pa.string()))
+        if len(out) == 64:  # as Python strings they would take several times the memory
+            parts.append(pa.array(out, pa.list_(pa.string())))
+            out = []
+    return pa.concat_arrays([*parts, pa.array(out, pa.list_(pa.string()))])
 
 
 def held_out(doc_id: Column) -> Column:

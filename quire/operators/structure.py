@@ -57,7 +57,8 @@ def break_at(text: Column, proportion: Column) -> Column:
     return F.when((before < 0) & (after < 0), p).when(before < 0, after).when(after < 0, before).when(p - before <= after - p, before).otherwise(after)
 
 
-# How a page reference after a citation looks.
+# Pages in parentheses of their own, and how the text after a citation goes on within the group.
+_PAGES = (r"\.?\((pp?\.)\s*([^)]+)\)", r"\.?\((págs?\.)\s*([^)]+)\)")
 _PAGE_OPEN = r"^[\s)>;]|^,?\s*\.?\(?pp?\.|^,?\s*\.?\(?págs?\."
 
 
@@ -73,8 +74,9 @@ def repaired_before(text: Column) -> Column:
 
 def repaired_after(text: Column) -> Column:
     """What stands after a citation: pages in parentheses of their own join it, and a group that does not go on is closed."""
-    t = F.regexp_replace(text, r"\.?\((pp?\.)\s*([^)]+)\)", ", $1 $2")
-    t = F.regexp_replace(t, r"\.?\((págs?\.)\s*([^)]+)\)", ", $1 $2")
+    t = text
+    for pages in _PAGES:
+        t = F.regexp_replace(t, pages, ", $1 $2")
     return F.when(t.rlike(_PAGE_OPEN), t).otherwise(F.concat(F.lit("). "), left_trim(t)))
 
 

@@ -22,6 +22,9 @@ class Provider(Protocol):
 
     name: str
 
+    def ensure_ready(self) -> None:
+        """Raises if the model cannot answer."""
+
     def translate(self, prompts: list[str], texts: list[str], budgets: list[int]) -> list[str]: ...
 
 
@@ -33,6 +36,9 @@ class Stub:
     def __init__(self, reply=None) -> None:
         self.reply = reply or (lambda text: " ".join(reversed(text.split())))
 
+    def ensure_ready(self) -> None:
+        pass
+
     def translate(self, prompts: list[str], texts: list[str], budgets: list[int]) -> list[str]:
         return [self.reply(t) for t in texts]
 
@@ -43,6 +49,16 @@ class HttpChat:
     def __init__(self, url: str, model: str, timeout: float = 180.0) -> None:
         self.url, self.name, self.timeout = url, model, timeout
 
+    def ensure_ready(self) -> None:
+        """The model's exact name must be in the list that the server gives beside the chat address, under ``tags``."""
+        import json
+        from urllib.request import urlopen
+
+        with urlopen(f"{self.url.rsplit('/', 1)[0]}/tags", timeout=self.timeout) as answer:
+            names = {m["name"] for m in json.load(answer)["models"]}
+        if self.name not in names:
+            raise LookupError(f"{self.name} is not among {sorted(names)}")
+
     def translate(self, prompts: list[str], texts: list[str], budgets: list[int]) -> list[str]:
         import json
         from urllib.request import Request, urlopen

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import paths
+from quire.operators import structure
 from quire.sources import html as H
 
 #: An EPUB's first entry, and the media types of chapters.
@@ -96,6 +98,49 @@ def rebuilt(entries: DataFrame, changed: DataFrame) -> DataFrame:
     return merged.groupBy("path").applyInPandas(one, "path string, epub binary")
 
 
+def resources(entries: DataFrame) -> DataFrame:
+    """Entries that pages refer to: images, styles and fonts."""
+    return entries.where(F.col("media").rlike(r"^(image/|font/|text/css|application/(x-font|font|vnd\.ms-opentype))"))
+
+
+def chapter_images(found: DataFrame, entries: DataFrame) -> DataFrame:
+    """(path, item_name, n, src, content) of the images of chapters, by a join on resolved paths; missing ones are left out."""
+    images = H.image_sources(found, ["path", "item_name"]).withColumn("zip_name", paths.resolve(F.col("item_name"), F.col("src")))
+    return images.join(entries.select("path", "zip_name", "content"), ["path", "zip_name"]).drop("zip_name")
+
+
+def export_review(found: DataFrame, entries: DataFrame) -> DataFrame:
+    """(path, file, content): numbered pages with addresses that work in one folder, their resources, the manifest and an index."""
+    numbered = structure.chapter_manifest(found, ["path"]).join(found.select("path", "item_name", "html"), ["path", "item_name"])
+    names = numbered.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("item_name", "file"))).alias("names"))
+
+    @F.pandas_udf("binary")
+    def page(html: pd.Series, item: pd.Series, names: pd.Series) -> pd.Series:
+        def one(text: str, name: str, files: dict) -> bytes:
+            base = posixpath.dirname(name)
+
+            def change(url: str) -> str:
+                if not url or url.startswith(paths.KEPT):
+                    return url
+                path, mark, fragment = url.partition("#")
+                target = posixpath.normpath(posixpath.join(base, path))
+                return files.get(target, target) + (mark + fragment if fragment else "")
+
+            return H.to_xhtml(H.map_urls(text, change)).encode()
+
+        return pd.Series([one(t, i, dict(n)) for t, i, n in zip(html, item, names, strict=True)])
+
+    pages = numbered.join(names, "path").select("path", "file", page("html", "item_name", "names").alias("content"))
+
+    def about(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("file")
+        made = review_files(posixpath.basename(rows["path"].iloc[0]), [{"archivo": f, "item_name": i, "titulo": t} for f, i, t in zip(rows["file"], rows["item_name"], rows["title"], strict=True)])
+        return pd.DataFrame({"path": rows["path"].iloc[0], "file": list(made), "content": [x.encode() for x in made.values()]})
+
+    index = numbered.select("path", "file", "item_name", "title").groupBy("path").applyInPandas(about, "path string, file string, content binary")
+    return pages.unionByName(index).unionByName(resources(entries).select("path", F.col("zip_name").alias("file"), "content"))
+
+
 def review_files(title: str, manifest: list[dict]) -> dict[str, str]:
     """The manifest and the index page of a review folder."""
     links = "\n".join(f'    <li><a href="{m["archivo"]}">{entities.escape(m["titulo"])}</a></li>' for m in manifest)

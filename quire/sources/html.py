@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from quire.functions.paths import OUTSIDE, normalize
 from quire.operators.structure import NAMESPACE, VOID
 
 # Elements whose texts stay, and elements whose content is not markup.
@@ -148,6 +150,42 @@ def with_captions(page: str, captions: dict[str, str]) -> tuple[str, int]:
     return serialize(pieces), n
 
 
+# Attributes that hold addresses.
+_URLS = re.compile(r"(?<=\s)(xlink:href|src|href)(\s*=\s*)(\"[^\"]*\"|'[^']*')", re.IGNORECASE)
+
+
+def map_urls(page: str, change: Callable[[str], str]) -> str:
+    """The page with every address in a src or href attribute changed."""
+
+    def one(m: re.Match) -> str:
+        quote, value = m.group(3)[0], entities.unescape(m.group(3)[1:-1])
+        return m.group(1) + m.group(2) + quote + entities.escape(change(value), quote=False).replace(quote, "&quot;" if quote == '"' else "&#39;") + quote
+
+    pieces = parse(page)
+    for p in pieces:
+        if p.kind in ("open", "void"):
+            p.raw = _URLS.sub(one, p.raw)
+    return serialize(pieces)
+
+
+def image_sources(pages: DataFrame, key: list[str], html: str = "html") -> DataFrame:
+    """(key, n, src) of the images of pages whose address lies inside, in order."""
+
+    @F.pandas_udf("array<string>")
+    def sources(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [p.attrs["src"] for p in parse(t or "") if p.name == "img" and p.attrs.get("src") and not p.attrs["src"].startswith(OUTSIDE)])
+
+    return pages.select(*key, F.posexplode(sources(F.col(html))).alias("n", "src"))
+
+
+def with_files(images: DataFrame, base: str) -> DataFrame:
+    """image_sources' rows with the content of the files under a folder; rows without a file are left out. Paths join, nothing is opened by name."""
+    files = images.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    root = base.rstrip("/").removeprefix("file:").replace("//", "/")
+    named = files.select(F.regexp_extract("path", r"^[a-z]+:/*(/.*)$", 1).alias("_file"), "content")
+    return images.withColumn("_file", normalize(F.concat(F.lit(f"{root}/"), F.substring_index("src", "#", 1)))).join(named, "_file").drop("_file")
+
+
 def title_of(pieces: list[Piece]) -> tuple[str, str]:
     """The texts of the first <title> and the first <h1>, trimmed."""
 

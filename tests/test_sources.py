@@ -139,3 +139,41 @@ def test_streamed_cache(spark, tmp_path):
     (tmp_path / "in/b.txt").write_text("uno dos\ntres cuatro\n")
     run()
     assert sorted(r.translation for r in spark.read.parquet(str(tmp_path / "cache")).collect()) == ["cuatro tres", "dos uno"]
+
+
+def test_runs_over_files(spark, tmp_path):
+    import pytest
+
+    from quire.plans.documents import Options, translate_docx, translate_epubs, translate_pages
+
+    options, stub = Options(slots=2, cache_path=str(tmp_path / "cache")), translate.Stub(str.upper)
+    assert options.check("/a/b.PDF") == "convert" and options.check("x.htm") == "html"
+    for bad, path in ((Options("xx", "es"), "a.epub"), (Options("es", "es"), "a.epub"), (Options(limit=0), "a.epub"), (Options(), "a.txt"), (Options(), "docx")):
+        with pytest.raises(ValueError):
+            bad.check(path)
+    pages, done = translate_pages(spark.createDataFrame([(1, PAGE)], "page_id int, html string"), options, stub)
+    assert "<p> HI <b>THERE</b>" in pages.first().translated_html and done.where("from_cache").count() == 0
+    again, done = translate_pages(spark.createDataFrame([(1, PAGE)], "page_id int, html string"), options, translate.Stub(lambda t: 1 / 0))
+    assert done.where("from_cache").count() == done.count() == 6 and "<p> HI <b>" in again.first().translated_html
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/b.epub").write_bytes(make_epub())
+    (tmp_path / "in/d.docx").write_bytes(make_docx())
+    books, _ = translate_epubs(spark, str(tmp_path / "in"), Options(slots=2), stub)
+    with zipfile.ZipFile(io.BytesIO(bytes(books.first().epub))) as z:
+        assert b"<p>HELLO</p>" in z.read("OEBPS/x/c1.xhtml")
+    files, _ = translate_docx(spark, str(tmp_path / "in"), Options(slots=2, limit=1), stub)
+    assert [u["text"] for u in docx.units_of(bytes(files.first().docx))] == ["PLAIN BOLD", "See ⟦1⟧ and ⟦2⟧", "cell"]
+
+
+def test_addresses_and_resources(spark, tmp_path):
+    assert H.map_urls('<a href="x&amp;y"><img src=\'b\'/></a>', lambda u: u + "!") == '<a href="x&amp;y!"><img src=\'b!\'/></a>'
+    (tmp_path / "b.epub").write_bytes(make_epub())
+    entries = epub.read_epubs(spark, str(tmp_path))
+    found = epub.chapters(entries).withColumn("html", F.replace("html", F.lit("Hello"), F.lit('<img src="../s.css"/><a href="c1.xhtml#n">x</a>')))
+    assert [(r.src, bytes(r.content)) for r in epub.chapter_images(found, entries).collect()] == [("../s.css", b"p{}")]
+    files = {r.file: bytes(r.content) for r in epub.export_review(found, entries).collect()}
+    assert set(files) == {"cap_01.html", "manifiesto.json", "index.html", "OEBPS/s.css"} and b'src="OEBPS/s.css"' in files["cap_01.html"] and b'href="cap_01.html#n"' in files["cap_01.html"]
+    (tmp_path / "img").mkdir()
+    (tmp_path / "img/a.png").write_bytes(b"1")
+    pages = spark.createDataFrame([(1, '<p><img src="img/a.png#f"><img src="none.png"><img src="http://x/y"></p>')], "page_id int, html string")
+    assert [bytes(r.content) for r in H.with_files(H.image_sources(pages, ["page_id"]), str(tmp_path)).collect()] == [b"1"]

@@ -90,6 +90,8 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """
     now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
     mark = None
+    if now.isEmpty():
+        max_rounds = 0
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -103,7 +105,8 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
             break
         mark = (seen.n, seen.x)
     else:
-        raise RuntimeError("the components did not settle")
+        if max_rounds:
+            raise RuntimeError("the components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 

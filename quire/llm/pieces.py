@@ -12,7 +12,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +25,14 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, MOST = 3, 16
 #: Zipf-Mandelbrot shift of a piece's rank; exponent on weights (1: as they are, 0: all segmentations alike); log-probability a byte.
 SHIFT, SHARPNESS, BYTE = 20.0, 1.0, -12.0
+#: Nats by which a set of segmentations may be less likely than another and still be looked at.
+FAR = 60.0
 #: Positions of lattices that a Python worker keeps, of about 130 bytes each with their strings.
 MAX_POINTS = 1_000_000
 #: Bytes of text that are searched at once: few enough for the arrays to stay in the processor's cache.
 SEARCH_BYTES = 512 << 10
 BLANK, LITERAL, END = "▁", "\udfff", "\udffe"
-_TYPES = re.compile("▁+[^▁\n]*|[^▁\n]+|\n")
+_TYPES, _ODD = re.compile("▁+[^▁\n]*|\n[^▁\n]*"), re.compile(r"  | \n|\n |\A | \Z")
 _B, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SLOTS = 20
 
@@ -53,6 +54,8 @@ class Vocabulary:
         self.pieces = [model.id_to_piece(i) for i in range(n)]
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if model.is_byte(i)}
         plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) and len(self.pieces[i]) <= MOST]
+        if crossing := [p for p in (self.pieces[i] for i in plain) if re.search(f"[^{BLANK}]{BLANK}|.\n", p, re.DOTALL)]:
+            raise ValueError(f"pieces that go on beyond a word's start are not supported: {crossing[:3]}")
         order = sorted(plain, key=lambda i: (-model.get_score(i), i))
         mass = np.array([1 / (SHIFT + r) for r in range(len(order))])
         self.weights = np.zeros(n)
@@ -96,9 +99,24 @@ class Vocabulary:
         return out
 
 
+def _split(text: str) -> list[str]:
+    """The parts of a text that no piece crosses: a word with the blank before it, written without that blank, or with all of several;
+    or a line feed with what follows it."""
+    text = text.replace(BLANK, LITERAL)
+    if not _ODD.search(text):
+        return text.replace("\n", " \n").split(" ")
+    return [t if t[0] == "\n" or t[1:2] == BLANK else t[1:] for t in _TYPES.findall(BLANK + text.replace(" ", BLANK))]
+
+
 class _Numbers(dict):
+    """Numbers words as they are asked for; ``new`` are those that no lattice has been built for."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
+        self.new.append(word)
         return n
 
 
@@ -106,11 +124,12 @@ class Lattice:
     """The lattices of distinct strings, one after another, each followed by an end position; strings are added as they come.
 
     The edges at position p are first[p] to first[p + 1], by size. An edge has its size in characters, its piece (-1: one character
-    spelt in bytes), and the logarithms of its probability there and of that of all others together. A draw looks at the likeliest edge first, then at the others in turn.
+    spelt in bytes), and the logarithms of its probability there and of that of all others together. A draw looks at the likeliest edge
+    first, then at the others in turn.
     """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.vocabulary, self.numbers, self.used, self.count, self.edges = vocabulary, _Numbers(), 0, 0, 0
+        self.vocabulary, self.numbers, self.used, self.edges = vocabulary, _Numbers(), 0, 0
         self.positions = {"points": np.zeros(1 << 16, np.uint32), "first": np.zeros(1 << 16, np.int32), "best": np.zeros(1 << 16, np.int32), "likely": np.zeros(1 << 16, np.float32)}
         self.by_edge = {"size": np.zeros(1 << 17, np.int8), "piece": np.zeros(1 << 17, np.int32), "log_p": np.zeros(1 << 17, np.float32), "other": np.zeros(1 << 17, np.float32)}
         self.start, self.end = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -124,10 +143,10 @@ class Lattice:
 
     def grow(self) -> None:
         """Builds the lattices of the strings that were numbered since the last call."""
-        strings = list(islice(self.numbers, self.count, None))
+        strings = [t if t[:1] in ("\n", BLANK) and t else BLANK + t for t in self.numbers.new]
+        self.numbers.new.clear()
         if not strings:
             return
-        self.count = len(self.numbers)
         points = np.frombuffer((END.join(strings) + END).encode("utf-32-le", "surrogatepass"), np.uint32)
         n = len(points)
         ends = np.nonzero(points == ord(END))[0]
@@ -242,7 +261,7 @@ def search(net: Lattice, texts: list[str], keys: np.ndarray, samples: int = SAMP
     vocabulary = net.vocabulary
     words, per, number = [], np.zeros(docs, np.int64), net.numbers.__getitem__
     for d, t in enumerate(texts):
-        own = _TYPES.findall(BLANK + t.replace(BLANK, LITERAL).replace(" ", BLANK)) if t else []
+        own = _split(t) if t else []
         per[d] = len(own)
         words.extend(map(number, own))
     if not words:
@@ -333,7 +352,11 @@ def search(net: Lattice, texts: list[str], keys: np.ndarray, samples: int = SAMP
         before = sums[:-1] + (base - sums[firsts[:-1]])[doc_of]
         mass = before + net.by_edge["other"][edges]
         maxima = np.full(len(places), -np.inf)
-        grow = np.nonzero(((places != cut[doc_of]) if r else True) & np.isfinite(mass))[0]
+        # A set far less likely than the text's likeliest one has no chance, not one in 10 ** 20, to come among the first samples.
+        top = np.maximum.reduceat(np.append(mass, -np.inf), np.minimum(firsts[:-1], len(mass)))
+        grow = np.nonzero(mass > (top - FAR)[doc_of])[0]
+        if r:
+            grow = grow[places[grow] != cut[doc_of[grow]]]
         dg = doc_of[grow]
         maxima[grow] = _below(now[dg], mass[grow], _uniform(seeds[dg], places[grow] - doc_at[dg] + (r << 40) + (1 << 39)))
         if r:

@@ -11,6 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,15 +19,19 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1 / 500
 #: Largest table that is broadcast, after its rows and bytes have been counted.
 BROADCAST_BYTES = 48 << 20
-#: Bytes of text that a Python worker takes at once.
-BATCH_BYTES = 1 << 20
+#: Bytes of text that a Python worker works on, and gets, at once.
+BATCH_BYTES, ARROW_BYTES = 1 << 20, 2 << 20
 
 
 def session(df: DataFrame) -> SparkSession:
-    """The session, with Arrow batches that hold few enough rows for long texts."""
+    """The session, with Arrow batches of at most ARROW_BYTES: long texts come in few rows, and short keys still in many."""
     spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 500:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        now = int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b"))
+        if now > ARROW_BYTES:
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    except (PySparkException, ValueError):  # no such setting, or one with another unit, which somebody chose
+        pass
     return spark
 
 

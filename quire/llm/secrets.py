@@ -11,8 +11,8 @@ from .common import session
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}+", r"[0-9a-f]{24,}+"
-#: Strings that the models judge: unbroken runs of an alphabet that keys and tokens are written in.
-CANDIDATE, LEAST_CHARS = r"[A-Za-z0-9_-]{20,}+", 20
+#: Strings that the models judge: unbroken runs of the whole alphabet that keys and tokens are written in, ``+`` and ``/`` of base64 among it.
+CANDIDATE, LEAST_CHARS = r"[A-Za-z0-9+/_-]{20,}+", 20
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 #: The models are fitted on the documents whose hashed ids are the smallest, so many of them at most.
 SAMPLE_DOCS = 4_000
@@ -21,15 +21,20 @@ SAMPLE_DOCS = 4_000
 EQUAL, BACKOFF, MARGIN = 0.5, 5.0, 3.0
 
 
-def _spans(text: str, pattern: str, kind: str, order: int, guard: str, keep: str) -> Column:
-    """Spans of the pattern's matches, leftmost and not overlapping, in code points; ``keep`` is a condition on match m."""
+def _matches(text: str, pattern: str, kind: str, order: int, guard: str) -> str:
+    """SQL of the spans of the pattern's matches, leftmost and not overlapping, in code points."""
     lit = "r'" + pattern.replace("'", "\\x27") + "'"
     cut, got = f"split({text}, {lit}, -1)", f"regexp_extract_all({text}, {lit}, 0)"
     walk = (
         f"aggregate(zip_with(slice({cut}, 1, size({got})), {got}, (g, m) -> struct(g as g, m as m)), struct(0 as at, cast(array() as array<struct<s:int,o:int,e:int,k:string,m:string>>) as out),"
         f" (a, x) -> struct(a.at + length(x.g) + length(x.m) as at, concat(a.out, array(struct(a.at + length(x.g) as s, {order} as o, a.at + length(x.g) + length(x.m) as e, '{kind}' as k, x.m as m))) as out)).out"
     )
-    return F.expr(f"if({guard}, filter({walk}, x -> {keep}), cast(array() as array<struct<s:int,o:int,e:int,k:string,m:string>>))")
+    return f"if({guard}, {walk}, cast(array() as array<struct<s:int,o:int,e:int,k:string,m:string>>))"
+
+
+def _spans(text: str, pattern: str, kind: str, order: int, guard: str, keep: str) -> Column:
+    """The matches' spans; ``keep`` is a condition on match m."""
+    return F.expr(f"filter({_matches(text, pattern, kind, order, guard)}, x -> {keep})")
 
 
 def base_spans(text: str = "t") -> Column:
@@ -85,13 +90,31 @@ def train(docs: DataFrame, sample: int = SAMPLE_DOCS) -> list[float]:
 
 
 def model_spans(ratios: list[float], text: str = "t", base: str = "base") -> Column:
-    """Candidates outside base spans whose mean ratio a pair exceeds MARGIN, as structs like base_spans'."""
+    """Spans outside base spans whose mean ratio a pair exceeds MARGIN, as structs like base_spans'.
+
+    A candidate may be a path that holds a key, or a base64 key with slashes. Its pieces between ``+`` and ``/`` that the words' model
+    explains better, and those of base spans, are split off at both ends, with what lies between them and the first or last key-like
+    piece; pieces of under three characters are neither. What is left is judged as one string, and where that is not random, or meets
+    a base span, each piece of LEAST_CHARS or more by itself.
+    """
     table = "cast(split('" + ",".join(map(str, ratios)) + "', ',') as array<double>)"
     n = len(ALPHABET) + 1
     place = "locate(substr(x.m, i, 1), '" + ALPHABET + "')"
-    score = f"aggregate(sequence(1, length(x.m) - 1), 0D, (a, i) -> a + element_at({table}, {place} * {n} + {place.replace('(x.m, i', '(x.m, i + 1')} + 1))"
-    free = f"not exists({base}, b -> b.s < x.e and x.s < b.e)"
-    return _spans(text, CANDIDATE, "random", 3, f"{text} rlike r'[A-Za-z0-9_-]{{{LEAST_CHARS}}}'", f"{free} and {score} > {MARGIN} * (length(x.m) - 1)")
+    pair = f"element_at({table}, {place} * {n} + {place.replace('(x.m, i', '(x.m, i + 1')} + 1)"
+    score = lambda a, b: f"if({b} - {a} < 2, 0D, aggregate(slice(x.r, {a} + 1, {b} - {a} - 1), 0D, (z, v) -> z + v))"
+    struct = "struct<s:int,o:int,e:int,k:string,m:string>"
+    runs = _matches(text, CANDIDATE, "random", 3, f"{text} rlike r'[A-Za-z0-9+/_-]{{{LEAST_CHARS}}}'")
+    # x: the run, its pairs' ratios r, its pieces p from a to b, each a word's (w), a key's (k) or neither.
+    rated = f"transform({runs}, x -> struct(x.s as s, x.m as m, transform(sequence(1, length(x.m) - 1), i -> {pair}) as r, aggregate(split(x.m, '[+/]', -1), struct(0 as at, cast(array() as array<struct<a:int,b:int>>) as out), (z, v) -> struct(z.at + length(v) + 1 as at, concat(z.out, array(struct(z.at as a, z.at + length(v) as b))) as out)).out as p))"
+    known = f"exists({base}, b -> b.s < x.s + q.b and x.s + q.a < b.e)"
+    word = f"({known} or q.b - q.a > 2 and {score('greatest(q.a - 1, 0)', 'least(q.b + 1, length(x.m))')} <= 0)"
+    judged = f"transform({rated}, x -> struct(x.s as s, x.m as m, x.r as r, transform(filter(x.p, q -> q.b > q.a), q -> struct(q.a as a, q.b as b, {word} as w)) as p))"
+    judged = f"transform({judged}, x -> struct(x.s as s, x.m as m, x.r as r, transform(x.p, q -> struct(q.a as a, q.b as b, q.w as w, not q.w and q.b - q.a > 2 as k)) as p))"
+    first, last = "array_min(transform(filter(x.p, q -> q.k), q -> q.a))", "array_max(transform(filter(x.p, q -> q.k), q -> q.b))"
+    ends = f"transform(filter({judged}, x -> exists(x.p, q -> q.k)), x -> struct(x.s as s, x.m as m, x.r as r, x.p as p, if(exists(x.p, q -> q.w and q.b < {first}), {first}, 0) as a, if(exists(x.p, q -> q.w and q.a > {last}), {last}, length(x.m)) as b))"
+    good = lambda q: f"({q}.b - {q}.a >= {LEAST_CHARS} and {score(q + '.a', q + '.b')} > {MARGIN} * ({q}.b - {q}.a - 1) and not exists({base}, b -> b.s < x.s + {q}.b and x.s + {q}.a < b.e))"
+    chosen = f"if({good('x')}, array(struct(x.a as a, x.b as b)), transform(filter(x.p, q -> {good('q')}), q -> struct(q.a as a, q.b as b)))"
+    return F.expr(f"cast(flatten(transform({ends}, x -> transform({chosen}, q -> struct(x.s + q.a as s, 3 as o, x.s + q.b as e, 'random' as k, substr(x.m, q.a + 1, q.b - q.a) as m)))) as array<{struct}>)")
 
 
 def scan(docs: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:

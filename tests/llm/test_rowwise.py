@@ -134,6 +134,19 @@ def test_secrets(spark, odd_docs, no_docs):
     assert secrets.scan(odd_docs).count() == 9 and secrets.scan(no_docs).count() == 0
 
 
+def test_secrets_in_base64(spark):
+    rng = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"] + ["".join(c for k in range(4) for c in [*rng.choices(letters, k=9), "+/"[(i + k) % 2]]) + rng.choice(letters) for i in range(29)]
+    words = " ".join("some ordinary words about components settings over the store account brown user quick international break long docs/store/user and/or getUser fromStore".split() * 5)
+    texts = [f"| {k} | {words} token = {rng.randbytes(20).hex()}" for k in keys] + [f"see store/settings/{k} {words}" for k in keys]
+    long = "".join(rng.choices(letters, k=36))
+    texts += [f"see {long}/settings/account/international {words}", f"see international/components/settings/account {words}"]
+    rows = {r.doc_id: [texts[r.doc_id][x.s : x.e] for x in r.added] for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert rows[0] == keys[:1] and sum(rows[i] == [k] for i, k in enumerate(keys)) >= 29
+    assert sum(rows[30 + i] == [k] for i, k in enumerate(keys)) >= 29 and rows[60] == [long] and rows[61] == []
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return pieces.Vocabulary()

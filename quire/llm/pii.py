@@ -11,7 +11,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,9 @@ from .common import session, utf8
 KINDS = ("email", "ip", "card", "phone")
 #: Types of the field; 0 is no type. Spans of a type are named after it.
 TYPES = ("-", "email", "ip", "card", "phone", "iban", "national_id")
-MAX_TOKENS, MAX_ZONE = 16, 400
+MAX_TOKENS = 16
+#: Segments scored at once; a zone may hold any number.
+SEGMENTS = 2_048
 #: Added spans need this marginal score over the best labelling without them, in nats.
 MARGIN = 1.0
 
@@ -80,23 +84,23 @@ _CUES = {
 
 
 def zones(text: str) -> list[tuple[int, int]]:
-    """Runs of words with a digit or at sign, one blank apart, with up to one plain word between; long runs are cut."""
+    """Runs of words with a digit or at sign, one blank apart, with up to one plain word between, however long."""
     out: list[list[int]] = []
     for m in _SEED.finditer(text):
         start = m.start()
         if out and start < out[-1][1]:
             continue
-        least = max(out[-1][1] if out else 0, start - MAX_ZONE // 2)
+        least = out[-1][1] if out else 0
         while start > least and not text[start - 1].isspace():
             start -= 1
         w = _WORD.match(text, start)
-        end = min(w.end(), start + MAX_ZONE)
+        end = w.end()
         if (b := _BRACKET.search(text, start, end)) and _BRACKET.sub("", text[start:end]).count("@") == 0:
             if b.start() == start and (p := re.search(r"\S{1,64} ?\Z", text[max(0, start - 66) : start])):
                 start -= len(p.group())
             if n := re.compile(r"(?: ?[\w.-]+(?: ?[\[({]dot[\])}])?){1,4}", re.IGNORECASE).match(text, b.end()):
                 end = max(end, n.end())
-        if out and start - out[-1][1] <= 1 and end - out[-1][0] <= MAX_ZONE:
+        if out and start - out[-1][1] <= 1:
             out[-1][1] = end
         else:
             out.append([start, end])
@@ -114,8 +118,8 @@ def _features(zone: str, tokens: list[tuple[int, int]], i: int, j: int, before:
         f.append("len=" + "-".join(str(min(len(g), 9)) for g in groups))
     if re.search(r"[^\W\d_]", s):
         f.append("letters")
-    left = (before + zone)[len(before) + a - 1 : len(before) + a] if a or before else ""
-    right = (zone + after)[b : b + 1]
+    left = zone[a - 1] if a else before[-1:]
+    right = zone[b] if b < len(zone) else after[:1]
     if left.isalnum() or left in "@_":
         f.append("glued-left" if left else "edge")
     elif left in "-./:+":
@@ -143,18 +147,17 @@ def _features(zone: str, tokens: list[tuple[int, int]], i: int, j: int, before:
     if re.fullmatch(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?", s):
         plain = s.replace(" ", "")
         f.append("mod97" if int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1 else "no-mod97")
-    context = before + zone[:a]
-    f += [f"cue={k}" for k, cue in _CUES.items() if cue.search(context[-24:])] or ["no-cue"]
+    context = (before + zone[max(0, a - 24) : a])[-24:]
+    f += [f"cue={k}" for k, cue in _CUES.items() if cue.search(context)] or ["no-cue"]
     return f
 
 
-def _candidates(zone: str, before: str, after: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, list[str]]]]:
-    tokens = [m.span() for m in _TOKEN.finditer(zone)]
-    kinds = [zone[a] for a, _ in tokens]
-    found: list[tuple[int, int, list[str]]] = []
-    for i, first in enumerate(kinds):
+def _segments(zone: str, tokens: list[tuple[int, int]], before: str, after: str) -> Iterator[tuple[int, int, list[str]]]:
+    """Candidate segments by their first token."""
+    for i, (start, _) in enumerate(tokens):
+        first = zone[start]
         kind = "d" if first.isdigit() else "w" if first.isalpha() else first
-        found.append((i, i + 1, [f"o={kind}"]))
+        yield i, i + 1, [f"o={kind}"]
         if not (kind in "dw" or first in "+("):
             continue
         digits, at = 0, False
@@ -165,8 +168,12 @@ def _candidates(zone: str, before: str, after: str) -> tuple[list[tuple[int, int
             if j > i + 1 and not re.fullmatch(r"\s?", zone[tokens[j - 2][1] : a]):
                 break
             if zone[b - 1].isalnum() and (digits >= 6 or at and zone[b - 1].isalpha()):
-                found.append((i, j, _features(zone, tokens, i, j, before, after)))
-    return tokens, found
+                yield i, j, _features(zone, tokens, i, j, before, after)
+
+
+def _candidates(zone: str, before: str, after: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, list[str]]]]:
+    tokens = [m.span() for m in _TOKEN.finditer(zone)]
+    return tokens, list(_segments(zone, tokens, before, after))
 
 
 class Field:
@@ -193,18 +200,20 @@ class Field:
                 out[s, 0] = -np.inf
         return out, ids
 
-    def decode(self, n: int, segments: list) -> list[tuple[int, int, int, float]]:
-        """The best labelling's typed segments as (first token, end, type, score over its tokens left untyped)."""
-        scores, _ = self._scores(segments)
+    def decode(self, n: int, segments: Iterable) -> list[tuple[int, int, int, float]]:
+        """The best labelling's typed segments as (first token, end, type, score over its tokens left untyped).
+
+        segments come by their first token, so that what ends there is settled; they are scored a part at a time.
+        """
         best, back, plain = [0.0] + [-np.inf] * n, [None] * (n + 1), [0.0] * n
-        order = sorted(range(len(segments)), key=lambda s: segments[s][1])
-        for s in order:
-            i, j, f = segments[s]
-            y = int(np.argmax(scores[s]))
-            if y == 0:
-                plain[i] = float(scores[s, 0])
-            if best[i] + scores[s, y] > best[j]:
-                best[j], back[j] = best[i] + float(scores[s, y]), (i, y, float(scores[s, y]))
+        segments = iter(segments)
+        while part := list(islice(segments, SEGMENTS)):
+            for (i, j, _), scores in zip(part, self._scores(part)[0], strict=True):
+                y = int(np.argmax(scores))
+                if y == 0:
+                    plain[i] = float(scores[0])
+                if best[i] + scores[y] > best[j]:
+                    best[j], back[j] = best[i] + float(scores[y]), (i, y, float(scores[y]))
         out, j = [], n
         while j > 0:
             i, y, score = back[j]
@@ -319,10 +328,13 @@ def model_spans(text: str, base: list[tuple[int, int, int]], field: Field) -> li
     out = []
     for a, b in zones(text):
         before = text[max(0, a - 24) : a]
-        tokens, segments = _candidates(text[a:b], before, text[b : b + 2])
-        if len(segments) == len(tokens):
+        zone = text[a:b]
+        tokens = [m.span() for m in _TOKEN.finditer(zone)]
+        segments = _segments(zone, tokens, before, text[b : b + 2])
+        ahead = list(islice(segments, SEGMENTS))
+        if len(ahead) == len(tokens) < SEGMENTS:
             continue
-        for i, j, y, gain in field.decode(len(tokens), segments):
+        for i, j, y, gain in field.decode(len(tokens), chain(ahead, segments)):
             s, e = a + tokens[i][0], a + tokens[j - 1][1]
             if gain >= MARGIN and not any(s < z and x < e for x, _, z in base):
                 out.append((s, y, e))

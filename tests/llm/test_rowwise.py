@@ -99,6 +99,19 @@ def test_pii_field(text, added):
     assert [pii.TYPES[y] for _, y, _ in spans] == added
 
 
+def test_pii_in_long_runs():
+    field = pii.trained()
+    for one in ("(555) 123-4567", "DE89 3704 0044 0532 0130 00"):
+        alone = pii.model_spans(one, pii.base_spans(one), field)
+        assert len(alone) == 1 and alone[0][::2] == (0, len(one))
+        text = "\n".join([one] * 300)  # one zone of several thousand characters
+        assert len(pii.zones(text)) == 1
+        step = len(one) + 1
+        assert [(s, e) for s, _, e in pii.model_spans(text, pii.base_spans(text), field)] == [(k * step, k * step + len(one)) for k in range(300)]
+    word = "x1" * 150 + "@"
+    assert pii.zones("y" * 900 + word + "z" * 900) == [(0, 1800 + len(word))]
+
+
 def test_pii_query(spark, sf_dir, odd_docs, no_docs):
     for r in pii.op2_pii(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id").collect():
         base = [f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in brute_pii(r.text or "")]

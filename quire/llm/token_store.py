@@ -23,6 +23,9 @@ from pyspark.sql.types import BinaryType
 from .common import session, shared_dir, stored, utf8
 
 SEQ_LEN, SHARD_BYTES, KEY, ROUNDS = 512, 32 << 20, 0x5DEECE66D, 6
+#: The query's vocabulary, 50,256 ranks of byte pairs of many languages, and the pattern that it was made with.
+RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Record: document id, number of the sequence in the document, number of tokens, then the ids, filled up with zeros.
 HEAD = np.dtype([("doc_id", "<i8"), ("seq", "<i4"), ("n", "<i4")])
 FLUSH_BYTES, MOST_PARTITIONS = 4 << 20, 4_096
@@ -55,7 +58,10 @@ def byte_ids(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("ids"))
 
 
-def rank_ids(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
+_ENCODINGS: dict[tuple[str, str], object] = {}
+
+
+def rank_ids(docs: DataFrame, ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, ids): ids of two little-endian bytes by a byte-pair vocabulary of at most 65,536 ranks, stored so that they are made once."""
     from base64 import b64decode
 
@@ -66,7 +72,8 @@ def rank_ids(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     def encode(texts: pa.Array) -> pa.Array:
         import tiktoken
 
-        own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        if not (own := _ENCODINGS.get((ranks, pattern))):  # once a worker
+            own = _ENCODINGS[ranks, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         data, at = utf8(texts)
         return pa.array([np.array(own.encode_ordinary(str(data[a:b], "utf-8")), "<u2").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
 
@@ -215,5 +222,5 @@ def read_store(spark: SparkSession, path: str, first_slot: int = 0) -> DataFrame
 
 def op4_token_store(spark, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "tokens")
-    write_store(byte_ids(spark.read.parquet(f"{sf_dir}/documents.parquet")), path if ":" in path else f"file://{path}")
+    write_store(rank_ids(spark.read.parquet(f"{sf_dir}/documents.parquet")), path if ":" in path else f"file://{path}", width=2)
     return read_store(spark, path if ":" in path else f"file://{path}").drop("ids")

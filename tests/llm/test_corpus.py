@@ -255,6 +255,29 @@ def test_token_store(spark, sf_dir, odd_docs, no_docs, tmp_path):
     assert token_store.write_store(token_store.byte_ids(no_docs), f"file://{tmp_path}/n")["total"] == 0 and token_store.read_store(spark, f"file://{tmp_path}/n").count() == 0
 
 
+def test_token_store_query_holds_token_ids(spark, sf_dir, odd_docs, tmp_path):
+    import base64
+    import zlib
+
+    import tiktoken
+
+    with open(token_store.RANKS, "rb") as lines:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    own = tiktoken.Encoding("test", pat_str=token_store.PATTERN, mergeable_ranks=table, special_tokens={})
+    want = Counter()
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        ids = own.encode_ordinary(r.text or "")
+        for k in range(max(1, -(-len(ids) // token_store.SEQ_LEN))):
+            part = ids[k * token_store.SEQ_LEN : (k + 1) * token_store.SEQ_LEN]
+            want[r.doc_id, k, len(part), zlib.crc32(np.array(part, "<u2").tobytes())] += 1
+    assert Counter((r.doc_id, r.seq, r.n_tokens, r.crc32) for r in token_store.op4_token_store(spark, sf_dir).collect()) == want
+    token_store.write_store(token_store.rank_ids(odd_docs), f"file://{tmp_path}/o", width=2)
+    parts = defaultdict(dict)
+    for r in token_store.read_store(spark, f"file://{tmp_path}/o").where("doc_id in (2, 3, 6, 7)").collect():
+        parts[r.doc_id][r.seq] = np.frombuffer(r.ids, "<u2").tolist()
+    assert {k: own.decode([x for i in sorted(v) for x in v[i]]) for k, v in parts.items()} == {r.doc_id: r.text for r in odd_docs.where("doc_id in (2, 3, 6, 7)").collect()}
+
+
 def test_grammar():
     lexicon = toxicity.Lexicon({"idiot": 2.0}, {"moro": 3.0})
     read = lambda t: toxicity.clause_emissions(t, lexicon)

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
@@ -22,19 +23,21 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, S
 from .common import session, slices, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SAMPLES, MOST = 3, 16
+SAMPLES = 3
 #: Zipf-Mandelbrot shift of a piece's rank; exponent on weights (1: as they are, 0: all segmentations alike); log-probability a byte.
 SHIFT, SHARPNESS, BYTE = 20.0, 1.0, -12.0
-#: Nats by which a set of segmentations may be less likely than another and still be looked at.
-FAR = 60.0
 #: Positions of lattices that a Python worker keeps, of about 130 bytes each with their strings.
 MAX_POINTS = 1_000_000
 #: Bytes of text that are searched at once: few enough for the arrays to stay in the processor's cache.
 SEARCH_BYTES = 512 << 10
 BLANK, LITERAL, END = "▁", "\udfff", "\udffe"
-_TYPES, _ODD = re.compile("▁+[^▁\n]*|\n[^▁\n]*"), re.compile(r"  | \n|\n |\A | \Z")
+_TYPES = re.compile("▁+[^▁\n]*|\n[^▁\n]*")
 _B, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_SLOTS = 20
+#: Bits of a hash that choose a slot; marks of slots that a longer piece's beginning falls into, or a second piece.
+_SLOTS, _LONGER, _SECOND = 19, 1 << 30, 1 << 29
+#: Nats a character that are added to all weights, so that sums over segmentations neither grow nor vanish by much, and distances from
+#: a string's end after which they are made 1 again. Segmentations of a string all have its characters, so no probability changes.
+LEVEL, RENEW = 5.0, 32
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -53,9 +56,11 @@ class Vocabulary:
         n = model.get_piece_size()
         self.pieces = [model.id_to_piece(i) for i in range(n)]
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if model.is_byte(i)}
-        plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) and len(self.pieces[i]) <= MOST]
+        plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         if crossing := [p for p in (self.pieces[i] for i in plain) if re.search(f"[^{BLANK}]{BLANK}|.\n", p, re.DOTALL)]:
             raise ValueError(f"pieces that go on beyond a word's start are not supported: {crossing[:3]}")
+        if max(len(self.pieces[i]) for i in plain) > 127:
+            raise ValueError("pieces of over 127 characters are not supported")
         order = sorted(plain, key=lambda i: (-model.get_score(i), i))
         mass = np.array([1 / (SHIFT + r) for r in range(len(order))])
         self.weights = np.zeros(n)
@@ -63,22 +68,33 @@ class Vocabulary:
         self._index(plain)
 
     def _index(self, plain: list[int]) -> None:
-        hashes = np.zeros(len(self.pieces), np.uint64)
+        hashes, longer = np.zeros(len(self.pieces), np.uint64), set()
         for i in plain:
             h = 0
             for c in self.pieces[i]:
+                longer.add(h)
                 h = (h * int(_B) + ord(c) + 1) & (1 << 64) - 1
             hashes[i] = h
-        mixed = hashes * _SPREAD
-        self.hashes, self.first, self.second = hashes, np.zeros(1 << _SLOTS, np.int32), {}
+        longer.discard(0)
+        slots = ((hashes * _SPREAD) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        self.hashes, self.first, second = hashes, np.zeros(1 << _SLOTS, np.int32), {}
         for i in plain:
-            slot = int(mixed[i] >> np.uint64(64 - _SLOTS))
-            if self.first[slot]:
-                self.second[int(hashes[i])] = i
+            if self.first[slots[i]]:
+                second[int(hashes[i])] = i
             else:
-                self.first[slot] = i
-        self.more = np.array(sorted(self.second), np.uint64)
-        self.more_ids = np.array([self.second[int(h)] for h in self.more], np.int32)
+                self.first[slots[i]] = i
+        self.first[slots[list(second.values())]] |= _SECOND
+        self.first[(np.array(sorted(longer), np.uint64) * _SPREAD) >> np.uint64(64 - _SLOTS)] |= _LONGER
+        self.more = np.array(sorted(second), np.uint64)
+        self.more_ids = np.array([second[int(h)] for h in self.more], np.int32)
+        self.most = max(len(self.pieces[i]) for i in plain)
+        self.byte_ids = np.array([self.bytes.get(b, 0) for b in range(256)], np.int32)
+        spell = [p.replace(BLANK, " ").encode() for p in self.pieces]
+        for b, i in self.bytes.items():
+            spell[i] = bytes([b])
+        self.spellings = pa.array(spell, pa.large_binary())
+        # The last place stands for piece -1, a character spelt in bytes.
+        self.mass = np.append(np.exp(self.weights + LEVEL * np.array([len(p) for p in self.pieces])), np.exp(BYTE + LEVEL))
 
     def __getstate__(self) -> dict:
         return {"pieces": self.pieces, "bytes": self.bytes, "weights": self.weights, "plain": np.nonzero(self.hashes)[0].tolist()}
@@ -87,27 +103,31 @@ class Vocabulary:
         self.pieces, self.bytes, self.weights = state["pieces"], state["bytes"], state["weights"]
         self._index(state["plain"])
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The piece of each hash, 0 where there is none (id 0 is the unknown piece)."""
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The piece of each hash, 0 where there is none (id 0 is the unknown piece), and whether a longer piece may begin like it."""
         got = self.first[(h * _SPREAD) >> np.uint64(64 - _SLOTS)]
-        out = np.where((got > 0) & (self.hashes[got] == h), got, 0)
+        piece = got & (_SECOND - 1)
+        piece[self.hashes[piece] != h] = 0
         if len(self.more):
-            rest = np.nonzero((got > 0) & (out == 0))[0]
+            rest = np.flatnonzero((piece == 0) & (got & _SECOND != 0))
             at = np.searchsorted(self.more, h[rest]).clip(0, len(self.more) - 1)
             hit = self.more[at] == h[rest]
-            out[rest[hit]] = self.more_ids[at[hit]]
-        return out
+            piece[rest[hit]] = self.more_ids[at[hit]]
+        return piece, got & _LONGER != 0
 
 
 def _split(text: str) -> list[str]:
     """The parts of a text that no piece crosses: a word with the blank before it, written without that blank, or with all of several;
     or a line feed with what follows it."""
     text = text.replace(BLANK, LITERAL)
-    if not _ODD.search(text):
-        return text.replace("\n", " \n").split(" ")
     return [t if t[0] == "\n" or t[1:2] == BLANK else t[1:] for t in _TYPES.findall(BLANK + text.replace(" ", BLANK))]
 
 
+def _plain(text: str) -> bool:
+    """Whether _split needs no more than a cut at blanks."""
+    return not ("  " in text or " \n" in text or "\n " in text or BLANK in text or text[:1] == " " or text[-1:] == " ")
+
+
 class _Numbers(dict):
     """Numbers words as they are asked for; ``new`` are those that no lattice has been built for."""
 
@@ -119,6 +139,33 @@ class _Numbers(dict):
         self.new.append(word)
         return n
 
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the words of texts, one text after another, and how many each has. Arrow cuts all but odd texts."""
+        plain = np.fromiter(map(_plain, texts), bool, len(texts)) & np.fromiter(map(bool, texts), bool, len(texts))
+        column = pa.array([t for t, p in zip(texts, plain.tolist(), strict=True) if p], pa.large_string())
+        cut = pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ")
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in words if w not in self]
+        self.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
+        self.new += new
+        known = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        per = np.zeros(len(texts), np.int64)
+        per[plain] = pc.list_value_length(cut).to_numpy(zero_copy_only=False)
+        own = known[coded.indices.to_numpy()] if len(known) else known
+        if plain.all():
+            return own, per
+        odd = [[self[w] for w in _split(t)] if t else [] for t, p in zip(texts, plain.tolist(), strict=True) if not p]
+        per[~plain] = [len(x) for x in odd]
+        out, is_plain = np.empty(int(per.sum()), np.int64), np.repeat(plain, per)
+        out[is_plain], out[~is_plain] = own, np.array([n for x in odd for n in x], np.int64)
+        return out, per
+
+
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, so many of them, one run after another."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
 
 class Lattice:
     """The lattices of distinct strings, one after another, each followed by an end position; strings are added as they come.
@@ -132,7 +179,29 @@ class Lattice:
         self.vocabulary, self.numbers, self.used, self.edges = vocabulary, _Numbers(), 0, 0
         self.positions = {"points": np.zeros(1 << 16, np.uint32), "first": np.zeros(1 << 16, np.int32), "best": np.zeros(1 << 16, np.int32), "likely": np.zeros(1 << 16, np.float32)}
         self.by_edge = {"size": np.zeros(1 << 17, np.int8), "piece": np.zeros(1 << 17, np.int32), "log_p": np.zeros(1 << 17, np.float32), "other": np.zeros(1 << 17, np.float32)}
-        self.start, self.end = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.start, self.end, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def drop_rare(self) -> None:
+        """Forgets the strings that were asked for once only since the last time, or all if the others fill half of MAX_POINTS."""
+        own = np.flatnonzero(self.uses > 1)
+        size = self.end[own] - self.start[own] + 1
+        if 2 * int(size.sum()) > MAX_POINTS:
+            own, size = own[:0], size[:0]
+        words = list(self.numbers)
+        self.numbers = _Numbers()
+        self.numbers.update(zip([words[i] for i in own.tolist()], range(len(own)), strict=True))
+        first_edge = self.positions["first"][self.start[own]].astype(np.int64)
+        n_edges = self.positions["first"][self.end[own]] - first_edge
+        places, moved = _runs(self.start[own], size), np.repeat(np.cumsum(n_edges) - n_edges - first_edge, size)
+        edges = _runs(first_edge, n_edges)
+        self.used, self.edges = len(places), len(edges)
+        for name, x in self.positions.items():
+            x[: self.used] = x[places] + moved if name in ("first", "best") else x[places]
+        for x in self.by_edge.values():
+            x[: self.edges] = x[edges]
+        self.positions["first"][self.used] = self.edges
+        begin = np.cumsum(size) - size
+        self.start, self.end, self.uses = begin, begin + size - 1, np.zeros(len(own), np.int32)
 
     @staticmethod
     def _room(arrays: dict[str, np.ndarray], used: int, more: int) -> None:
@@ -143,53 +212,23 @@ class Lattice:
 
     def grow(self) -> None:
         """Builds the lattices of the strings that were numbered since the last call."""
-        strings = [t if t[:1] in ("\n", BLANK) and t else BLANK + t for t in self.numbers.new]
-        self.numbers.new.clear()
-        if not strings:
+        if not self.numbers.new:
             return
-        points = np.frombuffer((END.join(strings) + END).encode("utf-32-le", "surrogatepass"), np.uint32)
+        # Each gets the blank before it unless it starts with a line feed or a blank of its own.
+        strings = (END + BLANK) + (END + BLANK).join(self.numbers.new) + END
+        strings = strings.replace(END + BLANK + "\n", END + "\n").replace(END + BLANK + BLANK, END + BLANK)
+        self.numbers.new.clear()
+        points = np.frombuffer(strings.encode("utf-32-le", "surrogatepass"), np.uint32)[1:]
         n = len(points)
-        ends = np.nonzero(points == ord(END))[0]
+        ends = np.flatnonzero(points == ord(END))
         begin = np.append(0, ends[:-1] + 1)
         left = np.repeat(ends, ends - begin + 1) - np.arange(n)
-        at = np.nonzero(left > 0)[0]
-        h = np.zeros(len(at), np.uint64)
-        shifted = points.astype(np.uint64) + np.uint64(1)
-        grid = np.zeros((n, MOST), np.int16 if len(self.vocabulary.pieces) < 1 << 15 else np.int32)
-        for size in range(1, MOST + 1):
-            if size > 1:
-                keep = left[at] >= size
-                at, h = at[keep], h[keep]
-            if not len(at):
-                break
-            h = h * _B + shifted[at + size - 1]
-            found = self.vocabulary.find(h)
-            if size == 1:
-                found[found == 0] = -1
-            grid[at, size - 1] = found
-        cell = np.flatnonzero(grid)
-        piece, pos, size = grid.ravel()[cell].astype(np.int32), (cell // MOST).astype(np.int32), (cell % MOST + 1).astype(np.int32)
-        total = len(cell)
-        count = np.bincount(pos, minlength=n)
+        pos, size, piece, count = self._edges(points, left)
         first = np.append(0, np.cumsum(count))
-        w = np.where(piece > 0, self.vocabulary.weights[piece], BYTE)
-        behind = np.zeros(n)
-        away = left[pos]
-        back = np.argsort(away.astype(np.uint16) if int(left.max()) < 1 << 16 else away, kind="stable")
-        b_pos, b_to, b_w = pos[back], (pos + size)[back], w[back]
-        heads = np.nonzero(np.diff(b_pos, prepend=-1))[0]
-        bounds = np.searchsorted(away[back[heads]], np.arange(1, int(left.max()) + 2))
-        tails = np.append(heads, total)
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if lo == hi:
-                continue
-            own = slice(tails[lo], tails[hi])
-            x = b_w[own] + behind[b_to[own]]
-            local = heads[lo:hi] - tails[lo]
-            top = np.maximum.reduceat(x, local)
-            behind[b_pos[heads[lo:hi]]] = top + np.log(np.add.reduceat(np.exp((x - np.repeat(top, np.diff(tails[lo : hi + 1]))).astype(np.float32)), local))
-        log_p = (w + behind[pos + size] - behind[pos]).astype(np.float32)
-        p = np.exp(log_p)
+        p = self._shares(pos, size, self.vocabulary.mass[piece], count, first, left)
+        with np.errstate(divide="ignore"):
+            log_p = np.log(p).astype(np.float32)
+        p = p.astype(np.float32)
         heads = first[:-1][count > 0]
         top = np.maximum.reduceat(p, heads)
         best_at = np.nonzero(p == np.repeat(top, count[count > 0]))[0]
@@ -210,10 +249,68 @@ class Lattice:
         for name, x in (("size", size), ("piece", piece), ("log_p", log_p), ("other", other)):
             self.by_edge[name][own] = x
         self.start, self.end = np.append(self.start, begin + self.used), np.append(self.end, ends + self.used)
+        self.uses = np.append(self.uses, np.zeros(len(ends), np.int32))
         self.used += n
         self.edges += len(pos)
         self.positions["first"][self.used] = self.edges
 
+    def _edges(self, points: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(position, size, piece) of all edges by position, then size; and how many each position has."""
+        n = len(points)
+        shifted = np.append(points, np.zeros(self.vocabulary.most, np.uint32)).astype(np.uint64) + np.uint64(1)
+        at = np.flatnonzero(left > 0)
+        h, found, count = np.zeros(len(at), np.uint64), [], np.zeros(n, np.int32)
+        for size in range(1, self.vocabulary.most + 1):
+            h = h * _B + shifted[at + (size - 1)]
+            piece, longer = self.vocabulary.find(h)
+            if size == 1:
+                piece[piece == 0] = -1
+                found.append((at, piece))
+            else:
+                own = np.flatnonzero(piece)
+                found.append((at[own], piece[own]))
+            count[found[-1][0]] += 1
+            longer = np.flatnonzero(longer)
+            at, h = at[longer], h[longer]
+            if not len(at):
+                break
+        free = np.cumsum(count) - count
+        total = int(count.sum())
+        pos, sizes, pieces = np.zeros(total, np.int64), np.zeros(total, np.int8), np.zeros(total, np.int32)
+        for size, (where, piece) in enumerate(found, 1):
+            place = free[where]
+            pos[place], sizes[place], pieces[place] = where, size, piece
+            free[where] = place + 1
+        return pos, sizes, pieces, count
+
+    def _shares(self, pos: np.ndarray, size: np.ndarray, mass: np.ndarray, count: np.ndarray, first: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Each edge's probability at its position, by sums over all ways to a string's end, nearest positions first."""
+        most = int(left.max())
+        at = np.flatnonzero(count)
+        away = left[at]
+        order = at[np.argsort(away.astype(np.uint16) if most < 1 << 16 else away, kind="stable")]
+        n_edges = count[order]
+        heads = np.append(0, np.cumsum(n_edges))
+        back = np.repeat(first[order] - heads[:-1], n_edges) + np.arange(len(pos))
+        to, mass = (pos + size)[back], mass[back]
+        bounds = np.append(0, np.cumsum(np.bincount(away, minlength=most + 1)[1:])).tolist()
+        behind, sums = np.zeros(len(left)), np.zeros(len(pos))
+        behind[left == 0] = 1.0
+        cut, start = heads[bounds].tolist(), 0
+        for a in range(1, most + 1):
+            lo, hi, own = bounds[a - 1], bounds[a], slice(cut[a - 1], cut[a])
+            sums[own] = mass[own] * behind[to[own]]
+            behind[order[lo:hi]] = np.add.reduceat(sums[own], heads[lo:hi] - cut[a - 1])
+            if a - start == max(RENEW, self.vocabulary.most) or a == most:
+                own = slice(bounds[start], hi)
+                sums[cut[start] : cut[a]] /= np.repeat(behind[order[own]], n_edges[own])
+                start = a
+                if a < most:
+                    behind[order[lo:hi, None] + np.arange(self.vocabulary.most)] /= behind[order[lo:hi]][:, None]
+        out = np.empty_like(sums)
+        out[back] = sums
+        return out
+
     def pick(self, at: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge at each position, for uniform u."""
         out = self.positions["best"][at]
@@ -229,8 +326,8 @@ class Lattice:
 
     def spread(self, at: np.ndarray) -> np.ndarray:
         """Probabilities at few positions, by size."""
-        p, edge, stop = np.zeros((len(at), MOST)), self.positions["first"][at], self.positions["first"][at + 1]
-        for k in range(MOST):
+        p, edge, stop = np.zeros((len(at), self.vocabulary.most)), self.positions["first"][at], self.positions["first"][at + 1]
+        for k in range(self.vocabulary.most):
             own = np.nonzero(edge + k < stop)[0]
             e = edge[own] + k
             p[own, self.by_edge["size"][e] - 1] = np.exp(self.by_edge["log_p"][e].astype(float))
@@ -241,12 +338,16 @@ class Lattice:
         full = self.spread(at)
         p = np.where(taken, 0.0, full)
         sums = np.cumsum(p, axis=1)
-        chosen = np.minimum((sums <= u[:, None] * sums[:, -1:]).sum(1), MOST - 1 - (p > 0)[:, ::-1].argmax(1))
+        chosen = np.minimum((sums <= u[:, None] * sums[:, -1:]).sum(1), p.shape[1] - 1 - (p > 0)[:, ::-1].argmax(1))
         return self.positions["first"][at] + np.cumsum(full > 0, axis=1)[np.arange(len(at)), chosen] - 1
 
 
+def _fraction(h: np.ndarray) -> np.ndarray:
+    return ((_mixed(h) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+
+
 def _uniform(seed: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return ((_mixed(seed + (count.astype(np.uint64) + np.uint64(1)) * _B) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+    return _fraction(seed + (count.astype(np.uint64) + np.uint64(1)) * _B)
 
 
 def _below(limit: np.ndarray, log_mass: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -259,16 +360,15 @@ def search(net: Lattice, texts: list[str], keys: np.ndarray, samples: int = SAMP
     """For each text up to ``samples`` distinct segmentations as dicts of ids, log_p, perturbed, log_inclusion, decoded (bytes)."""
     docs = len(texts)
     vocabulary = net.vocabulary
-    words, per, number = [], np.zeros(docs, np.int64), net.numbers.__getitem__
-    for d, t in enumerate(texts):
-        own = _split(t) if t else []
-        per[d] = len(own)
-        words.extend(map(number, own))
-    if not words:
+    kind, per = net.numbers.of(texts)
+    if not len(kind):
         return [[{"ids": np.zeros(0, np.int32), "log_p": 0.0, "perturbed": 0.0, "log_inclusion": 0.0, "decoded": b""}] for _ in texts]
     net.grow()
-    kind = np.array(words, np.int64)
-    size = (net.end - net.start)[kind]
+    seen = np.zeros(len(net.uses), bool)
+    seen[kind] = True
+    net.uses += seen
+    word_start, word_end = net.start[kind], net.end[kind]
+    size = word_end - word_start
     word_at = np.cumsum(size) - size
     total = int(size.sum())
     word_doc = np.repeat(np.arange(docs), per)
@@ -280,7 +380,7 @@ def search(net: Lattice, texts: list[str], keys: np.ndarray, samples: int = SAMP
     live = chars > 0
     cut, base = doc_at.copy(), np.zeros(docs)
     now = np.where(live, -np.log(-np.log(_uniform(seeds, np.full(docs, 1 << 62)))), -np.inf)
-    taken = np.zeros((docs, MOST), bool)
+    taken = np.zeros((docs, vocabulary.most), bool)
     heads: list[tuple[np.ndarray, bytes]] = [(np.zeros(0, np.int32), b"")] * docs
     paths: list[_Path] = []
     special: list[dict] = []  # sets that were opened before, by round: what is left of them
@@ -307,8 +407,10 @@ def search(net: Lattice, texts: list[str], keys: np.ndarray, samples: int = SAMP
                     edge = path.open(own, best)
                     cut[own], base[own] = path.places[edge], path.before[edge]
                     taken[own, net.by_edge["size"][path.edges[edge]] - 1] = True
-                    for d, n_ids, n_bytes in zip(own.tolist(), path.id_at[edge].tolist(), path.byte_at[edge].tolist(), strict=True):
-                        heads[d] = (path.ids[d][: n_ids + path.id_base[d]], path.data[d][: n_bytes + path.byte_base[d]])
+                    begin, n_ids = path.firsts[own], path.at[edge] - path.at[path.firsts[own]]
+                    n_bytes = path.ends[path.at[edge]] - path.ends[path.at[begin]]
+                    for d, i, j in zip(own.tolist(), n_ids.tolist(), n_bytes.tolist(), strict=True):
+                        heads[d] = (path.ids[d][: i + path.id_base[d]], path.data[d][: j + path.byte_base[d]])
             for q, left in enumerate(special):
                 own = np.nonzero(live & (which == q))[0]
                 cut[own], base[own], taken[own] = left["cut"][own], left["base"][own], left["taken"][own]
@@ -318,14 +420,14 @@ def search(net: Lattice, texts: list[str], keys: np.ndarray, samples: int = SAMP
         # Draw the rest of each text from its cut on: first the piece at the cut, then word by word.
         edge_at = np.zeros(total, np.int32)  # one more than the edge that starts at a character
         word_cut = np.searchsorted(word_at, cut, side="right") - 1
-        begin = np.where(np.arange(len(kind)) > word_cut[word_doc], 0, -1)
-        own_words = word_cut[live]
-        begin[own_words] = cut[live] - word_at[own_words]
-        active = np.nonzero((begin >= 0) & live[word_doc])[0]
-        place, at = word_at[active] + begin[active], net.start[kind[active]] + begin[active]
+        active = np.flatnonzero(np.arange(len(kind)) >= np.where(live, np.maximum(word_cut, 0), len(kind))[word_doc]) if r else np.arange(len(kind))
+        place, at, stop = word_at[active], word_start[active], word_end[active]
+        salt = (seeds + ((r << 40) + 1 - doc_at).astype(np.uint64) * _B)[word_doc[active]]  # _uniform's seed and count, but for the place
         if r:
-            f = np.nonzero(place == cut[word_doc[active]])[0]
+            f = np.flatnonzero(active == word_cut[word_doc[active]])
             d = word_doc[active[f]]
+            inside = cut[d] - place[f]
+            place[f], at[f] = cut[d], at[f] + inside
             n = net.pick_other(at[f], _uniform(seeds[d], place[f] - doc_at[d] + (r << 40)), taken[d])
             edge_at[place[f]] = n + 1
             net_at_cut, cut_size = np.zeros(docs, np.int64), np.zeros(docs, np.int64)
@@ -333,17 +435,15 @@ def search(net: Lattice, texts: list[str], keys: np.ndarray, samples: int = SAMP
             net_at_cut[d], cut_size[d] = at[f], size_f
             place[f] += size_f
             at[f] += size_f
-        stop = net.end[kind[active]]
-        while True:
-            keep = at < stop
-            active, place, at, stop = active[keep], place[keep], at[keep], stop[keep]
-            if not len(active):
-                break
-            d = word_doc[active]
-            n = net.pick(at, _uniform(seeds[d], place - doc_at[d] + (r << 40)))
+            keep = np.flatnonzero(at < stop)
+            place, at, stop, salt = place[keep], at[keep], stop[keep], salt[keep]
+        while len(at):
+            n = net.pick(at, _fraction(salt + place.astype(np.uint64) * _B))
             edge_at[place] = n + 1
             size_n = net.by_edge["size"][n]
-            place, at = place + size_n, at + size_n
+            at = at + size_n
+            keep = np.flatnonzero(at < stop)
+            place, at, stop, salt = (place + size_n)[keep], at[keep], stop[keep], salt[keep]
         places = np.nonzero(edge_at)[0]
         edges = edge_at[places] - 1
         firsts = np.append(np.searchsorted(places, doc_at), len(places))
@@ -351,22 +451,16 @@ def search(net: Lattice, texts: list[str], keys: np.ndarray, samples: int = SAMP
         sums = np.append(0.0, np.cumsum(net.by_edge["log_p"][edges], dtype=float))
         before = sums[:-1] + (base - sums[firsts[:-1]])[doc_of]
         mass = before + net.by_edge["other"][edges]
-        maxima = np.full(len(places), -np.inf)
-        # A set far less likely than the text's likeliest one has no chance, not one in 10 ** 20, to come among the first samples.
-        top = np.maximum.reduceat(np.append(mass, -np.inf), np.minimum(firsts[:-1], len(mass)))
-        grow = np.nonzero(mass > (top - FAR)[doc_of])[0]
-        if r:
-            grow = grow[places[grow] != cut[doc_of[grow]]]
-        dg = doc_of[grow]
-        maxima[grow] = _below(now[dg], mass[grow], _uniform(seeds[dg], places[grow] - doc_at[dg] + (r << 40) + (1 << 39)))
+        maxima = _below(now[doc_of], mass, _fraction((seeds + ((r << 40) + (1 << 39) + 1 - doc_at).astype(np.uint64) * _B)[doc_of] + places.astype(np.uint64) * _B))
         if r:
+            maxima[places == cut[doc_of]] = -np.inf
             own = np.nonzero(live)[0]
             left = taken.copy()
             left[own, cut_size[own] - 1] = True
             rest = np.where(left[own], 0.0, net.spread(net_at_cut[own])).sum(1)
             new_best = np.full(docs, -np.inf)
             with np.errstate(divide="ignore"):
-                new_best[own] = _below(now[own], np.where(rest > 1e-15, base[own] + np.log(rest), -np.inf), _uniform(seeds[own], np.full(len(own), (1 << 61) + r)))
+                new_best[own] = _below(now[own], base[own] + np.log(rest), _uniform(seeds[own], np.full(len(own), (1 << 61) + r)))
             special.append({"best": new_best, "cut": cut.copy(), "base": base.copy(), "taken": left, "heads": heads})
         path = _Path(places, edges, before, maxima, firsts)
         path.spell(net, kind, word_at, heads, live if r else np.ones(docs, bool))
@@ -407,20 +501,18 @@ class _Path:
     def spell(self, net: Lattice, kind: np.ndarray, word_at: np.ndarray, heads: list[tuple[np.ndarray, bytes]], live: np.ndarray) -> None:
         pieces = net.by_edge["piece"][self.edges]
         odd = np.nonzero(pieces < 0)[0]
-        extra = np.ones(len(pieces), np.int64)
-        spelt: list[list[int]] = []
+        at, ids = np.arange(len(pieces) + 1), pieces
         if len(odd):
             w = np.searchsorted(word_at, self.places[odd], side="right") - 1
             points = net.positions["points"][net.start[kind[w]] + self.places[odd] - word_at[w]]
-            spelt = [list((BLANK if c == ord(LITERAL) else chr(c)).encode()) for c in points.tolist()]
-            extra[odd] = [len(b) for b in spelt]
-        at = np.append(0, np.cumsum(extra))
-        ids = np.repeat(pieces, extra)
-        if len(odd):
-            ids[np.repeat(at[odd] - np.append(0, np.cumsum(extra[odd])[:-1]), extra[odd]) + np.arange(int(extra[odd].sum()))] = [net.vocabulary.bytes[b] for bs in spelt for b in bs]
+            spelt = [(BLANK if c == ord(LITERAL) else chr(c)).encode() for c in points.tolist()]
+            extra = np.ones(len(pieces), np.int64)
+            extra[odd] = sizes = np.fromiter(map(len, spelt), np.int64, len(spelt))
+            at = np.append(0, np.cumsum(extra))
+            ids = np.repeat(pieces, extra)
+            ids[np.repeat(at[odd] - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(int(sizes.sum()))] = net.vocabulary.byte_ids[np.frombuffer(b"".join(spelt), np.uint8)]
         data, ends = decode(net.vocabulary, ids)
-        a = self.firsts[:-1]
-        self.id_at, self.byte_at = at[:-1] - np.repeat(at[a], np.diff(self.firsts)), ends[at[:-1]] - np.repeat(ends[at[a]], np.diff(self.firsts))
+        self.at, self.ends = at, ends
         self.id_base, self.byte_base = [len(h[0]) for h in heads], [len(h[1]) for h in heads]
         id_cut, byte_cut = at[self.firsts].tolist(), ends[at[self.firsts]].tolist()
         self.ids, self.data = [None] * len(heads), [b""] * len(heads)
@@ -432,15 +524,9 @@ class _Path:
 
 def decode(vocabulary: Vocabulary, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The bytes of ids, blanks restored, and where each id's begin, with the end last. A text's encoding starts with one blank more."""
-    if not hasattr(vocabulary, "spellings"):
-        spell = [p.replace(BLANK, " ").encode() for p in vocabulary.pieces]
-        for b, i in vocabulary.bytes.items():
-            spell[i] = bytes([b])
-        vocabulary.spellings = (np.frombuffer(b"".join(spell), np.uint8), np.cumsum([0] + [len(x) for x in spell]))
-    table, offset = vocabulary.spellings
-    size = (offset[1:] - offset[:-1])[ids]
-    ends = np.append(0, np.cumsum(size))
-    return table[np.repeat(offset[ids] - ends[:-1], size) + np.arange(int(ends[-1]))].tobytes(), ends
+    spelt = vocabulary.spellings.take(pa.array(ids))
+    ends = np.frombuffer(spelt.buffers()[1], np.int64, len(spelt) + 1)
+    return (spelt.buffers()[2] or pa.py_buffer(b"")).to_pybytes()[: int(ends[-1])], ends
 
 
 SEGMENTATION = StructType([StructField("ids", ArrayType(IntegerType())), StructField("log_p", DoubleType()), StructField("perturbed", DoubleType()), StructField("log_inclusion", DoubleType()), StructField("decodes", BooleanType())])
@@ -451,9 +537,11 @@ _KEPT: list[Lattice] = []
 
 
 def _lattice(vocabulary: Vocabulary) -> Lattice:
-    """This worker's lattice of the strings seen so far, or a new one when that has MAX_POINTS positions."""
-    if not _KEPT or _KEPT[0].used > MAX_POINTS or _KEPT[0].vocabulary.pieces is not vocabulary.pieces and _KEPT[0].vocabulary.pieces != vocabulary.pieces:
+    """This worker's lattice of the strings seen so far, without the rare ones when it has MAX_POINTS positions."""
+    if not _KEPT or _KEPT[0].vocabulary.pieces is not vocabulary.pieces and _KEPT[0].vocabulary.pieces != vocabulary.pieces:
         _KEPT[:] = [Lattice(vocabulary)]
+    if _KEPT[0].used > MAX_POINTS:
+        _KEPT[0].drop_rare()
     return _KEPT[0]
 
 

@@ -7,6 +7,7 @@ import tempfile
 import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -36,12 +37,17 @@ def session(df: DataFrame) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the folder that driver and executors share; a local one only where spark.checkpoint.dir is unset."""
+    """A new folder's path in the folder that driver and executors share.
+
+    Where spark.checkpoint.dir is unset, a session whose executors are threads of the driver gets a temporary folder; any other raises.
+    """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and sc._jsc.sc().getCheckpointDir().isDefined():
         root = sc._jsc.sc().getCheckpointDir().get()
     if not root:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="quire-")
         sc.setCheckpointDir(root)
     return f"{root.rstrip('/')}/quire-{name}-{uuid.uuid4().hex}"
@@ -51,7 +57,51 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows as Parquet in the shared folder and reads them again: lineage ends here, and a lost executor costs nothing."""
     path = shared_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that ``stored`` made, once nothing that is still to be computed reads them."""
+    for df in tables:
+        if path := getattr(df, "_stored_at", None):
+            _hadoop_path(df.sparkSession, path)[1].delete(_hadoop_path(df.sparkSession, path)[0], True)
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, the cluster's default one where it has none, as pyarrow's file systems read it."""
+    where, store = _hadoop_path(spark, path)
+    return store.makeQualified(where).toString().replace("s3a://", "s3://", 1)
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Runs what is inside with other settings (dots written as __), and puts the old ones back."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    old = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit numbers, each bit of which depends on all bits of the given ones; a bijection."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
 def small_enough(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
@@ -104,7 +154,8 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now = stored(small, "edges")
+        before, now = now, stored(small, "edges")
+        release(before)
         seen = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if (seen.n, seen.x) == mark:
             break

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import components, lookup_skewed, session, slices, small_side, stored, trim, utf8
+from .common import components, lookup_skewed, mixed, session, slices, small_side, stored, trim, utf8
 
 #: Lines of fewer code points are left alone. Lines at most EDITS insertions, deletions and substitutions apart are links.
 LEAST_CHARS, EDITS = 30, 2
@@ -57,12 +57,6 @@ def probes(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def line_keys(lines: list[str], edits: int = EDITS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(place of the line, key, whether it is one of its own segments, parity signature of each line)."""
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -72,14 +66,14 @@ def line_keys(lines: list[str], edits: int = EDITS) -> tuple[np.ndarray, np.ndar
     sums = np.zeros(len(points) + 1, np.uint64)
     np.cumsum((points + np.uint64(1)) * up[:-1], out=sums[1:])
     # One edit changes two character pairs into two others at most, and so four parities.
-    pair = np.uint64(1) << (_mixed(points[:-1] * np.uint64(0x100000001B3) + points[1:]) >> np.uint64(58))
+    pair = np.uint64(1) << (mixed(points[:-1] * np.uint64(0x100000001B3) + points[1:]) >> np.uint64(58))
     edges = np.ravel(np.column_stack([start, np.maximum(start + length - 1, start)]))
     signs = np.bitwise_xor.reduceat(np.append(pair, np.zeros(2, np.uint64)), edges)[::2]
 
     def hashed(who: np.ndarray, of: np.ndarray, i: int, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         a = start[who] + at
         h = (sums[a + size] - sums[a]) * down[a]
-        return _mixed(h ^ _mixed((of.astype(np.uint64) << np.uint64(8)) + np.uint64(i)))
+        return mixed(h ^ mixed((of.astype(np.uint64) << np.uint64(8)) + np.uint64(i)))
 
     everyone = np.arange(len(lines))
     who, keys, own = [], [], []

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from .common import session, slices, utf8
+from .common import mixed, session, slices, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 3
@@ -40,12 +40,6 @@ _SLOTS, _LONGER, _SECOND = 19, 1 << 30, 1 << 29
 LEVEL, RENEW = 5.0, 32
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 class Vocabulary:
     """Pieces, their weights, and a table from hashes of strings to pieces. It is read on the driver and sent with the task."""
 
@@ -343,7 +337,7 @@ class Lattice:
 
 
 def _fraction(h: np.ndarray) -> np.ndarray:
-    return ((_mixed(h) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+    return ((mixed(h) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
 def _uniform(seed: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -375,7 +369,7 @@ def search(net: Lattice, texts: list[str], keys: np.ndarray, samples: int = SAMP
     doc_words = np.cumsum(per) - per
     chars = np.bincount(word_doc, size, docs).astype(np.int64)
     doc_at = np.cumsum(chars) - chars
-    seeds = _mixed(keys.astype(np.int64).view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
+    seeds = mixed(keys.astype(np.int64).view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
 
     live = chars > 0
     cut, base = doc_at.copy(), np.zeros(docs)

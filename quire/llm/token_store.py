@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .common import session, shared_dir, stored, utf8
+from .common import mixed, qualified, release, session, settings, shared_dir, stored, utf8
 
 SEQ_LEN, SHARD_BYTES, KEY, ROUNDS = 512, 32 << 20, 0x5DEECE66D, 6
 #: The query's vocabulary, 50,256 ranks of byte pairs of many languages, and the pattern that it was made with.
@@ -28,26 +28,23 @@ RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Record: document id, number of the sequence in the document, number of tokens, then the ids, filled up with zeros.
 HEAD = np.dtype([("doc_id", "<i8"), ("seq", "<i4"), ("n", "<i4")])
-FLUSH_BYTES, MOST_PARTITIONS = 4 << 20, 4_096
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+FLUSH_BYTES, ROWS_AT_ONCE, MOST_PARTITIONS = 4 << 20, 1_024, 4_096
+#: Ranges of shards that are written one after another: the shuffle's files of one are gone before the next one's are made, so that
+#: they never take more than this share of the ids' space.
+SHARD_ROUNDS = 2
 
 
 def permuted(numbers: np.ndarray, total: int, key: int = KEY) -> np.ndarray:
     """The slots of sequence numbers below total: a bijection of range(total) for each key."""
     half = max(1, (max(1, total - 1).bit_length() + 1) // 2)
     mask, shift = np.uint64((1 << half) - 1), np.uint64(half)
-    keys = [_mixed(np.array([key + 0x9E3779B97F4A7C15 * (r + 1) & (1 << 64) - 1], np.uint64)) for r in range(ROUNDS)]
+    keys = [mixed(np.array([key + 0x9E3779B97F4A7C15 * (r + 1) & (1 << 64) - 1], np.uint64)) for r in range(ROUNDS)]
     out = numbers.astype(np.uint64)
     todo = np.arange(len(out))
     while len(todo):
         left, right = out[todo] >> shift, out[todo] & mask
         for k in keys:
-            left, right = right, left ^ (_mixed(right ^ k) & mask)
+            left, right = right, left ^ (mixed(right ^ k) & mask)
         out[todo] = left << shift | right
         todo = todo[out[todo] >= total]
     return out.astype(np.int64)
@@ -80,7 +77,8 @@ def rank_ids(docs: DataFrame, ranks: str = RANKS, pattern: str = PATTERN) -> Dat
     return stored(docs.select("doc_id", encode("text").alias("ids")), "ids")
 
 
-def _sender(width: int, seq_len: int, offsets: dict[int, tuple[int, int]], total: int, per_shard: int, key: int) -> Callable:
+def _sender(width: int, seq_len: int, offsets: dict[int, tuple[int, int]], total: int, per_shard: int, key: int, slots: tuple[int, int]) -> Callable:
+    """Sends the sequences whose slots lie in a range, as compressed blocks of one shard each."""
     payload = seq_len * width
     stride = HEAD.itemsize + payload
 
@@ -89,37 +87,46 @@ def _sender(width: int, seq_len: int, offsets: dict[int, tuple[int, int]], total
         at, expected = offsets.get(part, (0, 0))
         end = at + expected
         squeeze = zstandard.ZstdCompressor(3)
-        heads: list[tuple[int, int, int]] = []
-        bodies: list[bytes] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal at
-            records = np.zeros((len(heads), stride), np.uint8)
-            records[:, : HEAD.itemsize] = np.array(heads, HEAD).view(np.uint8).reshape(len(heads), -1)
-            for row, body in zip(records, bodies, strict=True):
-                row[HEAD.itemsize : HEAD.itemsize + len(body)] = np.frombuffer(body, np.uint8)
-            slots = permuted(np.arange(at, at + len(heads)), total, key)
-            at += len(heads)
-            order = np.argsort(slots)
-            shard = slots[order] // per_shard
-            cuts = np.append(np.nonzero(np.diff(shard, prepend=-1))[0], len(order))
-            rows = [(int(shard[a]), squeeze.compress(slots[order[a:b]].astype("<i8").tobytes() + records[order[a:b]].tobytes())) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            heads.clear()
-            bodies.clear()
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "block"])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal size
+            own, records = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            size = 0
+            order = np.argsort(own)
+            shard = own[order] // per_shard
+            cuts = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(order))
+            blocks = [squeeze.compress(own[order[a:b]].astype("<i8").tobytes() + records[order[a:b]].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]].astype(np.int32)), pa.array(blocks, pa.binary())], ["shard", "block"])
 
         for batch in batches:
-            ids = batch.column(0).fill_null(-1).to_pylist()
+            ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
             data, starts = utf8(batch.column(1))
-            for doc, a, b in zip(ids, starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                for k, i in enumerate(range(a, max(b, a + 1), payload)):
-                    body = bytes(data[i : min(b, i + payload)])
-                    heads.append((doc, k, len(body) // width))
-                    bodies.append(body)
-                    if len(heads) * stride >= FLUSH_BYTES:
-                        yield from flush()
-        if heads:
-            yield from flush()
+            flat, length = np.frombuffer(data, np.uint8), np.diff(starts)
+            n = np.maximum(1, -(-length // payload))
+            row = np.repeat(np.arange(len(n)), n)
+            seq = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            place = permuted(np.arange(at, at + len(row)), total, key)
+            at += len(row)
+            chosen = np.flatnonzero((place >= slots[0]) & (place < slots[1]))
+            for i in range(0, len(chosen), ROWS_AT_ONCE):
+                own = chosen[i : i + ROWS_AT_ONCE]
+                begin = starts[row[own]] + seq[own] * payload
+                used = np.minimum(payload, starts[row[own] + 1] - begin)
+                records = np.zeros((len(own), stride), np.uint8)
+                heads = np.zeros(len(own), HEAD)
+                heads["doc_id"], heads["seq"], heads["n"] = ids[row[own]], seq[own], used // width
+                records[:, : HEAD.itemsize] = heads.view(np.uint8).reshape(len(own), -1)
+                for record, a, b in zip(records, begin.tolist(), used.tolist(), strict=True):
+                    record[HEAD.itemsize : HEAD.itemsize + b] = flat[a : a + b]
+                held.append((place[own], records))
+                size += records.size
+                if size >= FLUSH_BYTES:
+                    yield flush()
+        if held:
+            yield flush()
         if at != end:
             raise RuntimeError(f"partition {part} holds {at - end + expected} sequences now and held {expected} when they were counted")
 
@@ -170,6 +177,7 @@ def write_store(ids: DataFrame, path: str, width: int = 1, seq_len: int = SEQ_LE
     Repeated rows are sequences of their own. A shard's file appears by a rename, so that a repeated task writes it again unharmed.
     """
     spark = session(ids)
+    path = qualified(spark, path)
     stride, payload = HEAD.itemsize + seq_len * width, seq_len * width
     n = F.greatest(F.lit(1), F.ceil(F.octet_length("ids") / payload)).cast("long")
     counted = {r.part: r.n for r in ids.select(F.spark_partition_id().alias("part"), n.alias("n")).groupBy("part").agg(F.sum("n").alias("n")).collect()}
@@ -182,13 +190,19 @@ def write_store(ids: DataFrame, path: str, width: int = 1, seq_len: int = SEQ_LE
     manifest = {"total": total, "seq_len": seq_len, "width": width, "stride": stride, "per_shard": per_shard, "shards": shards, "key": key}
     store, folder = fs.FileSystem.from_uri(path)
     store.create_dir(folder, recursive=True)
-    if total:
-        parts = min(shards, MOST_PARTITIONS)
-        blocks = ids.select("doc_id", "ids").mapInArrow(_sender(width, seq_len, offsets, total, per_shard, key), "shard int, block binary")
-        placed = blocks.repartitionById(parts, (F.col("shard") * F.lit(parts).cast("long") / F.lit(shards)).cast("int")).sortWithinPartitions("shard")
-        written = placed.mapInArrow(_writer(path, stride, total, per_shard), "shard int, slots long, crc32 long").agg(F.count("*").alias("shards"), F.sum("slots").alias("slots")).first()
-        if (written.shards, written.slots) != (shards, total):
-            raise RuntimeError(f"{written.slots} of {total} slots were written")
+    count = 0
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        for r in range(min(SHARD_ROUNDS, shards)):
+            low, high = shards * r // min(SHARD_ROUNDS, shards), shards * (r + 1) // min(SHARD_ROUNDS, shards)
+            parts = min(high - low, MOST_PARTITIONS)
+            blocks = ids.select("doc_id", "ids").mapInArrow(_sender(width, seq_len, offsets, total, per_shard, key, (low * per_shard, high * per_shard)), "shard int, block binary")
+            placed = blocks.repartitionById(parts, ((F.col("shard") - low) * F.lit(parts).cast("long") / F.lit(high - low)).cast("int")).sortWithinPartitions("shard")
+            written = placed.mapInArrow(_writer(path, stride, total, per_shard), "shard int, slots long, crc32 long").agg(F.count("*").alias("shards"), F.coalesce(F.sum("slots"), F.lit(0)).alias("slots")).first()
+            count += written.slots
+            if written.shards != high - low:
+                raise RuntimeError(f"{written.shards} of {high - low} shards were written")
+    if count != total:
+        raise RuntimeError(f"{count} of {total} slots were written")
     with store.open_output_stream(f"{folder}/manifest.json") as out:
         out.write(json.dumps(manifest).encode())
     return manifest
@@ -196,6 +210,7 @@ def write_store(ids: DataFrame, path: str, width: int = 1, seq_len: int = SEQ_LE
 
 def read_store(spark: SparkSession, path: str, first_slot: int = 0) -> DataFrame:
     """slot, shard, byte_offset, doc_id, seq, n_tokens, ids (binary) and crc32 of the ids, from ``first_slot`` on; shards are read in order."""
+    path = qualified(spark, path)
     store, folder = fs.FileSystem.from_uri(path)
     with store.open_input_stream(f"{folder}/manifest.json") as f:
         m = json.loads(f.read())
@@ -221,6 +236,12 @@ def read_store(spark: SparkSession, path: str, first_slot: int = 0) -> DataFrame
 
 
 def op4_token_store(spark, sf_dir: str) -> DataFrame:
-    path = shared_dir(spark, "tokens")
-    write_store(rank_ids(spark.read.parquet(f"{sf_dir}/documents.parquet")), path if ":" in path else f"file://{path}", width=2)
-    return read_store(spark, path if ":" in path else f"file://{path}").drop("ids")
+    """One row per sequence of every document's token ids, read back from the shards: slot, shard, byte_offset, doc_id, seq, n_tokens, crc32.
+
+    Null and empty texts have one sequence without tokens; a null doc_id is -1; repeated rows have sequences of their own; a table
+    without rows gives none; long texts have as many sequences as they need.
+    """
+    path, ids = shared_dir(spark, "tokens"), rank_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    write_store(ids, path, width=2)
+    release(ids)
+    return read_store(spark, path).drop("ids")

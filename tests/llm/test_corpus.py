@@ -281,10 +281,55 @@ def test_token_store_query_holds_token_ids(spark, sf_dir, odd_docs, tmp_path):
 def test_grammar():
     lexicon = toxicity.Lexicon({"idiot": 2.0}, {"moro": 3.0})
     read = lambda t: toxicity.clause_emissions(t, lexicon)
-    assert read("an idiot") == [("plain", 2.0)] and read("you are an idiot") == [("targeted", 2.0)] and read("not an idiot") == [("negated", 2.0)]
-    assert read("she said that idiot") == [("reported", 2.0)] and read("you moronic thing") == [("targeted", 3.0)] and read("i will kill you") == [] and read("you i will kill") == [("threat", 1.0)]
-    assert toxicity.text_features("", lexicon) == [0.0] * toxicity.N_FEATURES
-    assert toxicity.text_features("idiot. you idiot", lexicon)[:2] == pytest.approx([np.log1p(2.0)] * 2)
+    assert read("an idiot") == [("insult", 2.0)] and read("you are an idiot") == [("insult+target", 2.0)] and read("not an idiot") == [("insult+negated", 2.0)]
+    assert read("she said that idiot") == [("insult+reported+target", 2.0)] and read("idiot, the man said") == [("insult+reported", 2.0)] and read("you moronic thing") == [("insult+target", 3.0)]
+    assert read("i will kill you") == read("kill them all") == read("you i will kill") == [("threat+target", 2.0)] and read("kill the process") == [("threat", 2.0)]
+    assert read("no, you idiot") == [("insult+target", 2.0)] and read("idiot and idiot") == [("insult", 2.0), ("insult", 2.0), ("again", 2.0)] and read("") == []
+    assert toxicity.text_features("", lexicon) == [0.0] * len(toxicity.FEATURES)
+    by = dict(zip(toxicity.FEATURES, toxicity.text_features("idiot. you idiot", lexicon), strict=True))
+    assert by["insult"] == by["insult+target"] == by["heaviest"] == pytest.approx(np.log1p(2.0)) and by["clauses"] == pytest.approx(np.log1p(2))
+    model = toxicity.Model(lexicon, toxicity.start_weights())
+    assert model.score("Kill them all!") > 0.5 > model.score("kill the process") and model.score("you idiot") > 0.5 > model.score("you are not an idiot")
+    long = "word " * 50_000 + "idiot " + "word " * 50_000
+    assert toxicity.text_features(long, lexicon)[0] == pytest.approx(np.log1p(2.0))
+
+
+def test_composed_machine_equals_all_paths_of_its_parts():
+    def paths(machine, symbols):
+        found = [(machine.start, (), ())]
+        for x in symbols:
+            found = [(after, out + (y,), names + (n,)) for s, out, names in found for z, y, n, after in machine.arcs[s] if z == x]
+        return [(out, names) for s, out, names in found if s in machine.finals]
+
+    parts = [toxicity.negation(), toxicity.reported_speech(), toxicity.target(), toxicity.patterns()]
+
+    def brute(classes):
+        found = [(tuple((c, frozenset()) for c in classes), ())]
+        for machine in parts:
+            found = [p for symbols, _ in found for p in paths(machine, symbols)]
+        return [tuple((i, n) for i, names in enumerate(names) for n in names) for _, names in found]
+
+    rng = random.Random(2)
+    for _ in range(1500):
+        classes = "".join(rng.choice(toxicity.CLASSES + "oi") for _ in range(rng.randint(0, 14)))
+        assert brute(classes) == [toxicity.accepted(classes)], classes
+
+
+def test_contexts_decide_where_words_do_not(monkeypatch):
+    # Each pair has the same words; only where they stand differs.
+    pairs = [("you are an idiot, not fine", "you are not an idiot, fine"), ("the man said fine. what an idiot", "the man said what an idiot. fine"), ("i will kill you. then stop the process", "i will kill the process. then you stop"), ("moron, never good", "never moron, good")]
+    rng, lexicon = random.Random(7), toxicity.Lexicon({"idiot": 2.0, "moron": 2.0}, {})
+    rows = [(" ".join(rng.choice(["alder", "birch", "cedar"]) for _ in range(5)) + ". " + rng.choice(pairs)[1 - i % 2], i % 2) for i in range(800)]
+
+    def accuracy():
+        x, y = np.array([toxicity.text_features(t, lexicon) for t, _ in rows]), np.array([y for _, y in rows], float)
+        model = toxicity.Model(lexicon, toxicity.fit_logistic(x[:600], y[:600]))
+        return sum((model.score(t) >= 0.5) == y for t, y in rows[600:]) / 200
+
+    assert accuracy() >= 0.97
+    words = lambda clause, lexicon: [("insult", w) for c, w in (lexicon.classify(m.group()) for m in toxicity._TOKENS.finditer(clause)) if c in (toxicity.INSULT, toxicity.THREAT)]
+    monkeypatch.setattr(toxicity, "clause_emissions", words)
+    assert accuracy() <= 0.7
 
 
 def test_toxicity(spark, odd_docs, no_docs):

@@ -2,12 +2,13 @@
 
 A line is cut into ``EDITS`` + 1 segments. Two lines at most EDITS edits apart share a segment of the shorter one, at a place that the
 lengths and the segment's number narrow down to a few. Each line therefore sends its own segments and those few substrings, as hashes
-that include the shorter line's length, to one join; the pairs that meet are checked by a parity signature and then exactly.
+that include the shorter line's length, to one join; the pairs that meet are checked by a parity signature and then exactly. Lines that
+are too short for such segments to tell anything are duplicates only if they are equal.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import components, lookup_skewed, mixed, session, slices, small_side, stored, trim, utf8
+from .common import components, lookup_skewed, mixed, release, session, slices, small_side, stored, trim, utf8
 
-#: Lines of fewer code points are left alone. Lines at most EDITS insertions, deletions and substitutions apart are links.
+#: Lines of so many code points or more that are at most EDITS insertions, deletions and substitutions apart are links.
 LEAST_CHARS, EDITS = 30, 2
+#: Rows of one key that a task compares; the rows of a key with more go in parts of this size, two and two, to tasks of their own.
+KEY_ROWS = 100_000
+#: What a line that is more than white space holds.
+SOLID = r"[^\x20\x09-\x0D]"
 #: Bytes of text whose keys are made at once, in arrays of 8 bytes a character.
 SEND_BYTES = 512 << 10
 #: Lines whose keys a task remembers having sent, and rows that it matches at once.
@@ -151,35 +156,110 @@ def _pairs(key: np.ndarray, line: np.ndarray, sign: np.ndarray, own: np.ndarray)
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key; a key's rows are held together, in 25 bytes each, and compared in blocks."""
-    held: list[list[np.ndarray]] = []
-    count = 0
+MET = "a long, b long, sign long, own boolean, key long, part int"
 
-    def work(final: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal held, count
-        key, line, sign, own = (np.concatenate(c) for c in zip(*held, strict=True))
-        cut = len(key) if final else int(np.searchsorted(key, key[-1], side="left"))
-        held, count = [[x[cut:] for x in (key, line, sign, own)]], len(key) - cut
-        if cut:
-            a, b = _pairs(key[:cut], line[:cut], sign[:cut], own[:cut])
-            if len(a):
-                both = np.unique(np.column_stack([a, b]), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
 
-    more = ROWS_AT_ONCE
+def _met(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    both = np.unique(np.column_stack([a, b]), axis=0)
+    none = [pa.nulls(len(both), t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int32())]
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), *none], ["a", "b", "sign", "own", "key", "part"])
+
+
+def _meet(key_rows: int) -> Callable:
+    """Rows come sorted by key; a key's rows are held together, in 25 bytes each, and compared in blocks.
+
+    What comes out is pairs (a, b), or, of keys with more than ``key_rows`` rows, the rows themselves (a, sign, own, key), each with
+    the number of its part.
+    """
+
+    def large(rows: list[np.ndarray], first: int) -> pa.RecordBatch:
+        key, line, sign, own = rows
+        part = (first + np.arange(len(key))) // key_rows
+        return pa.RecordBatch.from_arrays([pa.array(line), pa.nulls(len(key), pa.int64()), pa.array(sign), pa.array(own), pa.array(key), pa.array(part.astype(np.int32))], ["a", "b", "sign", "own", "key", "part"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        count, sent = 0, 0  # rows held; rows of the key at their start that went out as a large one's
+
+        def work(final: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, count, sent
+            rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+            key = rows[0]
+            heads = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+            sizes = np.diff(np.append(heads, len(key)))
+            small = np.ones(len(key), bool)
+            for k in np.flatnonzero(sizes > key_rows).tolist() + ([0] if sent and sizes[0] <= key_rows else []):
+                own = slice(heads[k], heads[k] + sizes[k])
+                yield large([x[own] for x in rows], sent if k == 0 else 0)
+                small[own] = False
+                last = k == len(heads) - 1
+                sent = (sent if k == 0 else 0) + int(sizes[k]) if last else sent if k else 0
+            # The last key's rows may go on; those of a large one have gone out.
+            cut = len(key) if final or not small[-1] else int(heads[-1])
+            if small[-1] and len(heads) > 1:
+                sent = 0
+            now = small.copy()
+            now[cut:] = False
+            held, count = [[x[cut:] for x in rows]], len(key) - cut
+            if now.any():
+                a, b = _pairs(*(x[now] for x in rows))
+                if len(a):
+                    yield _met(a, b)
+
+        more = ROWS_AT_ONCE
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)])
+            count += batch.num_rows
+            if count >= more:
+                yield from work(False)
+                more = max(ROWS_AT_ONCE, min(2 * count, count + key_rows))
+        if count:
+            yield from work(True)
+        held.clear()
+        trim(0)
+
+    return run
+
+
+def _meet_parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, i, j, side, line, sign, own) come sorted by key, i and j: part i (side 0) is compared with part j (side 1), or with itself."""
+    held: list[pa.RecordBatch] = []
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        side, line, sign, own = (table.column(k).to_numpy() for k in ("side", "line", "sign", "own"))
+        sign = sign.view(np.uint64)
+        one = np.flatnonzero(side == 0)
+        two = one if table.column("i")[0] == table.column("j")[0] else np.flatnonzero(side == 1)
+        a, b = [], []
+        for p in range(0, len(one), BLOCK):
+            for q in range(0, len(two), BLOCK):
+                x, y = one[p : p + BLOCK], two[q : q + BLOCK]
+                m, n = np.nonzero(_close(sign[x][:, None], sign[y][None, :]) & (line[x][:, None] != line[y][None, :]) & (own[x][:, None] | own[y][None, :]))
+                a.append(line[x[m]])
+                b.append(line[y[n]])
+            if sum(map(len, a)) > ROWS_AT_ONCE or p + BLOCK >= len(one):
+                u, v = np.concatenate(a), np.concatenate(b)
+                a, b = [], []
+                if len(u):
+                    both = np.unique(np.column_stack([np.minimum(u, v), np.maximum(u, v)]), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+
+    now = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)])
-        count += batch.num_rows
-        if count >= more:
-            yield from work(False)
-            more = max(ROWS_AT_ONCE, 2 * count)
+        names = np.column_stack([batch.column(k).to_numpy() for k in range(3)]) if batch.num_rows else np.zeros((0, 3), np.int64)
+        cuts = np.append(np.flatnonzero((np.diff(names, axis=0) != 0).any(1)) + 1, len(names)) if len(names) else []
+        at = 0
+        for cut in cuts:
+            if now is not None and tuple(names[at]) != now:
+                yield from work(pa.Table.from_batches(held))
+                held.clear()
+            now = tuple(names[at])
+            held.append(batch.slice(at, cut - at))
+            at = int(cut)
     if held:
-        yield from work(True)
-    held.clear()
-    trim(0)
+        yield from work(pa.Table.from_batches(held))
 
 
 def within(a: list[str], b: list[str], edits: int = EDITS) -> np.ndarray:
@@ -228,28 +308,45 @@ def within_edits(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 def lines_of(docs: DataFrame, *others: str) -> DataFrame:
-    """others, line_no from 0, text_line and line, its hash, of all lines of LEAST_CHARS or more."""
+    """others, line_no from 0, text_line and line, its two hashes (128 bits), of all lines that are more than white space."""
     cut = docs.select(*others, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "text_line"))
-    return cut.where(F.length("text_line") >= LEAST_CHARS).withColumn("line", F.xxhash64("text_line"))
+    return cut.where(F.col("text_line").rlike(SOLID)).withColumn("line", F.struct(F.xxhash64("text_line").alias("h"), F.xxhash64(F.lit(1), "text_line").alias("g")))
 
 
-def line_links(docs: DataFrame) -> DataFrame:
-    """(a, b): the pairs of different lines, by hash, that are at most EDITS edits apart."""
+def line_pairs(docs: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
+    """(a, b): the pairs of lines, by their first hashes, that share a segment and have close signatures."""
     session(docs)
     keys = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_send, "key long, line long, sign long, own boolean")
-    met = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_meet, "a long, b long")
-    pairs = stored(met.distinct(), "line-pairs")
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct(), "wanted")
-    texts = stored(lines_of(docs).join(small_side(wanted), "line", "left_semi").groupBy("line").agg(F.min("text_line").alias("text_line")), "line-texts")
-    x, y = texts.select(F.col("line").alias("a"), F.col("text_line").alias("x")), texts.select(F.col("line").alias("b"), F.col("text_line").alias("y"))
-    return stored(pairs.join(x, "a").join(y, "b").where(within_edits("x", "y")).select("a", "b"), "line-links")
+    met = stored(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_meet(key_rows), MET).distinct(), "met")
+    rows = met.where("b is null").select("key", "part", F.col("a").alias("line"), "sign", "own")
+    parts = stored(rows.groupBy("key").agg(F.max("part").alias("last")), "large-keys")
+    if parts.isEmpty():
+        return met.where("b is not null").select("a", "b")
+    each = rows.join(small_side(parts), "key")
+    # Part p meets all parts: as i those from it on, as j those before it.
+    each = each.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("last")))).withColumns({"i": F.least("part", "o"), "j": F.greatest("part", "o"), "side": (F.col("part") > F.col("o")).cast("int")})
+    each = each.select("key", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "side", "line", "sign", "own")
+    more = each.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_meet_parts, "a long, b long")
+    return stored(met.where("b is not null").select("a", "b").unionByName(more).distinct(), "line-pairs")
+
+
+def line_links(docs: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
+    """(a, b): the pairs of different lines that are at most EDITS edits apart. Lines whose first hashes agree are told apart by the second."""
+    pairs = line_pairs(docs, key_rows)
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "wanted")
+    lines = lines_of(docs).where(F.length("text_line") >= LEAST_CHARS)
+    texts = stored(lines.join(small_side(wanted), lines["line"]["h"] == wanted["h"], "left_semi").groupBy("line").agg(F.min("text_line").alias("text_line")), "line-texts")
+    x, y = texts.select(F.col("line.h").alias("a"), F.col("line").alias("u"), F.col("text_line").alias("x")), texts.select(F.col("line.h").alias("b"), F.col("line").alias("v"), F.col("text_line").alias("y"))
+    links = stored(pairs.join(x, "a").join(y, "b").where(within_edits("x", "y")).select(F.col("u").alias("a"), F.col("v").alias("b")), "line-links")
+    release(pairs, wanted, texts)
+    return links
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
-    """One row per line of LEAST_CHARS or more: doc_id, text_key, line_no, line, n_links (of the line to other texts), kept.
+    """One row per line that is more than white space: doc_id, text_key, line_no, line, n_links (of the line to other texts), kept.
 
-    Lines that links connect are one class; only the class's first occurrence, by doc_id, text and line number, is kept. Null ids come
-    last. Lines are told apart by 64-bit hashes.
+    Equal lines and lines that links connect are one class; only the class's first occurrence, by doc_id, text and line number, is
+    kept. Null ids come last. Lines of under LEAST_CHARS code points have no links.
     """
     links = line_links(docs)
     degree = links.select(F.explode(F.array("a", "b")).alias("line")).groupBy("line").agg(F.count("*").alias("n_links"))
@@ -262,27 +359,34 @@ def line_classes(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "text_key", "line_no", "line", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("first").isNull() | (place == F.col("first"))).alias("kept"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with ``text`` without the lines that repeat an earlier one or nearly so, ``n_dropped`` and ``n_links``.
+def dedup_lines(docs: DataFrame, names: tuple[str, str, str] = ("n_lines", "n_dropped", "n_links")) -> DataFrame:
+    """docs with ``text`` without the lines that repeat an earlier one or nearly so, and with three counts under the given names: lines,
+    lines dropped, and links of the lines to other texts.
 
-    Null texts stay null, and texts without such lines stay as they are. Of repeated rows with equal id and text all keep or lose the
-    same lines. Columns of docs named like the new ones are replaced.
+    Null texts stay null; empty texts, lines of white space and texts without repeated lines stay as they are; an empty table gives one.
+    Of repeated rows with equal id and text all keep or lose the same lines. Columns of docs named like the counts are replaced.
     """
     session(docs)
     per = line_classes(docs).where("not kept or n_links > 0").groupBy("doc_id", "text_key").agg(F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("gone"), F.sum("n_links").alias("n_links"))
     per = stored(per.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("gone").alias("__gone"), F.col("n_links").alias("__links")), "lines-gone")
     own = docs["doc_id"].eqNullSafe(per["__id"]) & (F.xxhash64(docs["text"]) == per["__key"])
     out = docs.join(small_side(per), own, "left")
-    kept = F.expr("array_join(transform(filter(transform(split(text, '\\n'), (x, i) -> struct(x, i)), p -> not array_contains(__gone, p.i)), p -> p.x), '\\n')")
+    # A map finds a line's number at once, however many lines a text loses.
+    gone = "map_from_arrays(__gone, array_repeat(true, size(__gone)))"
+    kept = F.expr(f"transform(array({gone}), g -> array_join(transform(filter(transform(split(text, '\\n'), (x, i) -> struct(x, i)), p -> not map_contains_key(g, p.i)), p -> p.x), '\\n'))[0]")
     text = F.when(F.size("__gone") > 0, kept).otherwise(F.col("text"))
-    new = {
-        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))),
-        "n_dropped": F.coalesce(F.when(F.size("__gone") > 0, F.size("__gone")), F.lit(0)),
-        "n_links": F.coalesce("__links", F.lit(0)),
-    }
+    new = dict(zip(names, (
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))),
+        F.coalesce(F.when(F.size("__gone") > 0, F.size("__gone")), F.lit(0)),
+        F.coalesce("__links", F.lit(0)),
+    ), strict=True))
     return out.select(*(text.alias(c) if c == "text" else docs[c] for c in docs.columns if c not in new), *(x.alias(n) for n, x in new.items()))
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """One row per document: doc_id, n_lines, n_dropped, n_links and the SHA-256 of the text that is left (null: of the empty text).
+
+    Empty texts and texts of any length, ties, repeated rows and an empty table are as ``dedup_lines`` says.
+    """
     out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), F.col("n_links").cast("long").alias("n_links"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

@@ -157,11 +157,11 @@ def test_blocks_equal_small_groups(monkeypatch):
 
 def brute_lines(docs):
     """kept text by row, for rows (doc_id, text) without repeats, and the number of links."""
-    places = defaultdict(list)
+    places, short = defaultdict(list), defaultdict(list)
     for i, t in docs:
         for k, line in enumerate((t or "").split("\n")):
-            if len(line) >= line_dedup.LEAST_CHARS:
-                places[line].append((i, k))
+            if line.strip(" \t\n\x0b\x0c\r"):
+                (places if len(line) >= line_dedup.LEAST_CHARS else short)[line].append((i, k))
     lines = sorted(places, key=len)
     bags = [Counter(x) for x in lines]
     links = []
@@ -175,8 +175,8 @@ def brute_lines(docs):
     first = {}
     for line, g in zip(lines, group, strict=True):
         first[g] = min([first[g], *places[line]] if g in first else places[line])
-    keep = set(first.values())
-    return {i: "\n".join(x for k, x in enumerate((t or "").split("\n")) if len(x) < line_dedup.LEAST_CHARS or (i, k) in keep) for i, t in docs}, len(links)
+    keep = set(first.values()) | {min(x) for x in short.values()}
+    return {i: "\n".join(x for k, x in enumerate((t or "").split("\n")) if not x.strip(" \t\n\x0b\x0c\r") or (i, k) in keep) for i, t in docs}, len(links)
 
 
 def test_line_dedup(spark, odd_docs, no_docs):
@@ -186,10 +186,33 @@ def test_line_dedup(spark, odd_docs, no_docs):
     out = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     want, links = brute_lines(docs)
     assert {i: r.text for i, r in out.items()} == want
-    assert sum(r.n_dropped for r in out.values()) == sum(t.count("\n") - want[i].count("\n") for i, t in docs) > 20 and links > 20
+    assert sum(r.n_dropped for r in out.values()) == sum(len(t.split("\n")) - len(want[i].split("\n")) + (not want[i]) for i, t in docs) > 20 and links > 20
     rows = line_dedup.dedup_lines(odd_docs)
     assert rows.count() == 9 and rows.where("doc_id = 1 and text is null").count() == 1 and rows.where("class = 'own'").count() == 9 and dict(rows.dtypes)["n_links"] == "bigint"
+    assert dict(line_dedup.dedup_lines(odd_docs, names=("x", "y", "z")).dtypes)["n_links"] == "string"
     assert line_dedup.dedup_lines(no_docs).count() == 0
+    short = spark.createDataFrame([(1, "a\n\nb\n \na"), (2, "b\n\n c\nc"), (3, None), (None, "c\nd")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(short).collect()} == {1: "a\n\nb\n ", 2: "\n c\nc", 3: None, None: "d"}
+
+
+@pytest.mark.parametrize("key_rows", [2, 7, 50])
+def test_large_keys_are_compared_in_parts(spark, key_rows):
+    rng = random.Random(11)
+    base = "".join(rng.choice("abcdé ") for _ in range(45))
+    docs = spark.createDataFrame([(i, "\n".join(edited(rng, base, rng.randint(0, 5)) for _ in range(5))) for i in range(60)], "doc_id long, text string").repartition(3)
+    whole, parted = ({tuple(r) for r in line_dedup.line_pairs(docs, n).collect()} for n in (line_dedup.KEY_ROWS, key_rows))
+    assert whole == parted and len(whole) > 500
+
+
+def test_lines_with_equal_first_hashes_are_told_apart(spark, monkeypatch):
+    lines = ["the quick brown fox jumps over the lazy dog", "the quick brown fox jumps over the lazy dogs", "a line of its own that resembles no other one"]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    same = F.struct(F.lit(7).cast("long").alias("h"), F.xxhash64("text_line").alias("g"))
+    real = line_dedup.lines_of
+    monkeypatch.setattr(line_dedup, "lines_of", lambda docs, *others: real(docs, *others).withColumn("line", same))
+    monkeypatch.setattr(line_dedup, "line_pairs", lambda docs, key_rows: common.stored(spark.createDataFrame([(7, 7)], "a long, b long"), "p"))
+    assert line_dedup.line_links(docs).where("a != b").count() == 2
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()} == {0: lines[0], 1: "", 2: lines[2]}
 
 
 def test_line_dedup_query(spark, sf_dir):

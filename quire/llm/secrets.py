@@ -14,6 +14,8 @@ ACCESS, HEX = r"AKIA[A-Z0-9]{16,}+", r"[0-9a-f]{24,}+"
 #: Strings that the models judge: unbroken runs of the whole alphabet that keys and tokens are written in, ``+`` and ``/`` of base64 among it.
 CANDIDATE, LEAST_CHARS = r"[A-Za-z0-9+/_-]{20,}+", 20
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
+#: Matches whose places one fold finds.
+PART = 64
 #: The models are fitted on the documents whose hashed ids are the smallest, so many of them at most.
 SAMPLE_DOCS = 4_000
 #: Share of equal chances in the random model, weight of single characters' chances in the words' model, and the mean log-likelihood
@@ -25,11 +27,15 @@ def _matches(text: str, pattern: str, kind: str, order: int, guard: str) -> str:
     """SQL of the spans of the pattern's matches, leftmost and not overlapping, in code points."""
     lit = "r'" + pattern.replace("'", "\\x27") + "'"
     cut, got = f"split({text}, {lit}, -1)", f"regexp_extract_all({text}, {lit}, 0)"
+    none = "cast(array() as array<struct<s:int,o:int,e:int,k:string,m:string>>)"
+    # A fold copies its array at each step, so pairs of a gap and a match are folded in parts, from where each part starts.
+    parts = f"transform(array(zip_with(slice({cut}, 1, size({got})), {got}, (g, m) -> struct(g as g, m as m))), p -> if(size(p) = 0, cast(array() as array<array<struct<g:string,m:string>>>), transform(sequence(0, (size(p) - 1) div {PART}), c -> slice(p, c * {PART} + 1, {PART}))))[0]"
+    starts = "aggregate(q, struct(0 as at, cast(array() as array<int>) as out), (a, x) -> struct(a.at + aggregate(x, 0, (n, y) -> n + length(y.g) + length(y.m)) as at, concat(a.out, array(a.at)) as out)).out"
     walk = (
-        f"aggregate(zip_with(slice({cut}, 1, size({got})), {got}, (g, m) -> struct(g as g, m as m)), struct(0 as at, cast(array() as array<struct<s:int,o:int,e:int,k:string,m:string>>) as out),"
-        f" (a, x) -> struct(a.at + length(x.g) + length(x.m) as at, concat(a.out, array(struct(a.at + length(x.g) as s, {order} as o, a.at + length(x.g) + length(x.m) as e, '{kind}' as k, x.m as m))) as out)).out"
+        f"aggregate(x, struct(o as at, {none} as out),"
+        f" (a, y) -> struct(a.at + length(y.g) + length(y.m) as at, concat(a.out, array(struct(a.at + length(y.g) as s, {order} as o, a.at + length(y.g) + length(y.m) as e, '{kind}' as k, y.m as m))) as out)).out"
     )
-    return f"if({guard}, {walk}, cast(array() as array<struct<s:int,o:int,e:int,k:string,m:string>>))"
+    return f"if({guard}, flatten(transform(array({parts}), q -> zip_with(q, {starts}, (x, o) -> {walk}))[0]), {none})"
 
 
 def _spans(text: str, pattern: str, kind: str, order: int, guard: str, keep: str) -> Column:
@@ -117,14 +123,17 @@ def model_spans(ratios: list[float], text: str = "t", base: str = "base") -> Col
     return F.expr(f"cast(flatten(transform({ends}, x -> transform({chosen}, q -> struct(x.s + q.a as s, 3 as o, x.s + q.b as e, 'random' as k, substr(x.m, q.a + 1, q.b - q.a) as m)))) as array<{struct}>)")
 
 
-def scan(docs: DataFrame, sample: int = SAMPLE_DOCS) -> DataFrame:
-    """docs' columns but text, with ``base`` and ``added``: arrays of structs (s start, o order, e end, k kind, m matched text).
+def scan(docs: DataFrame, sample: int = SAMPLE_DOCS, names: tuple[str, str] = ("base", "added")) -> DataFrame:
+    """docs' columns but text, with two more under the given names: arrays of structs (s start, o order, e end, k kind, m matched text).
 
-    Null texts are empty; repeated rows repeat their result; a table without any secret gives models of which one is uniform.
+    Null texts are empty; repeated rows repeat their result; a table without any secret gives models of which one is uniform. Columns
+    of docs with those names are replaced, all others stay.
     """
     session(docs)
     ratios = train(docs, sample)
-    return docs.withColumn("t", F.coalesce("text", F.lit(""))).withColumn("base", base_spans()).withColumn("added", model_spans(ratios)).drop("t", "text")
+    read = docs.select(*(c for c in docs.columns if c not in ("text", *names)), F.coalesce("text", F.lit("")).alias("__text"))
+    found = read.withColumn("__base", base_spans("__text")).withColumn("__added", model_spans(ratios, "__text", "__base"))
+    return found.drop("__text").withColumnsRenamed({"__base": names[0], "__added": names[1]})
 
 
 def _joined(spans: str) -> Column:
@@ -132,6 +141,8 @@ def _joined(spans: str) -> Column:
 
 
 def op7_secrets(spark, sf_dir: str) -> DataFrame:
+    """One row per document: counts and hash of the base spans, and all spans. Null and empty texts have none; spans that start together
+    come by kind; repeated rows repeat theirs; texts are read whole; an empty table gives no rows."""
     rows = scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     count = lambda k: F.expr(f"cast(size(filter(base, x -> x.k = '{k}')) as bigint)").alias(f"n_{k}")
     return rows.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("array_sort(concat(base, added))").alias("spans"))

@@ -78,12 +78,21 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, record): the original records' bytes, header then payload then two line ends; a revisit has no payload."""
-    rows = spark.read.parquet(f"{path}/headers").join(spark.read.parquet(f"{path}/payloads").select("strong", "payload"), "strong")
-    body = F.when(F.col("header").contains(f"{EOL}WARC-Type: revisit{EOL}"), F.encode(F.lit(""), "UTF-8")).otherwise(F.col("payload"))
-    return rows.select("page_id", F.concat(F.encode("header", "UTF-8"), body, F.encode(F.lit(EOL + EOL), "UTF-8")).alias("record"))
+    headers, end = spark.read.parquet(f"{path}/headers"), F.encode(F.lit(EOL + EOL), "UTF-8")
+    revisit = _field("WARC-Type") == "revisit"
+    full = headers.where(~revisit)
+    counts = full.groupBy("strong").agg(F.count("*").alias("copies"))
+    # Only responses get payloads, and equal ones of a third of all records, which are short, go to as many tasks as their number needs.
+    right = spark.read.parquet(f"{path}/payloads").select("strong", "payload").join(counts, "strong")
+    rows = lookup_skewed(full, right, "strong", "copies", F.coalesce(F.col("page_id"), F.lit(0)))
+    built = rows.select("page_id", F.concat(F.encode("header", "UTF-8"), F.col("payload"), end).alias("record"))
+    return built.unionByName(headers.where(revisit).select("page_id", F.concat(F.encode("header", "UTF-8"), end).alias("record")))
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:
+    """One row per page, from the archive read back. Null html is an empty payload, empty and short ones are responses of their own; of
+    equal long ones the largest page_id is the response; repeated rows give repeated records; an empty table gives none; columns beside
+    page_id, url and html are not looked at."""
     path = shared_dir(spark, "warc")
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")

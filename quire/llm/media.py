@@ -408,12 +408,16 @@ FEATURES = StructType([StructField("payload_bytes", LongType()), StructField("pa
 
 
 def describe(media: list[bytes]) -> list[dict]:
-    """Features of streams from their bytes alone: dimensions, thumbnail hash, and the payload that the thumbnails hold."""
+    """Features of streams from their bytes alone: dimensions, thumbnail hash, and the payload that the thumbnails hold.
+
+    A stream of several images, one below the other, has the hash of all their thumbnails' hashes.
+    """
     rows = []
     for stream, images in zip(media, thumbnails(media), strict=True):
         payload = b"".join(t.tobytes()[: im.payload] if im.payload is not None else t.tobytes() for im, t in images)
-        first, thumb = images[0]
-        h = f"{average_hash(thumb):016x}"
+        first = images[0][0]
+        hashes = b"".join(average_hash(t).to_bytes(8, "big") for _, t in images)
+        h = (hashes if len(images) == 1 else hashlib.sha256(hashes).digest()[:8]).hex()
         rows.append({"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-UNIT:]), "media_bytes": len(stream), "media_sha256": hashlib.sha256(stream).hexdigest(), "width": first.width, "height": sum(im.height for im, _ in images), "thumbnail_hash": h, "feature": f"{first.width}x{sum(im.height for im, _ in images)}:{h}"})
     return rows
 
@@ -444,5 +448,7 @@ def media_table(docs: DataFrame) -> DataFrame:
 
 
 def op1_media(spark, sf_dir: str) -> DataFrame:
+    """One row per document: its text as a JPEG stream, read back. Null and empty texts are 64 zero bytes; texts of any length are whole,
+    over several images where one is too small; repeated rows and equal texts have equal values; an empty table gives no rows."""
     stored = media_table(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return stored.select("doc_id", "n_bytes", media_features(F.col("media")).alias("f")).select("doc_id", "n_bytes", "f.*")

@@ -96,12 +96,13 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS, s
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
+    """One row per document, as ``contamination`` gives them: nulls, empty texts, ties, repeated rows and empty tables are as it says."""
     docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return contamination(docs, items).drop("text_key")
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the contaminated rows."""
+    """docs without the contaminated rows; null and empty texts stay, repeated rows stay or go together, columns of any name stay."""
     bad = stored(contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "contaminated")
     return docs.join(small_side(bad), docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_key"]), "left_anti")
 

@@ -576,6 +576,9 @@ def segmentation_digests(text: Column, key: Column, vocabulary: Vocabulary, samp
 
 
 def op8_pieces(spark, sf_dir: str, model: str = MODEL) -> DataFrame:
+    """A row per sampled segmentation of each document: doc_id, sample from 0, n_pieces, ids_sha256, log_p, perturbed, log_inclusion,
+    decodes. Null and empty texts have the empty one; texts with fewer ways to be cut than samples have fewer rows; repeated rows repeat
+    theirs; texts are read whole."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     session(docs)
     found = docs.select("doc_id", F.posexplode(segmentation_digests(F.col("text"), F.col("doc_id"), Vocabulary(model))).alias("sample", "s"))
@@ -584,7 +587,7 @@ def op8_pieces(spark, sf_dir: str, model: str = MODEL) -> DataFrame:
 
 def encoded_documents(docs: DataFrame, model: str = MODEL, samples: int = SAMPLES) -> DataFrame:
     """docs with ``piece_ids``, the best sampled segmentation, and of all of them n_samples, log_p and log_inclusion, and whether each
-    gives back the text. Columns of docs named like these are replaced."""
+    gives back the text. Null and empty texts have the empty one; equal rows have equal ones. Columns of docs named like these are replaced."""
     session(docs)
     vocabulary = Vocabulary(model)
     kind = StructType([StructField("piece_ids", ArrayType(IntegerType())), StructField("n_samples", IntegerType()), StructField("log_p", ArrayType(DoubleType())), StructField("log_inclusion", ArrayType(DoubleType())), StructField("decodes", BooleanType())])

@@ -92,11 +92,13 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
+    """One row per document: doc_id, fingerprint and component_id. Null, empty and wordless texts have fingerprint zero; texts of any
+    length count whole; equal fingerprints are one component; repeated rows repeat theirs; an empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return simhash_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def first_of_each_group(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id; rows that repeat the kept doc_id stay."""
+    """docs without the rows whose component has a smaller doc_id; rows that repeat the kept doc_id, and rows without one, stay."""
     gone = stored(simhash_groups(docs).where("doc_id > component_id").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "gone")
     return docs.join(small_side(gone), (docs["doc_id"] == gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_key"]), "left_anti")

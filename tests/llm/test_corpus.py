@@ -245,6 +245,7 @@ def test_warc(spark, tmp_path):
     assert got.count() == 10 and all(r.verified for r in rows.values())
     assert {k: (r.record_type, r.refers_to) for k, r in rows.items()} == {1: ("revisit", 2), 2: ("response", None), 3: ("response", None), 4: ("response", None), 5: ("response", None), 6: ("response", None), None: ("revisit", 2), 7: ("response", None), 8: ("response", None)}
     assert spark.read.parquet(f"{path}/payloads").count() == 5
+    assert Counter(bytes(r.record).split(b"\r\n\r\n", 1)[1][:-4] for r in warc.records(spark, path).collect()) == Counter([big.encode()] + [other.encode()] * 2 + [b"small"] * 2 + [b""] * 3 + [b"x" * 999] * 2)
     built = {r.page_id: bytes(r.record) for r in warc.records(spark, path).collect()}
     assert built[2].endswith(b"\r\n\r\n" + big.encode() + b"\r\n\r\n") and built[1].endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n") and b"\r\nX: y" not in built[2]
     empty = f"file://{tmp_path}/e"
@@ -416,3 +417,27 @@ def test_pipeline(spark, sf_dir, tmp_path):
         if k < 4:
             assert docs.columns == columns
     assert corpus_pipeline.run(spark, sf_dir).count() == len(after)
+
+
+def test_pipeline_on_odd_rows(spark, odd_docs, no_docs, sf_dir, tmp_path):
+    import corpus_pipeline
+
+    for name, docs in (("odd", odd_docs), ("none", no_docs)):
+        tables = tmp_path / name
+        docs.write.parquet(f"file://{tables}/documents.parquet")
+        for t in ("labels", "benchmark"):
+            rows = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+            (rows if name == "odd" else rows.where("false")).write.parquet(f"file://{tables}/{t}.parquet")
+        if name == "odd":
+            rows = spark.read.parquet(f"file://{tables}/documents.parquet")
+            for stage, f in corpus_pipeline.STAGES:
+                rows = common.stored(f(spark, rows, f"file://{tables}"), "odd")
+                assert stage == "encoding" or rows.columns == docs.columns
+            out = rows.collect()
+        else:
+            out = corpus_pipeline.run(spark, f"file://{tables}").collect()
+        if name == "odd":  # nulls, empty texts and blanks are one group of near-duplicates; so are the copies
+            assert Counter(r.doc_id for r in out) == {1: 1, None: 1, 3: 1, 4: 2, 7: 1} and all(r.n_links == r.toxicity == r.gone == "own" and r.decodes for r in out)
+            assert {r.text for r in out if r.doc_id == 4} == {"same text"}
+        else:
+            assert out == []

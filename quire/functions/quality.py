@@ -19,29 +19,29 @@ GUARD_WORDS, PAIR_SHARE, TRIPLE_SHARE = 40, 0.10, 0.15
 LENGTH_FACTOR, LENGTH_WORDS = 4, 100
 
 
-def top_gram(found: Column, n: int) -> Column:
-    """How often the most frequent run of n words of an array occurs.
+def frequent_gram(found: Column, n: int, share: float) -> Column:
+    """Whether some run of n words of an array makes up more than a share of all its runs.
 
-    Runs are sorted, and equal neighbours counted in one pass over the array: no row leaves its task, and the work is that of a sort.
+    Runs are hashed to 64 bits and sorted; one occurs more than m times where a hash equals the one m places on. No row leaves its task,
+    and the work is that of a sort of numbers.
     """
-    grams = F.array_sort(F.transform(F.sequence(F.lit(0), F.size(found) - n), lambda i: F.concat_ws(" ", F.slice(found, i + 1, n))))
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("now"), F.lit(0).alias("top"))
+    count = F.size(found) - n + 1
+    hashes = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(found) - n), lambda i: F.xxhash64(*(F.get(found, i + k) for k in range(n)))))
+    most = F.floor(count * F.lit(share)).cast("int")
 
-    def step(a: Column, x: Column) -> Column:
-        now = F.when(x.eqNullSafe(a["last"]), a["now"] + 1).otherwise(1)
-        return F.struct(x.alias("last"), now.alias("now"), F.greatest(a["top"], now).alias("top"))
+    def repeats(h: Column) -> Column:
+        return F.when(most >= F.size(h), False).otherwise(F.exists(F.sequence(F.lit(0), F.size(h) - 1 - most), lambda i: F.get(h, i) == F.get(h, i + most)))
 
-    return F.when(F.size(found) < n, 0).otherwise(F.aggregate(grams, start, step, lambda a: a["top"]))
+    return F.when(F.size(found) < n, False).otherwise(F.transform(F.array(hashes), repeats)[0])
 
 
 def repetition(text: Column) -> Column:
     """'2' or '3' for the first length of runs of words that repeats too much, else null. The array of words is bound only once."""
 
     def judge(w: Column) -> Column:
-        n = F.size(w)
-        return F.when(n <= GUARD_WORDS, None).when(top_gram(w, 2) > (n - 1) * F.lit(PAIR_SHARE), "2").when(top_gram(w, 3) > (n - 2) * F.lit(TRIPLE_SHARE), "3")
+        return F.when(frequent_gram(w, 2, PAIR_SHARE), "2").when(frequent_gram(w, 3, TRIPLE_SHARE), "3")
 
-    return F.transform(F.array(words(text)), judge)[0]
+    return F.when(n_words(text) > GUARD_WORDS, F.transform(F.array(words(text)), judge)[0])
 
 
 def too_long(n_out: Column, n_in: Column) -> Column:

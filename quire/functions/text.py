@@ -14,6 +14,8 @@ LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 DENSE_RATIO, DENSE_WORD = 15, 2
 #: Output tokens per word, least and most.
 TOKENS_PER_WORD, LEAST_TOKENS, MOST_TOKENS = 2.6, 64, 2048
+#: Fixed value: what is asked about an image, in two languages' names.
+IMAGE_PROMPT = "Translate all visible text in this image from %s to %s. Output ONLY the translation, one line per distinct text element. If the image contains NO readable text, respond with an empty string."
 #: Fixed value: marks of opaque tokens in a text.
 TOKEN_OPEN, TOKEN_CLOSE = "⟦", "⟧"
 
@@ -77,9 +79,7 @@ def prompt(text: Column, source: Column, target: Column, source_name: Column, ta
 
 
 def image_prompt(source_name: Column, target_name: Column) -> Column:
-    # Fixed value.
-    wording = "Translate all visible text in this image from %s to %s. Output ONLY the translation, one line per distinct text element. If the image contains NO readable text, respond with an empty string."
-    return F.format_string(wording, source_name, target_name)
+    return F.format_string(IMAGE_PROMPT, source_name, target_name)
 
 
 def scrub(text: Column) -> Column:

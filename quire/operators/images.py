@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quire.functions.text import lines, right_trim, trim
 
@@ -23,15 +25,73 @@ def usable(images: DataFrame) -> DataFrame:
     return images.where((F.col("image.width") >= LEAST_SIDE) & (F.col("image.height") >= LEAST_SIDE))
 
 
-def dimensions(content: Column) -> Column:
-    """Struct (width, height) from the header of a PNG, GIF or BMP, else null, in JVM expressions."""
-    hexed = F.hex(F.substring(content, 1, 26))
-    num = lambda a, n: F.conv(F.substring(hexed, 2 * a + 1, 2 * n), 16, 10).cast("long")
-    little = lambda a, n: F.conv(F.concat(*(F.substring(hexed, 2 * (a + k) + 1, 2) for k in reversed(range(n)))), 16, 10).cast("long")
-    png, gif, bmp = hexed.startswith("89504E470D0A1A0A"), hexed.startswith("474946383"), hexed.startswith("424D")
-    w = F.when(png, num(16, 4)).when(gif, little(6, 2)).when(bmp, little(18, 4))
-    h = F.when(png, num(20, 4)).when(gif, little(8, 2)).when(bmp, little(22, 4))
-    return F.when(w.isNotNull() & h.isNotNull(), F.struct(w.alias("width"), h.alias("height")))
+def size_of(data: bytes) -> tuple[int, int] | None:
+    """Width and height from the header of a PNG, GIF, BMP, JPEG, WebP or TIFF; None if there is no such header."""
+    try:
+        if data[:8] == b"\x89PNG\r\n\x1a\n":
+            return struct.unpack(">II", data[16:24])
+        if data[:6] in (b"GIF87a", b"GIF89a"):
+            return struct.unpack("<HH", data[6:10])
+        if data[:2] == b"BM":
+            w, h = struct.unpack("<ii", data[18:26])
+            return w, abs(h)
+        if data[:2] == b"\xff\xd8":
+            return _jpeg_size(data)
+        if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+            return _webp_size(data)
+        if data[:4] in (b"II*\0", b"MM\0*"):
+            return _tiff_size(data)
+    except (struct.error, IndexError):
+        pass
+    return None
+
+
+def _jpeg_size(data: bytes) -> tuple[int, int] | None:
+    """From the frame header, which any number of other segments may precede."""
+    at = 2
+    while at + 4 <= len(data):
+        if data[at] != 0xFF:
+            return None
+        marker = data[at + 1]
+        if marker == 0xFF or marker == 1 or 0xD0 <= marker <= 0xD8:  # fill bytes and markers without a length
+            at += 1 if marker == 0xFF else 2
+            continue
+        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            h, w = struct.unpack(">HH", data[at + 5 : at + 9])
+            return w, h
+        at += 2 + struct.unpack(">H", data[at + 2 : at + 4])[0]
+    return None
+
+
+def _webp_size(data: bytes) -> tuple[int, int] | None:
+    kind = data[12:16]
+    if kind == b"VP8 ":
+        w, h = struct.unpack("<HH", data[26:30])
+        return w & 0x3FFF, h & 0x3FFF
+    if kind == b"VP8L":
+        bits = struct.unpack("<I", data[21:25])[0]
+        return (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1
+    if kind == b"VP8X":
+        return int.from_bytes(data[24:27], "little") + 1, int.from_bytes(data[27:30], "little") + 1
+    return None
+
+
+def _tiff_size(data: bytes) -> tuple[int, int] | None:
+    order = "<" if data[:2] == b"II" else ">"
+    at = struct.unpack(order + "I", data[4:8])[0]
+    found = {}
+    for k in range(struct.unpack(order + "H", data[at : at + 2])[0]):
+        tag, kind = struct.unpack(order + "HH", data[at + 2 + 12 * k : at + 6 + 12 * k])
+        if tag in (256, 257):
+            value = data[at + 10 + 12 * k : at + 14 + 12 * k]
+            found[tag] = struct.unpack(order + ("H" if kind == 3 else "I"), value[: 2 if kind == 3 else 4])[0]
+    return (found[256], found[257]) if len(found) == 2 else None
+
+
+@F.pandas_udf(StructType([StructField("width", LongType()), StructField("height", LongType())]))
+def dimensions(content: pd.Series) -> pd.DataFrame:
+    """Struct (width, height) from an image's header; null in both where there is none."""
+    return pd.DataFrame([size_of(bytes(c)) or (None, None) if c is not None else (None, None) for c in content], columns=["width", "height"], dtype="Int64")
 
 
 def discard(content: Column) -> Column:
@@ -60,24 +120,26 @@ def is_loop(text: Column) -> Column:
 def clean_lines(text: Column) -> Column:
     """Without lines that repeat an earlier one; short lines stay, blank lines follow only a line with text, none ends the text.
 
-    A line is kept if it is the first of its kind, which array_position in the array of all lines tells; one fold then drops blanks.
+    Lines are sorted with their places, so that the first of each kind is the one whose left neighbour differs; a blank line stays where
+    the line kept before it is not blank.
     """
 
-    def kept(ls: Column) -> Column:
-        keys = F.transform(ls, trim)
+    def firsts(ls: Column) -> Column:
+        keyed = F.array_sort(F.transform(ls, lambda x, i: F.struct(trim(x).alias("k"), i.alias("i"))))
+        chosen = lambda s: F.filter(s, lambda x, i: (F.length(x["k"]) <= SHORT_LINE) | (i == 0) | (F.get(s, i - 1)["k"] != x["k"]))
+        places = F.sort_array(F.transform(F.transform(F.array(keyed), chosen)[0], lambda x: x["i"]))
+        return F.transform(places, lambda i: F.get(ls, i))
 
-        def firsts(k: Column) -> Column:
-            return F.filter(ls, lambda x, i: (F.length(k[i]) <= SHORT_LINE) | (F.array_position(k, k[i]) == i + 1))
+    def solid(ls: Column) -> Column:
+        return F.filter(ls, lambda x, i: (trim(x) != "") | ((i > 0) & (trim(F.get(ls, i - 1)) != "")))
 
-        return F.transform(F.array(keys), firsts)[0]
+    def ended(ls: Column) -> Column:
+        return F.when((F.size(ls) > 0) & (trim(F.get(ls, F.size(ls) - 1)) == ""), F.slice(ls, F.lit(1), F.size(ls) - 1)).otherwise(ls)
 
-    def step(a: Column, x: Column) -> Column:
-        blank = trim(x) == ""
-        return F.when(~blank | ((F.size(a) > 0) & (trim(F.element_at(F.concat(F.array(F.lit("")), a), -1)) != "")), F.concat(a, F.array(x))).otherwise(a)
-
-    own = F.transform(lines(text), right_trim)
-    folded = F.aggregate(F.transform(F.array(own), kept)[0], F.array().cast("array<string>"), step)
-    return F.array_join(F.transform(F.array(folded), lambda a: F.when((F.size(a) > 0) & (trim(F.element_at(F.concat(F.array(F.lit("x")), a), -1)) == ""), F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(a))[0], "\n")
+    out = F.array(F.transform(lines(text), right_trim))
+    for step in (firsts, solid, ended):
+        out = F.array(F.transform(out, step)[0])
+    return F.array_join(out[0], "\n")
 
 
 def image_text(raw: Column) -> Column:
@@ -88,7 +150,8 @@ def image_text(raw: Column) -> Column:
 def translate_images(images: DataFrame, read, slots: int = 4, attempts: int = 3) -> DataFrame:
     """images (content, ...) with image_hash, translation (null: none) and status (text, none, error, small).
 
-    ``read(content) -> str`` is called once for each distinct image that is large enough.
+    ``read(content) -> str`` is called once for each distinct image that is large enough; ``translate.image_reader`` makes one of a
+    provider. Headers are read once, and only usable images' bytes are sent on.
     """
     hashed = images.withColumn("image_hash", image_hash(F.col("content"))).withColumn("_small", discard(F.col("content")))
 

@@ -7,29 +7,45 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import effective_words, left_trim, right_trim, trim
 
+#: Values that one fold goes over.
+PART = 64
 #: What separates the texts of a group, and how many parts a reply may lack or have too many.
 SEPARATOR, MARK, TOLERANCE = "\n||||\n", "||||", 2
 
 
 def pack(words: Column, limit: int) -> Column:
     """Group numbers, from 0, for an array of word counts: a group takes texts while its words stay within the limit; a text over the
-    limit is a group of its own. A fold, as a group's start depends on all before it; it carries three numbers and the result."""
-    start = F.struct(F.lit(-1).alias("g"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<int>").alias("out"))
+    limit is a group of its own. A fold, as a group's start depends on all before it; as a fold copies its result at each step, it goes
+    over parts of PART counts, and inside each over its counts."""
+
+    def state(g: Column, total: Column, out: Column) -> Column:
+        return F.struct(g.alias("g"), total.cast("long").alias("sum"), out.alias("out"))
 
     def step(a: Column, w: Column) -> Column:
         opens = (a["g"] < 0) | (a["sum"] + w > limit)
         g = F.when(opens, a["g"] + 1).otherwise(a["g"])
-        return F.struct(g.alias("g"), F.when(opens, w.cast("long")).otherwise(a["sum"] + w).alias("sum"), F.concat(a["out"], F.array(g)).alias("out"))
+        return state(g, F.when(opens, w.cast("long")).otherwise(a["sum"] + w), F.concat(a["out"], F.array(g)))
+
+    def whole(a: Column, part: Column) -> Column:
+        done = F.aggregate(part, state(a["g"], a["sum"], F.array().cast("array<int>")), step)
+        return F.transform(F.array(done), lambda d: state(d["g"], d["sum"], F.concat(a["out"], F.array(d["out"]))))[0]
+
+    def folded(ws: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(ws) - 1) / PART).cast("int")), lambda i: F.slice(ws, i * PART + 1, F.lit(PART)))
+        start = state(F.lit(-1), F.lit(0), F.array().cast("array<array<int>>"))
+        return F.when(F.size(ws) > 0, F.flatten(F.aggregate(parts, start, whole, lambda a: a["out"]))).otherwise(F.array().cast("array<int>"))
 
-    return F.aggregate(words, start, step, lambda a: a["out"])
+    return F.transform(F.array(words), folded)[0]
 
 
 def pack_units(units: DataFrame, limit: int, doc: str = "doc_id", pos: str = "pos", text: str = "text") -> DataFrame:
-    """units with group_id. Only positions and word counts are gathered by document; texts stay where they are until the join back."""
-    counts = units.select(doc, pos, effective_words(F.col(text)).alias("w"))
-    folded = counts.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(pos, "w"))).alias("u")).withColumn("g", pack(F.col("u.w"), limit))
-    groups = folded.select(doc, F.explode(F.arrays_zip(F.col(f"u.{pos}").alias("p"), F.col("g").alias("g"))).alias("x")).select(doc, F.col("x.p").alias(pos), F.col("x.g").alias("group_id"))
-    return units.join(groups, [doc, pos])
+    """units with group_id. A document's units are gathered once, with their texts, so that these cross one shuffle; grouping by document
+    and group afterwards needs no other."""
+    rest = [c for c in units.columns if c not in (doc, pos)]
+    whole = units.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), effective_words(F.col(text)).alias("w"), F.struct(*rest).alias("u")))).alias("u"))
+    zipped = F.arrays_zip(F.col("u").alias("u"), pack(F.col("u.w"), limit).alias("g"))
+    each = whole.select(doc, F.explode(zipped).alias("x"))
+    return each.select(doc, F.col("x.u.p").alias(pos), *(F.col(f"x.u.u.{c}").alias(c) for c in rest), F.col("x.g").alias("group_id"))
 
 
 def join_groups(grouped: DataFrame, doc: str = "doc_id", pos: str = "pos", text: str = "text") -> DataFrame:
@@ -56,7 +72,7 @@ def starts_small(text: Column) -> Column:
 
 
 def merge_units(units: DataFrame, by: list[str], pos: str = "pos", text: str = "text", tight: bool = False) -> DataFrame:
-    """Joins neighbours where the left one ends no sentence and the right one starts small: (by, unit_no, text, n_parts, first_pos).
+    """Joins neighbours where the left one ends no sentence and the right one starts small: (by, unit_no, text, n_parts, positions).
 
     tight strips the texts at the seam. The rule looks at neighbours only, as a merged text ends like its last part, so runs are
     islands between breaks. Pass the container (body, cell) in ``by`` to keep merges inside it.
@@ -68,7 +84,7 @@ def merge_units(units: DataFrame, by: list[str], pos: str = "pos", text: str = "
     parts = marked.groupBy(*by, "unit_no").agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(text).alias("t")))).alias("u"))
     n = F.size("u")
     seam = F.transform("u", lambda x, i: F.when((i > 0) & (i < n - 1), trim(x["t"])).when(i > 0, left_trim(x["t"])).when(i < n - 1, right_trim(x["t"])).otherwise(x["t"])) if tight else F.col("u.t")
-    return parts.select(*by, F.col("unit_no").cast("int").alias("unit_no"), F.array_join(seam, " ").alias("text"), n.alias("n_parts"), F.col("u")[0]["p"].alias("first_pos"))
+    return parts.select(*by, F.col("unit_no").cast("int").alias("unit_no"), F.array_join(seam, " ").alias("text"), n.alias("n_parts"), F.col("u.p").alias("positions"))
 
 
 def split_formats(runs: DataFrame, para: list[str], pos: str = "run_no", text: str = "text", signature: str = "signature") -> DataFrame:

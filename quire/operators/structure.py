@@ -38,12 +38,31 @@ def segments(translation: Column, links: Column, notes: Column) -> Column:
 
 
 def pagebreaks(siblings: DataFrame, by: list[str], pos: str = "pos") -> DataFrame:
-    """(by, pos, proportion, merged) of page breaks that stand between two text nodes; kind is 'text' or 'pagebreak' or another."""
+    """(by, pos, proportion, merged) of page breaks that stand between two text nodes; kind is 'text' or 'pagebreak' or another.
+
+    Texts with breaks between them become one, from left to right: a break's proportion is the length of all that was joined before it
+    over that length and the next text's, and ``merged`` is that whole.
+    """
     w = Window.partitionBy(*by).orderBy(pos)
-    near = siblings.select(*by, pos, "kind", F.lag("kind").over(w).alias("k0"), F.lead("kind").over(w).alias("k1"), F.lag("text").over(w).alias("t0"), F.lead("text").over(w).alias("t1"))
-    total = F.length("t0") + F.length("t1")
-    at = near.where("kind = 'pagebreak' and k0 = 'text' and k1 = 'text'")
-    return at.select(*by, pos, F.when(total > 0, F.length("t0") / total).otherwise(0.5).alias("proportion"), F.concat("t0", "t1").alias("merged"))
+    joined = (F.col("kind") == "pagebreak") & (F.lag("kind").over(w) == "text") & (F.lead("kind").over(w) == "text")
+    near = siblings.withColumn("_joined", F.coalesce(joined, F.lit(False)))
+    near = near.withColumn("_new", F.when(F.col("_joined") | F.coalesce(F.lag("_joined").over(w), F.lit(False)), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
+    run = Window.partitionBy(*by, "_run").orderBy(pos)
+    text = F.when(F.col("kind") == "text", F.coalesce("text", F.lit(""))).otherwise("")
+    near = near.withColumn("_text", text).withColumn("_before", F.sum(F.length("_text")).over(run)).withColumn("_next", F.lead("_text").over(run))
+    near = near.withColumn("merged", F.concat(F.array_join(F.collect_list("_text").over(run), ""), "_next"))
+    total = F.length("merged")
+    return near.where("_joined").select(*by, pos, F.when(total > 0, F.col("_before") / total).otherwise(0.5).alias("proportion"), "merged")
+
+
+def break_places(text: Column, proportions: Column) -> Column:
+    """Where several page breaks go back into a text, in order: the last one first, each earlier one in what stands before it."""
+
+    def step(a: Column, share: Column) -> Column:
+        at = break_at(a["text"], share)
+        return F.transform(F.array(at), lambda p: F.struct(F.left(a["text"], p).alias("text"), F.concat(F.array(p), a["out"]).alias("out")))[0]
+
+    return F.aggregate(F.reverse(proportions), F.struct(text.alias("text"), F.array().cast("array<int>").alias("out")), step, lambda a: a["out"])
 
 
 def break_at(text: Column, proportion: Column) -> Column:
@@ -144,13 +163,6 @@ VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 DECLARATION, NAMESPACE = '<?xml version="1.0" encoding="utf-8"?>', 'xmlns="http://www.w3.org/1999/xhtml"'
 
 
-def xhtml(html: Column) -> Column:
-    """Void elements closed, the name space on the first <html, the declaration in front."""
-    closed = F.regexp_replace(html, rf"<((?:{'|'.join(VOID)})\b[^>]*?)(?<!/)\s*>", "<$1/>")
-    named = F.when(closed.contains("<html") & ~closed.contains(NAMESPACE), F.regexp_replace(closed, r"(?s)^(.*?)<html", f"$1<html {NAMESPACE}")).otherwise(closed)
-    return F.when(left_trim(named).startswith("<?xml"), named).otherwise(F.concat(F.lit(DECLARATION + "\n"), named))
-
-
 def alignment(value: Column) -> Column:
     return F.when(value.isin("left", "center", "right"), value).otherwise("center")
 

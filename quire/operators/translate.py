@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import quality
-from quire.functions.text import digest, prompt, scrub, token_budget
+from quire.functions.text import IMAGE_PROMPT, digest, prompt, scrub, token_budget
 
 #: Attempts, seconds between them, seconds after each call.
 ATTEMPTS, RETRY_PAUSE, CALL_PAUSE = 3, 2.0, 0.3
@@ -27,14 +27,18 @@ class Provider(Protocol):
 
     def translate(self, prompts: list[str], texts: list[str], budgets: list[int]) -> list[str]: ...
 
+    def read_image(self, content: bytes, prompt: str) -> str:
+        """The translation of an image's text, empty if it has none."""
+
 
 class Stub:
     """Deterministic replies for tests: words reversed in order, or whatever a function of the text makes."""
 
     name = "stub"
 
-    def __init__(self, reply=None) -> None:
+    def __init__(self, reply=None, seen=None) -> None:
         self.reply = reply or (lambda text: " ".join(reversed(text.split())))
+        self.seen = seen or (lambda content: f"{len(content)} bytes")
 
     def ensure_ready(self) -> None:
         pass
@@ -42,6 +46,9 @@ class Stub:
     def translate(self, prompts: list[str], texts: list[str], budgets: list[int]) -> list[str]:
         return [self.reply(t) for t in texts]
 
+    def read_image(self, content: bytes, prompt: str) -> str:
+        return self.seen(content)
+
 
 class HttpChat:
     """A chat endpoint that takes and returns JSON with ``messages`` and ``options``; the timeout holds for a call."""
@@ -59,18 +66,29 @@ class HttpChat:
         if self.name not in names:
             raise LookupError(f"{self.name} is not among {sorted(names)}")
 
-    def translate(self, prompts: list[str], texts: list[str], budgets: list[int]) -> list[str]:
+    def _chat(self, message: dict, options: dict) -> str:
         import json
         from urllib.request import Request, urlopen
 
-        replies = []
-        for p, budget in zip(prompts, budgets, strict=True):
-            # Sampling options that the model was tuned on.
-            options = {"repeat_penalty": 1.3, "repeat_last_n": 128, "num_predict": budget}
-            body = json.dumps({"model": self.name, "stream": False, "messages": [{"role": "user", "content": p}], "options": options}).encode()
-            with urlopen(Request(self.url, body, {"Content-Type": "application/json"}), timeout=self.timeout) as answer:
-                replies.append(json.load(answer)["message"]["content"])
-        return replies
+        body = json.dumps({"model": self.name, "stream": False, "messages": [message], "options": options}).encode()
+        with urlopen(Request(self.url, body, {"Content-Type": "application/json"}), timeout=self.timeout) as answer:
+            return json.load(answer)["message"]["content"]
+
+    def translate(self, prompts: list[str], texts: list[str], budgets: list[int]) -> list[str]:
+        # Sampling options that the model was tuned on.
+        return [self._chat({"role": "user", "content": p}, {"repeat_penalty": 1.3, "repeat_last_n": 128, "num_predict": n}) for p, n in zip(prompts, budgets, strict=True)]
+
+    def read_image(self, content: bytes, prompt: str) -> str:
+        from base64 import b64encode
+
+        # Sampling options of image calls.
+        return self._chat({"role": "user", "content": prompt, "images": [b64encode(content).decode()]}, {"temperature": 0.1, "num_predict": 1024}).strip()
+
+
+def image_reader(provider: Provider, names: tuple[str, str]):
+    """What images.translate_images calls: the provider's reading of an image, asked for in the two languages' names."""
+    question = IMAGE_PROMPT % names
+    return lambda content: provider.read_image(content, question)
 
 
 def cache_key(text: Column, *parts: str) -> Column:
@@ -137,8 +155,8 @@ def hits(units: DataFrame, cache: DataFrame, text: str = "text") -> DataFrame:
 
 
 def misses(units: DataFrame, cache: DataFrame, text: str = "text") -> DataFrame:
-    """One row for each distinct text that the cache lacks."""
-    return units.withColumn("chunk_hash", digest(F.col(text))).join(cache, "chunk_hash", "left_anti").dropDuplicates(["chunk_hash"])
+    """One row for each distinct text that the cache lacks. Duplicates go first, in their tasks; the anti join then uses their shuffle."""
+    return units.withColumn("chunk_hash", digest(F.col(text))).dropDuplicates(["chunk_hash"]).join(cache.select("chunk_hash"), "chunk_hash", "left_anti")
 
 
 def error_mark(n: Column, text: Column) -> Column:
@@ -146,26 +164,34 @@ def error_mark(n: Column, text: Column) -> Column:
     return F.concat(F.format_string("[ERROR DE TRADUCCIÓN EN CHUNK %d]\n\n", n), text)
 
 
-def suspicious(checked: DataFrame, number: Column, reference: Column | None = None) -> DataFrame:
-    """(chunk, original, translation, anomalies, reference) of the rows with anomalies; texts are cut to 120 characters."""
+def suspicious(checked: DataFrame, number: Column, reference: Column | None = None, extra: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(extra, chunk, original, translation, anomalies, reference) of the rows with anomalies; texts are cut to 120 characters."""
     rows = checked.where(F.size("anomalies") > 0)
     ref = F.lit(None).cast("string") if reference is None else reference
-    return rows.select(*(c for c in ("doc_id",) if c in checked.columns), number.cast("int").alias("chunk"), F.substring("text", 1, 120).alias("original"), F.substring("translation", 1, 120).alias("translation"), "anomalies", ref.alias("reference"))
+    return rows.select(*(c for c in extra if c in checked.columns), number.cast("int").alias("chunk"), F.substring("text", 1, 120).alias("original"), F.substring("translation", 1, 120).alias("translation"), "anomalies", ref.alias("reference"))
 
 
 def report(rows: DataFrame, by: list[str], title: Column) -> DataFrame:
-    """(by, report): the text report of suspicious rows, in order of chunk. Its wording is a fixed value."""
+    """(by, section, chunk, entry): the lines of the text report of suspicious rows: 0 the head, 1 each row's entry, 2 the total.
+
+    In order of section and chunk they make up a file; no task holds a report. The wording is a fixed value.
+    """
     ref = F.coalesce("reference", F.format_string("Chunk %d", F.col("chunk")))
-    entry = F.concat(F.lit("👁️  "), ref, F.lit("\n   Anomalías: "), F.array_join("anomalies", ", "), F.lit("\n   Original:    "), F.col("original"), F.lit("...\n   Traducción:  "), F.col("translation"), F.lit("...\n\n"))
-    got = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("chunk").alias("c"), entry.alias("e")))).alias("u"))
-    head = F.concat(F.lit("Reporte de traducciones sospechosas — "), title, F.lit("\n" + "=" * 60 + "\n\n"))
-    return got.select(*by, F.concat(head, F.array_join("u.e", ""), F.lit("Total: "), F.size("u").cast("string"), F.lit(" bloque(s) sospechoso(s)")).alias("report"))
+    entry = F.concat(F.lit("👁️  "), ref, F.lit("\n   Anomalías: "), F.array_join("anomalies", ", "), F.lit("\n   Original:    "), F.col("original"), F.lit("...\n   Traducción:  "), F.col("translation"), F.lit("...\n"))
+    head = F.concat(F.lit("Reporte de traducciones sospechosas — "), title, F.lit("\n" + "=" * 60 + "\n"))
+    none = F.lit(0)
+    each = rows.select(*by, F.lit(1).alias("section"), "chunk", entry.alias("entry"))
+    ends = rows.groupBy(*by).agg(F.count("*").alias("_n"))
+    total = F.concat(F.lit("Total: "), F.col("_n").cast("string"), F.lit(" bloque(s) sospechoso(s)"))
+    return each.unionByName(ends.select(*by, none.alias("section"), none.alias("chunk"), head.alias("entry"))).unionByName(ends.select(*by, F.lit(2).alias("section"), none.alias("chunk"), total.alias("entry")))
 
 
-def summary(done: DataFrame, by: list[str], number: str = "pos") -> DataFrame:
-    """Units, done and failed counts, suspicious counts and the sorted numbers, from 1, of those that failed."""
+def summary(done: DataFrame, by: list[str]) -> DataFrame:
+    """Units, done and failed counts, and suspicious counts."""
     bad = F.col("status") == "error"
-    return done.groupBy(*by).agg(
-        F.count("*").alias("n_units"), F.count_if(~bad).alias("n_ok"), F.count_if(bad).alias("n_errors"), F.count_if(F.size("anomalies") > 0).alias("n_suspicious"),
-        F.array_join(F.array_sort(F.collect_list(F.when(bad, F.col(number) + 1))).cast("array<string>"), ",").alias("errors"),
-    )
+    return done.groupBy(*by).agg(F.count("*").alias("n_units"), F.count_if(~bad).alias("n_ok"), F.count_if(bad).alias("n_errors"), F.count_if(F.size("anomalies") > 0).alias("n_suspicious"))
+
+
+def failures(done: DataFrame, by: list[str], number: str = "pos") -> DataFrame:
+    """(by, chunk): the numbers, from 1, of the units that failed."""
+    return done.where("status = 'error'").select(*by, (F.col(number) + 1).alias("chunk"))

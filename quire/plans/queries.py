@@ -5,8 +5,6 @@ Documents stand for files: their lines are units. ``_stub`` makes translations w
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,20 +12,8 @@ from quire.functions import languages, paths, quality
 from quire.functions import text as T
 from quire.operators import images, regroup, structure, translate
 from quire.plans import oracle as O
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
+from quire.plans.registry import ORACLES, QUERIES, query, sql_values
+from quire.sources import html as H
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,27 +38,22 @@ def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def _sql_values(rows: list[tuple], names: str) -> str:
-    lit = lambda x: "NULL" if x is None else str(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"
-    return f"(VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS v({names})"
-
-
-@_query(f"SELECT doc_id, CAST({O.effective('text')} AS BIGINT) AS words FROM documents")
+@query(f"SELECT doc_id, CAST({O.effective('text')} AS BIGINT) AS words FROM documents")
 def effective_words(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", _long(T.effective_words(F.col("text"))).alias("words"))
 
 
-@_query(f"WITH {O.UNITS} SELECT lang, count(*) AS n_units, CAST(sum({O.effective('text')}) AS BIGINT) AS words, CAST(count(*) * 10 // 60 AS BIGINT) AS minutes FROM units GROUP BY lang")
+@query(f"WITH {O.UNITS} SELECT lang, count(*) AS n_units, CAST(sum({O.effective('text')}) AS BIGINT) AS words, CAST(count(*) * 10 // 60 AS BIGINT) AS minutes FROM units GROUP BY lang")
 def doc_totals(spark, sf_dir):
     return regroup.totals(_units(spark, sf_dir), ["lang"])
 
 
-@_query(f"SELECT doc_id, CAST(greatest(64, least(CAST(floor({O.effective('text')} * CAST(2.6 AS DOUBLE)) AS INT), 2048)) AS BIGINT) AS budget FROM documents")
+@query(f"SELECT doc_id, CAST(greatest(64, least(CAST(floor({O.effective('text')} * CAST(2.6 AS DOUBLE)) AS INT), 2048)) AS BIGINT) AS budget FROM documents")
 def token_budget(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", _long(T.token_budget(F.col("text"))).alias("budget"))
 
 
-@_query("""SELECT doc_id, sha256(concat('You are a professional ', e, ' (', lang, ') to Spanish (es) translator. Your goal is to accurately convey the meaning and nuances of the original ', e, ' text while adhering to Spanish grammar, vocabulary, and cultural sensitivities. Produce only the Spanish translation, without any additional explanations or commentary. ',
+@query("""SELECT doc_id, sha256(concat('You are a professional ', e, ' (', lang, ') to Spanish (es) translator. Your goal is to accurately convey the meaning and nuances of the original ', e, ' text while adhering to Spanish grammar, vocabulary, and cultural sensitivities. Produce only the Spanish translation, without any additional explanations or commentary. ',
   CASE WHEN doc_id % 5 = 0 THEN 'IMPORTANT: The text contains placeholder tokens like ⟦1⟧, ⟦2⟧, ⟦3⟧. Each token stands for a hyperlink or footnote. You MUST keep every token EXACTLY as-is (same brackets and number), in the same position relative to the surrounding words. Never translate, alter, space out, reorder, split, merge, or remove any token. ' ELSE '' END,
   'Please translate the following ', e, ' text into Spanish:', chr(10), chr(10), chr(10), text, CASE WHEN doc_id % 5 = 0 THEN ' ⟦1⟧' ELSE '' END)) AS prompt_sha256
 FROM documents JOIN (VALUES ('de', 'German'), ('en', 'English'), ('es', 'Spanish'), ('fr', 'French')) AS l(code, e) ON lang = code""")
@@ -82,22 +63,22 @@ def prompt_build(spark, sf_dir):
     return docs.select("doc_id", T.digest(T.prompt(text, F.col("lang"), F.lit("es"), F.col("name_en"), F.lit("Spanish"))).alias("prompt_sha256"))
 
 
-@_query(f"WITH {O.UNITS} SELECT doc_id, CAST(pos AS INT) AS pos, text FROM units")
+@query(f"WITH {O.UNITS} SELECT doc_id, CAST(pos AS INT) AS pos, text FROM units")
 def units_lines(spark, sf_dir):
     return _units(spark, sf_dir).select("doc_id", "pos", "text")
 
 
-@_query(f"WITH {O.UNITS} SELECT doc_id, CAST(pos AS INT) AS pos, text FROM units WHERE pos < 3")
+@query(f"WITH {O.UNITS} SELECT doc_id, CAST(pos AS INT) AS pos, text FROM units WHERE pos < 3")
 def limit_first_n(spark, sf_dir):
     return regroup.first_units(_units(spark, sf_dir), 3).select("doc_id", "pos", "text")
 
 
 def _pack(limit: int) -> None:
-    def query(spark, sf_dir):
+    def packed(spark, sf_dir):
         return regroup.pack_units(_units(spark, sf_dir), limit).select("doc_id", "pos", "group_id")
 
-    query.__name__ = f"pack_groups_{limit}"
-    _query(f"WITH RECURSIVE {O.packed(limit)} SELECT doc_id, CAST(pos AS INT) AS pos, CAST(group_id AS INT) AS group_id FROM packed")(query)
+    packed.__name__ = f"pack_groups_{limit}"
+    query(f"WITH RECURSIVE {O.packed(limit)} SELECT doc_id, CAST(pos AS INT) AS pos, CAST(group_id AS INT) AS group_id FROM packed")(packed)
 
 
 _pack(60)
@@ -106,12 +87,12 @@ _pack(350)
 _JOINED = f"{O.packed(60)}, joined AS (SELECT doc_id, group_id, string_agg(text, concat(chr(10), '||||', chr(10)) ORDER BY pos) AS text, count(*) AS n FROM packed GROUP BY doc_id, group_id)"
 
 
-@_query(f"WITH RECURSIVE {_JOINED} SELECT doc_id, CAST(group_id AS INT) AS group_id, CAST(n AS INT) AS n_units, sha256(text) AS text_sha256 FROM joined")
+@query(f"WITH RECURSIVE {_JOINED} SELECT doc_id, CAST(group_id AS INT) AS group_id, CAST(n AS INT) AS n_units, sha256(text) AS text_sha256 FROM joined")
 def join_groups(spark, sf_dir):
     return regroup.join_groups(regroup.pack_units(_units(spark, sf_dir), 60)).select("doc_id", "group_id", "n_units", T.digest(F.col("text")).alias("text_sha256"))
 
 
-@_query(f"""WITH RECURSIVE {_JOINED},
+@query(f"""WITH RECURSIVE {_JOINED},
 s AS (SELECT doc_id, group_id, list_transform(string_split(text, '||||'), lambda x: {O.trim('x')}) AS p, greatest(1, n + doc_id % 7 - 3) AS want FROM joined)
 SELECT doc_id, CAST(group_id AS INT) AS group_id, CASE WHEN len(p) = want THEN 'ok' WHEN abs(len(p) - want) > 2 THEN 'error' WHEN len(p) < want THEN 'padded' ELSE 'cut' END AS status,
   CASE WHEN abs(len(p) - want) > 2 THEN NULL WHEN len(p) < want THEN array_to_string(list_concat(p, list_transform(range(0, want - len(p)), lambda i: p[-1])), '|') ELSE array_to_string(p[1:want], '|') END AS parts FROM s""")
@@ -121,7 +102,7 @@ def split_groups_status(spark, sf_dir):
     return joined.withColumn("s", regroup.split_group(F.col("text"), want)).select("doc_id", "group_id", "s.status", F.array_join("s.parts", "|").alias("parts"))
 
 
-@_query(f"""WITH f AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[,\n] ?')) AS text, unnest(range(0, len(regexp_split_to_array(text, '[,\n] ?')))) AS pos FROM documents),
+@query(f"""WITH f AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[,\n] ?')) AS text, unnest(range(0, len(regexp_split_to_array(text, '[,\n] ?')))) AS pos FROM documents),
 b AS (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM f),
 k AS (SELECT *, sum(CASE WHEN prev IS NULL OR regexp_matches({O.rtrim('prev')}, '[.!?:…]$') OR NOT regexp_matches({O.ltrim('text')}, '^\\p{{Ll}}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS unit_no FROM b)
 SELECT doc_id, CAST(unit_no AS INT) AS unit_no, string_agg(text, ' ' ORDER BY pos) AS text, CAST(count(*) AS INT) AS n_parts FROM k GROUP BY doc_id, unit_no""")
@@ -130,7 +111,7 @@ def merge_fragments(spark, sf_dir):
     return regroup.merge_units(parts, ["doc_id"]).select("doc_id", "unit_no", "text", "n_parts")
 
 
-@_query(f"""WITH f AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[,\n] ?')) AS text, unnest(range(0, len(regexp_split_to_array(text, '[,\n] ?')))) AS pos FROM documents),
+@query(f"""WITH f AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[,\n] ?')) AS text, unnest(range(0, len(regexp_split_to_array(text, '[,\n] ?')))) AS pos FROM documents),
 b AS (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM f),
 k AS (SELECT *, sum(CASE WHEN prev IS NULL OR regexp_matches({O.rtrim('prev')}, '[.!?:…]$') OR NOT regexp_matches({O.ltrim('text')}, '^\\p{{Ll}}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS unit_no FROM b),
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit_no ORDER BY pos) AS i, count(*) OVER (PARTITION BY doc_id, unit_no) AS c FROM k)
@@ -140,7 +121,7 @@ def merge_paragraphs(spark, sf_dir):
     return regroup.merge_units(parts, ["doc_id"], tight=True).select("doc_id", "unit_no", "text")
 
 
-@_query(f"""WITH r AS (SELECT conv_id, turn, role, {O.trim('text')} AS text FROM conversations WHERE {O.trim('text')} <> ''),
+@query(f"""WITH r AS (SELECT conv_id, turn, role, {O.trim('text')} AS text FROM conversations WHERE {O.trim('text')} <> ''),
 m AS (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role THEN 0 ELSE 1 END AS new FROM r),
 g AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS group_no FROM m)
 SELECT conv_id, CAST(group_no AS INT) AS group_no, min(role) AS signature, string_agg(text, ' ' ORDER BY turn) AS text, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) AS run_idx, CAST(count(*) OVER (PARTITION BY conv_id) AS INT) AS n_groups FROM g GROUP BY conv_id, group_no""")
@@ -149,24 +130,24 @@ def format_groups(spark, sf_dir):
     return out.withColumn("run_idx", F.array_join(F.col("run_idx").cast("array<string>"), ","))
 
 
-@_query(f"WITH {O.UNITS} SELECT sha256(text) AS chunk_hash, count(*) AS n_units, min(doc_id) AS first_doc FROM units GROUP BY 1")
+@query(f"WITH {O.UNITS} SELECT sha256(text) AS chunk_hash, count(*) AS n_units, min(doc_id) AS first_doc FROM units GROUP BY 1")
 def chunk_hash_dedup(spark, sf_dir):
     return _units(spark, sf_dir).groupBy(T.digest(F.col("text")).alias("chunk_hash")).agg(F.count("*").alias("n_units"), F.min("doc_id").alias("first_doc"))
 
 
 def _cache(spark, sf_dir) -> DataFrame:
-    return _units(spark, sf_dir).where("doc_id % 3 = 0").select(T.digest(F.col("text")).alias("chunk_hash"), F.replace(F.col("text"), F.lit("e"), F.lit("3")).alias("translation")).dropDuplicates(["chunk_hash"])
+    return _units(spark, sf_dir).where("lang in ('de', 'es')").select(T.digest(F.col("text")).alias("chunk_hash"), F.replace(F.col("text"), F.lit("e"), F.lit("3")).alias("translation")).dropDuplicates(["chunk_hash"])
 
 
-_CACHED = f"{O.UNITS}, cache AS (SELECT DISTINCT sha256(text) AS chunk_hash, replace(text, 'e', '3') AS translation FROM units WHERE doc_id % 3 = 0)"
+_CACHED = f"{O.UNITS}, cache AS (SELECT DISTINCT sha256(text) AS chunk_hash, replace(text, 'e', '3') AS translation FROM units WHERE lang IN ('de', 'es'))"
 
 
-@_query(f"WITH {_CACHED} SELECT doc_id, CAST(pos AS INT) AS pos, chunk_hash, translation FROM units JOIN cache ON sha256(text) = chunk_hash")
+@query(f"WITH {_CACHED} SELECT doc_id, CAST(pos AS INT) AS pos, chunk_hash, translation FROM units JOIN cache ON sha256(text) = chunk_hash")
 def cache_hits(spark, sf_dir):
     return translate.lookup(_units(spark, sf_dir), _cache(spark, sf_dir)).where("translation is not null").select("doc_id", "pos", "chunk_hash", "translation")
 
 
-@_query(f"WITH {_CACHED} SELECT DISTINCT sha256(text) AS chunk_hash, text FROM units WHERE sha256(text) NOT IN (SELECT chunk_hash FROM cache)")
+@query(f"WITH {_CACHED} SELECT DISTINCT sha256(text) AS chunk_hash, text FROM units WHERE sha256(text) NOT IN (SELECT chunk_hash FROM cache)")
 def cache_misses(spark, sf_dir):
     return translate.misses(_units(spark, sf_dir), _cache(spark, sf_dir)).select("chunk_hash", "text")
 
@@ -177,15 +158,19 @@ x AS (SELECT doc_id, len(w) AS n, 2 AS k, unnest(list_transform(range(1, len(w))
 g AS (SELECT doc_id, n, k, max(c) AS top FROM (SELECT doc_id, n, k, x, count(*) AS c FROM x GROUP BY doc_id, n, k, x) b GROUP BY doc_id, n, k)"""
 
 
-@_query(f"""WITH {_GRAMS}, bad AS (SELECT doc_id, min(k) AS k FROM g WHERE n > 40 AND (k = 2 AND top > (n - 1) * CAST(0.10 AS DOUBLE) OR k = 3 AND top > (n - 2) * CAST(0.15 AS DOUBLE)) GROUP BY doc_id)
+@query(f"""WITH {_GRAMS}, bad AS (SELECT doc_id, min(k) AS k FROM g WHERE n > 40 AND (k = 2 AND top > (n - 1) * CAST(0.10 AS DOUBLE) OR k = 3 AND top > (n - 2) * CAST(0.15 AS DOUBLE)) GROUP BY doc_id)
 SELECT d.doc_id, CAST(bad.k AS VARCHAR) AS repeats FROM documents d LEFT JOIN bad ON d.doc_id = bad.doc_id""")
 def repetition_guard(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", quality.repetition(F.col("text")).alias("repeats"))
 
 
-@_query(f"SELECT doc_id, {O.words('text')} > 40 AND {O.words('text')} > 4 * {O.effective('left(text, 300)')} AND {O.words('text')} > 100 AS too_long FROM documents")
+_LONG = "concat(repeat(concat(text, ' '), CAST(doc_id % 6 AS INT)), text)"
+
+
+@query(f"SELECT doc_id, {O.words('tr')} > 40 AND {O.words('tr')} > 4 * {O.effective('text')} AND {O.words('tr')} > 100 AS too_long FROM (SELECT doc_id, text, {_LONG} AS tr FROM documents) t")
 def length_guard(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", quality.too_long(T.n_words(F.col("text")), T.effective_words(F.left("text", F.lit(300)))).alias("too_long"))
+    translation = F.concat(F.repeat(F.concat("text", F.lit(" ")), (F.col("doc_id") % 6).cast("int")), "text")
+    return _table(spark, sf_dir, "documents").select("doc_id", quality.too_long(T.n_words(translation), T.effective_words(F.col("text"))).alias("too_long"))
 
 
 _CHECKED = f"tr AS (SELECT *, {O.STUB} AS tr FROM documents), checked AS (SELECT *, {O.ANOMALIES} AS anomalies FROM tr)"
@@ -196,61 +181,70 @@ def _checked(spark, sf_dir) -> DataFrame:
     return docs.withColumn("anomalies", quality.anomalies(F.col("text"), F.col("translation")))
 
 
-@_query(f"WITH {_CHECKED} SELECT doc_id, anomalies FROM checked")
+@query(f"WITH {_CHECKED} SELECT doc_id, anomalies FROM checked")
 def anomalies(spark, sf_dir):
     return _checked(spark, sf_dir).select("doc_id", F.array_join("anomalies", ";").alias("anomalies"))
 
 
-@_query(f"WITH {_CHECKED} SELECT doc_id, CAST(doc_id + 1 AS INT) AS chunk, left(text, 120) AS original, left(tr, 120) AS translation, anomalies, concat('Capítulo ', doc_id % 9 + 1, ', bloque ', doc_id + 1) AS reference FROM checked WHERE anomalies <> ''")
+@query(f"WITH {_CHECKED} SELECT doc_id, CAST(doc_id + 1 AS INT) AS chunk, left(text, 120) AS original, left(tr, 120) AS translation, anomalies, concat('Capítulo ', doc_id % 9 + 1, ', bloque ', doc_id + 1) AS reference FROM checked WHERE anomalies <> ''")
 def suspicious_rows(spark, sf_dir):
     ref = F.format_string("Capítulo %d, bloque %d", F.col("doc_id") % 9 + 1, F.col("doc_id") + 1)
     return translate.suspicious(_checked(spark, sf_dir), F.col("doc_id") + 1, ref).withColumn("anomalies", F.array_join("anomalies", ";"))
 
 
-@_query(f"""WITH {_CHECKED}, s AS (SELECT *, concat('👁️  Chunk ', doc_id + 1, chr(10), '   Anomalías: ', replace(anomalies, ';', ', '), chr(10), '   Original:    ', left(text, 120), '...', chr(10), '   Traducción:  ', left(tr, 120), '...', chr(10), chr(10)) AS e FROM checked WHERE anomalies <> '')
-SELECT source, concat('Reporte de traducciones sospechosas — ', source, '.docx', chr(10), repeat('=', 60), chr(10), chr(10), string_agg(e, '' ORDER BY doc_id), 'Total: ', count(*), ' bloque(s) sospechoso(s)') AS report FROM s GROUP BY source""")
+# The report's wording.
+@query(f"""WITH {_CHECKED}, s AS (SELECT source, CAST(doc_id + 1 AS INT) AS chunk, concat('👁️  Chunk ', doc_id + 1, chr(10), '   Anomalías: ', replace(anomalies, ';', ', '), chr(10), '   Original:    ', left(text, 120), '...', chr(10), '   Traducción:  ', left(tr, 120), '...', chr(10)) AS entry FROM checked WHERE anomalies <> '')
+SELECT source, 1 AS section, chunk, entry FROM s
+UNION ALL SELECT DISTINCT source, 0, 0, concat('Reporte de traducciones sospechosas — ', source, '.docx', chr(10), repeat('=', 60), chr(10)) FROM s
+UNION ALL SELECT source, 2, 0, concat('Total: ', count(*), ' bloque(s) sospechoso(s)') FROM s GROUP BY source""")
 def suspicious_report(spark, sf_dir):
-    checked = _checked(spark, sf_dir)
-    rows = translate.suspicious(checked, F.col("doc_id") + 1).join(checked.select("doc_id", "source"), "doc_id")
-    return translate.report(rows, ["source"], F.concat("source", F.lit(".docx")))
+    return translate.report(translate.suspicious(_checked(spark, sf_dir), F.col("doc_id") + 1, extra=("source",)), ["source"], F.concat("source", F.lit(".docx")))
 
 
-@_query(f"""WITH {_CHECKED} SELECT source, count(*) AS n_units, count(*) FILTER (WHERE doc_id % 17 <> 0) AS n_ok, count(*) FILTER (WHERE doc_id % 17 = 0) AS n_errors, count(*) FILTER (WHERE anomalies <> '') AS n_suspicious,
-  coalesce(string_agg(CASE WHEN doc_id % 17 = 0 THEN CAST(doc_id + 1 AS VARCHAR) END, ',' ORDER BY doc_id), '') AS errors FROM checked GROUP BY source""")
+def _done(spark, sf_dir) -> DataFrame:
+    return _checked(spark, sf_dir).withColumn("status", F.when(F.col("doc_id") % 17 == 0, "error").otherwise("ok"))
+
+
+@query(f"""WITH {_CHECKED} SELECT source, count(*) AS n_units, count(*) FILTER (WHERE doc_id % 17 <> 0) AS n_ok, count(*) FILTER (WHERE doc_id % 17 = 0) AS n_errors, count(*) FILTER (WHERE anomalies <> '') AS n_suspicious FROM checked GROUP BY source""")
 def run_summary(spark, sf_dir):
-    done = _checked(spark, sf_dir).withColumn("status", F.when(F.col("doc_id") % 17 == 0, "error").otherwise("ok"))
-    return translate.summary(done, ["source"], "doc_id")
+    return translate.summary(_done(spark, sf_dir), ["source"])
+
 
+@query("SELECT source, doc_id + 1 AS chunk FROM documents WHERE doc_id % 17 = 0")
+def run_failures(spark, sf_dir):
+    return translate.failures(_done(spark, sf_dir), ["source"], "doc_id")
 
-@_query("SELECT doc_id, concat('[ERROR DE TRADUCCIÓN EN CHUNK ', doc_id + 1, ']', chr(10), chr(10), text) AS marked FROM documents WHERE doc_id % 17 = 0")
+
+@query("SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN concat('[ERROR DE TRADUCCIÓN EN CHUNK ', doc_id + 1, ']', chr(10), chr(10), text) ELSE text END AS marked FROM documents")
 def error_marks(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").where("doc_id % 17 = 0").select("doc_id", translate.error_mark(F.col("doc_id") + 1, F.col("text")).alias("marked"))
+    done = _done(spark, sf_dir)
+    return done.select("doc_id", F.when(F.col("status") == "error", translate.error_mark(F.col("doc_id") + 1, F.col("text"))).otherwise(F.col("text")).alias("marked"))
 
 
-@_query(f"SELECT doc_id, {O.trim('s')} AS scrubbed FROM (SELECT doc_id, regexp_replace(concat(left(text, 50), CASE WHEN doc_id % 3 = 0 THEN ' (Please provide the English text to translate.)' ELSE '' END), '\\(Please provide the .{{0,60}}text[^)]*\\.\\)', '', 'g') AS s FROM documents) x")
+@query(f"SELECT doc_id, {O.trim('s')} AS scrubbed FROM (SELECT doc_id, regexp_replace(concat(text, CASE WHEN doc_id % 3 = 0 THEN ' (Please provide the English text to translate.)' ELSE '' END), '\\(Please provide the .{{0,60}}text[^)]*\\.\\)', '', 'g') AS s FROM documents) x")
 def scrubbed(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
-    raw = F.concat(F.left("text", F.lit(50)), F.when(F.col("doc_id") % 3 == 0, " (Please provide the English text to translate.)").otherwise(""))
+    raw = F.concat("text", F.when(F.col("doc_id") % 3 == 0, " (Please provide the English text to translate.)").otherwise(""))
     return docs.select("doc_id", T.scrub(raw).alias("scrubbed"))
 
 
-_TOKENS_SQL = "SELECT doc_id, concat(left(text, 40), CASE WHEN doc_id % 5 <> 1 THEN ' ⟦1⟧' ELSE '' END, CASE WHEN doc_id % 5 = 2 THEN ' ⟦2⟧ ⟦2⟧' WHEN doc_id % 5 <> 3 THEN '  and ⟦2⟧' ELSE ' ⟦3⟧' END) AS tr, CASE WHEN doc_id % 4 = 3 THEN [] ELSE [1] END AS links, CASE WHEN doc_id % 4 >= 2 THEN [] ELSE [2] END AS notes FROM documents"
+_TOKENS_SQL = "SELECT doc_id, concat(text, CASE WHEN doc_id % 5 <> 1 THEN ' ⟦1⟧' ELSE '' END, CASE WHEN doc_id % 5 = 2 THEN ' ⟦2⟧ ⟦2⟧' WHEN doc_id % 5 <> 3 THEN '  and ⟦2⟧' ELSE ' ⟦3⟧' END) AS tr, CASE WHEN doc_id % 4 = 3 THEN [] ELSE [1] END AS links, CASE WHEN doc_id % 4 >= 2 THEN [] ELSE [2] END AS notes FROM documents"
 _FOUND = "list_sort(list_transform(regexp_extract_all(tr, '⟦(\\d+)⟧', 1), lambda x: CAST(x AS INT)))"
 
 
 def _token_pairs(spark, sf_dir) -> DataFrame:
     d = F.col("doc_id")
-    tr = F.concat(F.left("text", F.lit(40)), F.when(d % 5 != 1, " ⟦1⟧").otherwise(""), F.when(d % 5 == 2, " ⟦2⟧ ⟦2⟧").when(d % 5 != 3, "  and ⟦2⟧").otherwise(" ⟦3⟧"))
+    tr = F.concat("text", F.when(d % 5 != 1, " ⟦1⟧").otherwise(""), F.when(d % 5 == 2, " ⟦2⟧ ⟦2⟧").when(d % 5 != 3, "  and ⟦2⟧").otherwise(" ⟦3⟧"))
     none = F.array().cast("array<int>")
     return _table(spark, sf_dir, "documents").select("doc_id", tr.alias("tr"), F.when(d % 4 == 3, none).otherwise(F.array(F.lit(1))).alias("links"), F.when(d % 4 >= 2, none).otherwise(F.array(F.lit(2))).alias("notes"))
 
 
-@_query(f"WITH t AS ({_TOKENS_SQL}) SELECT doc_id, {_FOUND} = list_sort(list_concat(links, notes)) AS intact FROM t")
+@query(f"WITH t AS ({_TOKENS_SQL}) SELECT doc_id, {_FOUND} = list_sort(list_concat(links, notes)) AS intact FROM t")
 def tokens_intact(spark, sf_dir):
     return _token_pairs(spark, sf_dir).select("doc_id", quality.tokens_intact(F.col("tr"), F.col("links"), F.col("notes")).alias("intact"))
 
 
-@_query(f"""WITH t AS ({_TOKENS_SQL}), a AS (SELECT *, CASE WHEN doc_id % 6 = 0 THEN 'keep' WHEN len(links) + len(notes) > 0 AND {_FOUND} <> list_sort(list_concat(links, notes)) THEN 'fallback' WHEN len(links) + len(notes) > 0 THEN 'rebuild' ELSE 'plain' END AS action FROM t)
+@query(f"""WITH t AS ({_TOKENS_SQL}), a AS (SELECT *, CASE WHEN doc_id % 6 = 0 THEN 'keep' WHEN len(links) + len(notes) > 0 AND {_FOUND} <> list_sort(list_concat(links, notes)) THEN 'fallback' WHEN len(links) + len(notes) > 0 THEN 'rebuild' ELSE 'plain' END AS action FROM t)
 SELECT doc_id, action, CASE WHEN action = 'plain' THEN {O.trim("regexp_replace(regexp_replace(tr, '⟦[0-9]+⟧', '', 'g'), '  +', ' ', 'g')")} END AS plain FROM a""")
 def token_apply_action(spark, sf_dir):
     pairs = _token_pairs(spark, sf_dir).withColumn("tr", F.when(F.col("doc_id") % 6 == 0, "").otherwise(F.col("tr")))
@@ -258,73 +252,71 @@ def token_apply_action(spark, sf_dir):
     return pairs.select("doc_id", action.alias("action"), F.when(action == "plain", structure.plain_text(F.col("tr"))).alias("plain"))
 
 
+# The SQL cuts skipped elements and comments out of pages by expressions, and takes what stands between tags.
 _SKIP = ("script", "style", "code", "pre", "kbd", "samp", "var", "math", "svg", "head")
 
 
-def _native_nodes(spark, sf_dir) -> DataFrame:
-    """Text nodes by expressions: skipped elements and comments cut out, then what stands between tags."""
-    body = F.regexp_replace("html", "(?is)" + "|".join(f"<{t}\\b[^>]*>.*?</{t}\\s*>" for t in _SKIP) + "|<!--.*?-->|<!doctype[^>]*>", "")
-    cut = _table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all(body, F.lit(r"[^<>]+(?=<)"), F.lit(0))).alias("n", "node"))
-    return cut.where(~structure.spaces_only(F.col("node")))
-
-
 def _nodes_sql() -> str:
     cut = "html"
     for t in _SKIP:
         cut = f"regexp_replace({cut}, '(?is)<{t}\\b[^>]*>.*?</{t}\\s*>', '', 'g')"
     cut = f"regexp_replace(regexp_replace({cut}, '(?s)<!--.*?-->', '', 'g'), '(?i)<!doctype[^>]*>', '', 'g')"
-    return f"nodes AS (SELECT page_id, unnest(regexp_extract_all(body, '([^<>]+)<', 1)) AS node, unnest(range(0, len(regexp_extract_all(body, '([^<>]+)<', 1)))) AS n FROM (SELECT page_id, {cut} AS body FROM pages) b), solid AS (SELECT * FROM nodes WHERE NOT regexp_matches(node, '^[{O.SP}]*$'))"
+    plain = "node"
+    for entity, character in (("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        plain = f"replace({plain}, '{entity}', '{character}')"
+    return f"nodes AS (SELECT page_id, unnest(regexp_extract_all(body, '([^<>]+)<', 1)) AS node, unnest(range(0, len(regexp_extract_all(body, '([^<>]+)<', 1)))) AS n FROM (SELECT page_id, {cut} AS body FROM pages) b), solid AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS n, {plain} AS node FROM nodes WHERE NOT regexp_matches({plain}, '^[{O.SP}]*$'))"
 
 
-@_query(f"WITH {_nodes_sql()} SELECT page_id, CAST(n AS INT) AS n, {O.trim('node')} AS text FROM solid")
+@query(f"WITH {_nodes_sql()} SELECT page_id, CAST(n AS INT) AS n, {O.trim('node')} AS text FROM solid")
 def html_text_nodes(spark, sf_dir):
-    return _native_nodes(spark, sf_dir).select("page_id", "n", T.trim(F.col("node")).alias("text"))
+    return H.html_units(_table(spark, sf_dir, "pages")).select("page_id", F.col("pos").alias("n"), T.trim(F.col("text")).alias("text"))
 
 
-@_query(f"WITH {_nodes_sql()}, s AS (SELECT page_id, n, concat('  ', node, CASE WHEN n % 2 = 0 THEN chr(10) ELSE '' END) AS o FROM solid) SELECT page_id, CAST(n AS INT) AS n, CASE WHEN n % 5 = 0 THEN o ELSE concat(regexp_extract(o, '^[{O.SP}]*'), replace({O.trim('o')}, 'e', '3'), regexp_extract(o, '[{O.SP}]*$')) END AS text FROM s")
+@query(f"WITH {_nodes_sql()} SELECT page_id, CAST(n AS INT) AS n, CASE WHEN n % 5 = 0 THEN node ELSE concat(regexp_extract(node, '^[{O.SP}]*'), '<', replace({O.trim('node')}, 'e', '3&'), '>', regexp_extract(node, '[{O.SP}]*$')) END AS text FROM solid")
 def html_reinject(spark, sf_dir):
-    o = F.concat(F.lit("  "), "node", F.when(F.col("n") % 2 == 0, "\n").otherwise(""))
-    nodes = _native_nodes(spark, sf_dir).withColumn("o", o)
-    return nodes.select("page_id", "n", structure.reinject(F.col("o"), F.when(F.col("n") % 5 == 0, "").otherwise(F.replace(T.trim(F.col("o")), F.lit("e"), F.lit("3")))).alias("text"))
+    """Translations put into whole pages, whose texts are then read again."""
+    pages = _table(spark, sf_dir, "pages")
+    units = H.html_units(pages)
+    changed = F.concat(F.lit("<"), F.replace(T.trim(F.col("text")), F.lit("e"), F.lit("3&")), F.lit(">"))
+    done = H.rebuild(pages, units.withColumn("translation", F.when(F.col("pos") % 5 == 0, "").otherwise(changed)))
+    return H.html_units(done.select("page_id", F.col("translated_html").alias("html"))).select("page_id", F.col("pos").alias("n"), "text")
 
 
-@_query("""WITH h AS (SELECT page_id, concat('<p><img src="../Images/p', page_id % 7, '.png#x"/><img alt="a" src=''b', page_id % 3, '.gif''><img src="http://e/x.png"><img src="data:image/png;base64,AA"></p>', html) AS html FROM pages),
+@query("""WITH h AS (SELECT page_id, concat('<p><img src="../Images/p', page_id % 7, '.png#x"/><img alt="a" src=''b', page_id % 3, '.gif''><img src="http://e/x.png"><img src="data:image/png;base64,AA"></p>', html) AS html FROM pages),
 s AS (SELECT page_id, unnest(list_transform(regexp_extract_all(html, '(?i)<img\\b[^>]*>'), lambda t: coalesce(nullif(regexp_extract(t, '(?i)\\bsrc="([^"]*)"', 1), ''), regexp_extract(t, '(?i)\\bsrc=''([^'']*)''', 1)))) AS src FROM h)
 SELECT page_id, src, CASE WHEN src LIKE '../%' THEN concat('OEBPS/Images/p', page_id % 7, '.png') ELSE concat('OEBPS/xhtml/b', page_id % 3, '.gif') END AS path FROM s WHERE src <> '' AND NOT starts_with(src, 'http://') AND NOT starts_with(src, 'https://') AND NOT starts_with(src, 'data:')""".replace("\\\\", "\\"))
 def html_image_srcs(spark, sf_dir):
     p = F.col("page_id")
     html = F.concat(F.format_string('<p><img src="../Images/p%d.png#x"/><img alt="a" src=\'b%d.gif\'><img src="http://e/x.png"><img src="data:image/png;base64,AA"></p>', p % 7, p % 3), "html")
-    tags = _table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all(html, F.lit(r"(?i)<img\b[^>]*>"), F.lit(0))).alias("tag"))
-    src = F.coalesce(F.nullif(F.regexp_extract("tag", r'(?i)\bsrc="([^"]*)"', 1), F.lit("")), F.regexp_extract("tag", r"(?i)\bsrc='([^']*)'", 1))
-    outside = F.col("src") == ""
-    for s in paths.OUTSIDE:
-        outside = outside | F.col("src").startswith(s)
-    return tags.select("page_id", src.alias("src")).where(~outside).withColumn("path", paths.resolve(F.lit("OEBPS/xhtml/c1.xhtml"), F.col("src")))
+    found = H.image_sources(_table(spark, sf_dir, "pages").select("page_id", html.alias("html")), ["page_id"])
+    return found.select("page_id", "src", paths.resolve(F.lit("OEBPS/xhtml/c1.xhtml"), F.col("src")).alias("path"))
 
 
-@_query(r"""SELECT page_id, sha256(concat('<?xml version="1.0" encoding="utf-8"?>', chr(10), regexp_replace(regexp_replace(regexp_replace(html, '<((?:area|base|br|col|embed|hr|img|input|link|meta|param|source|track|wbr)\b(?:[^>]*[^>/\s])?)\s*>', '<\1/>', 'g'), '<html', '<html xmlns="http://www.w3.org/1999/xhtml"'), '<\?\?', '<?'))) AS xhtml_sha256 FROM pages""")
+@query(r"""SELECT page_id, sha256(concat('<?xml version="1.0" encoding="utf-8"?>', chr(10), regexp_replace(regexp_replace(regexp_replace(html, '<((?:area|base|br|col|embed|hr|img|input|link|meta|param|source|track|wbr)\b(?:[^>]*[^>/\s])?)\s*>', '<\1/>', 'g'), '<html', '<html xmlns="http://www.w3.org/1999/xhtml"'), '<\?\?', '<?'))) AS xhtml_sha256 FROM pages""")
 def xhtml_void(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", T.digest(structure.xhtml(F.col("html"))).alias("xhtml_sha256"))
+    return _table(spark, sf_dir, "pages").select("page_id", T.digest(H.xhtml("html")).alias("xhtml_sha256"))
 
 
-@_query("""WITH t AS (SELECT doc_id, left(text, 80) AS text, CAST(doc_id % 11 AS DOUBLE) / 10 AS prop FROM documents), p AS (SELECT *, CAST(floor(length(text) * prop) AS INT) AS p FROM t),
+@query("""WITH t AS (SELECT doc_id, text, CAST(doc_id % 11 AS DOUBLE) / 10 AS prop FROM documents), p AS (SELECT *, CAST(floor(length(text) * prop) AS INT) AS p FROM t),
 c AS (SELECT *, CASE WHEN contains(left(text, p), ' ') THEN p - instr(reverse(left(text, p)), ' ') ELSE -1 END AS b, CASE WHEN contains(text[p + 1:], ' ') THEN p + instr(text[p + 1:], ' ') - 1 ELSE -1 END AS a FROM p)
 SELECT doc_id, CAST(CASE WHEN b < 0 AND a < 0 THEN p WHEN b < 0 THEN a WHEN a < 0 THEN b WHEN p - b <= a - p THEN b ELSE a END AS INT) AS cut FROM c""")
 def pagebreak_cut(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(80)).alias("text"), ((F.col("doc_id") % 11).cast("double") / 10).alias("prop"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", ((F.col("doc_id") % 11).cast("double") / 10).alias("prop"))
     return docs.select("doc_id", structure.break_at(F.col("text"), F.col("prop")).alias("cut"))
 
 
-_SIBS = "(SELECT doc_id, unnest([0, 1, 2, 3, 4]) AS pos, unnest(['text', CASE WHEN doc_id % 3 = 0 THEN 'span' ELSE 'pagebreak' END, 'text', 'pagebreak', 'text']) AS kind, unnest([left(text, CAST(doc_id % 30 AS INT)), NULL, left(text, 20), NULL, '']) AS text FROM documents)"
+_SIBS = "(SELECT doc_id, unnest([0, 1, 2, 3, 4, 5, 6]) AS pos, unnest(['text', CASE WHEN doc_id % 3 = 0 THEN 'span' ELSE 'pagebreak' END, 'text', 'pagebreak', 'text', 'pagebreak', 'b']) AS kind, unnest([text, NULL, reverse(text), NULL, CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END, NULL, 'x']) AS text FROM documents)"
 
 
-@_query(f"""WITH s AS {_SIBS}, n AS (SELECT *, lag(kind) OVER w AS k0, lead(kind) OVER w AS k1, lag(text) OVER w AS t0, lead(text) OVER w AS t1 FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
-SELECT doc_id, pos, CASE WHEN length(t0) + length(t1) > 0 THEN CAST(length(t0) AS DOUBLE) / (length(t0) + length(t1)) ELSE 0.5 END AS proportion, concat(t0, t1) AS merged FROM n WHERE kind = 'pagebreak' AND k0 = 'text' AND k1 = 'text'""")
+@query(f"""WITH s AS {_SIBS}, t AS (SELECT doc_id, max(CASE WHEN pos = 0 THEN text END) AS t0, max(CASE WHEN pos = 2 THEN text END) AS t2, max(CASE WHEN pos = 4 THEN text END) AS t4, max(CASE WHEN pos = 1 THEN kind END) AS k1 FROM s GROUP BY doc_id),
+b AS (SELECT doc_id, 1 AS pos, t0 AS l, t2 AS r FROM t WHERE k1 = 'pagebreak' UNION ALL SELECT doc_id, 3, CASE WHEN k1 = 'pagebreak' THEN concat(t0, t2) ELSE t2 END, t4 FROM t)
+SELECT doc_id, pos, CASE WHEN length(l) + length(r) > 0 THEN CAST(length(l) AS DOUBLE) / (length(l) + length(r)) ELSE 0.5 END AS proportion, concat(l, r) AS merged FROM b""")
 def pagebreak_extract(spark, sf_dir):
     d, t = F.col("doc_id"), F.col("text")
     none = F.lit(None).cast("string")
-    rows = F.array(F.struct(F.lit("text"), F.left(t, (d % 30).cast("int"))), F.struct(F.when(d % 3 == 0, "span").otherwise("pagebreak"), none), F.struct(F.lit("text"), F.left(t, F.lit(20))), F.struct(F.lit("pagebreak"), none), F.struct(F.lit("text"), F.lit("")))
-    sibs = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(rows).alias("pos", "s")).select("doc_id", "pos", F.col("s")["col1"].alias("kind"), F.col("s")["col2"].alias("text"))
+    pairs = [(F.lit("text"), t), (F.when(d % 3 == 0, "span").otherwise("pagebreak"), none), (F.lit("text"), F.reverse(t)), (F.lit("pagebreak"), none), (F.lit("text"), F.when(d % 2 == 0, F.col("lang")).otherwise("")), (F.lit("pagebreak"), none), (F.lit("b"), F.lit("x"))]
+    rows = F.array(*(F.struct(k.alias("kind"), x.alias("text")) for k, x in pairs))
+    sibs = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(rows).alias("pos", "s")).select("doc_id", "pos", "s.*")
     return structure.pagebreaks(sibs, ["doc_id"])
 
 
@@ -332,7 +324,7 @@ _AFTER = ["; ", ".(p. 38)", ".(pp. 8–9) y", " más", ").", "texto", "(págs. 5
 _AFTER_SQL = "[" + ", ".join(f"'{x}'" for x in _AFTER) + "]"
 
 
-@_query(rf"""WITH c AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Dijo algo.' ELSE 'Dijo ' END AS t0, CASE WHEN doc_id % 3 = 0 THEN 'Harrison, 1997.' ELSE 'Harrison, 1997' END AS t1, {_AFTER_SQL}[CAST(doc_id % 10 + 1 AS INT)] AS t2 FROM documents),
+@query(rf"""WITH c AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Dijo algo.' ELSE 'Dijo ' END AS t0, CASE WHEN doc_id % 3 = 0 THEN 'Harrison, 1997.' ELSE 'Harrison, 1997' END AS t1, {_AFTER_SQL}[CAST(doc_id % 10 + 1 AS INT)] AS t2 FROM documents),
 r AS (SELECT doc_id, t0, t1, regexp_replace(regexp_replace(t2, '\.?\((pp?\.)\s*([^)]+)\)', ', \1 \2', 'g'), '\.?\((págs?\.)\s*([^)]+)\)', ', \1 \2', 'g') AS t2 FROM c)
 SELECT doc_id, CASE WHEN ends_with(t0, '.') THEN concat(left(t0, length(t0) - 1), ' (') ELSE t0 END AS before, regexp_replace(t1, '\.\s*$', '') AS cite,
   CASE WHEN regexp_matches(t2, '^[\s)>;]|^,?\s*\.?\(?pp?\.|^,?\s*\.?\(?págs?\.') THEN t2 ELSE concat('). ', ltrim(t2)) END AS after FROM r""")
@@ -351,7 +343,7 @@ def citation_repair(spark, sf_dir):
 
 _URLS = [("xhtml/c1.xhtml", "../Images/cover.jpg"), ("xhtml/c1.xhtml", "c2.xhtml#f1.1"), ("c0.xhtml", "xhtml/c1.xhtml"), ("xhtml/c1.xhtml", "http://a/b"), ("xhtml/c1.xhtml", "#n1"), ("xhtml/c1.xhtml", "mailto:a@b"), ("xhtml/sub/c3.xhtml", "../../Styles/./s.css"), ("xhtml/c1.xhtml", "c2.xhtml#"), ("c0.xhtml", "a/../../b.png"), ("xhtml/c1.xhtml", ""), ("x/y/z.html", "../../../up.css#a#b")]
 _CHAPTERS = [("xhtml/c1.xhtml", "cap_01.html"), ("xhtml/c2.xhtml", "cap_02.html")]
-_URL_ROWS = f"u AS (SELECT doc_id, item, url FROM (SELECT doc_id FROM documents) d JOIN (SELECT row_number() OVER () - 1 AS n, * FROM {_sql_values(_URLS, 'item, url')}) l ON d.doc_id % {len(_URLS)} = l.n)"
+_URL_ROWS = f"u AS (SELECT doc_id, item, url FROM (SELECT doc_id FROM documents) d JOIN (SELECT row_number() OVER () - 1 AS n, * FROM {sql_values(_URLS, 'item, url')}) l ON d.doc_id % {len(_URLS)} = l.n)"
 
 
 def _url_rows(spark, sf_dir) -> DataFrame:
@@ -365,13 +357,13 @@ _FRAG = "CASE WHEN contains(url, '#') AND regexp_extract(url, '#(.*)$', 1) <> ''
 _RESOLVED = f"r AS (SELECT *, {_DIR} AS dir, {_FRAG} AS frag, split_part(url, '#', 1) AS part FROM u), a AS (SELECT *, {O.normalized('CASE WHEN dir = ' + chr(39) + '.' + chr(39) + ' THEN part ELSE concat(dir, ' + chr(39) + '/' + chr(39) + ', part) END')} AS abs FROM r)"
 
 
-@_query(f"WITH {_URL_ROWS}, {_RESOLVED} SELECT doc_id, item, url, CASE WHEN {_KEPT} THEN url ELSE concat(coalesce(c.chapter, abs), frag) END AS rewritten FROM a LEFT JOIN {_sql_values(_CHAPTERS, 'path, chapter').replace('AS v', 'AS c')} ON c.path = a.abs")
+@query(f"WITH {_URL_ROWS}, {_RESOLVED} SELECT doc_id, item, url, CASE WHEN {_KEPT} THEN url ELSE concat(coalesce(c.chapter, abs), frag) END AS rewritten FROM a LEFT JOIN {sql_values(_CHAPTERS, 'path, chapter').replace('AS v', 'AS c')} ON c.path = a.abs")
 def url_rewrite(spark, sf_dir):
     chapters = _values(spark, _CHAPTERS, "path string, chapter string")
     return structure.rewrite_urls(_url_rows(spark, sf_dir), F.broadcast(chapters)).select("doc_id", "item", "url", "rewritten")
 
 
-@_query(f"WITH {_URL_ROWS}, {_RESOLVED} SELECT doc_id, item, CASE WHEN {_KEPT} THEN url WHEN part = 'c2.xhtml' THEN concat('c2.xhtml', frag) WHEN item = 'xhtml/c1.xhtml' THEN concat('../Images/cover.jpg', frag) WHEN item = 'xhtml/sub/c3.xhtml' THEN '../../Styles/s.css' WHEN item = 'x/y/z.html' THEN '../../../up.css#a#b' ELSE concat(abs, frag) END AS restored FROM a")
+@query(f"WITH {_URL_ROWS}, {_RESOLVED} SELECT doc_id, item, CASE WHEN {_KEPT} THEN url WHEN part = 'c2.xhtml' THEN concat('c2.xhtml', frag) WHEN item = 'xhtml/c1.xhtml' THEN concat('../Images/cover.jpg', frag) WHEN item = 'xhtml/sub/c3.xhtml' THEN '../../Styles/s.css' WHEN item = 'x/y/z.html' THEN '../../../up.css#a#b' ELSE concat(abs, frag) END AS restored FROM a")
 def url_restore(spark, sf_dir):
     chapters = _values(spark, _CHAPTERS, "path string, chapter string")
     there = structure.rewrite_urls(_url_rows(spark, sf_dir), F.broadcast(chapters))
@@ -379,32 +371,32 @@ def url_restore(spark, sf_dir):
     return back.select("doc_id", "item", structure.restore_url(F.col("item"), F.col("rewritten"), F.col("original")).alias("restored"))
 
 
-@_query(f"WITH d AS (SELECT doc_id, string_split(concat(text, chr(10), chr(10), chr(10), 'ab', chr(10), left(text, 60), chr(10), ' ', chr(10)), chr(10)) AS ls FROM documents), l AS (SELECT doc_id, unnest(ls) AS raw, unnest(range(0, len(ls))) AS pos FROM d), t AS (SELECT doc_id, pos, {O.rtrim('raw')} AS line, {O.trim('raw')} AS k FROM l), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY pos) AS rn FROM t), g AS (SELECT * FROM f WHERE k = '' OR length(k) <= 2 OR rn = 1), h AS (SELECT *, lag(k) OVER (PARTITION BY doc_id ORDER BY pos) AS pk, max(CASE WHEN k <> '' THEN pos END) OVER (PARTITION BY doc_id) AS lastpos FROM g) SELECT doc_id, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos), '')) AS cleaned_sha256 FROM h WHERE k <> '' OR (pk <> '' AND pos < lastpos) GROUP BY doc_id")
+@query(f"WITH d AS (SELECT doc_id, string_split(concat(text, chr(10), chr(10), chr(10), 'ab', chr(10), left(text, 60), chr(10), ' ', chr(10)), chr(10)) AS ls FROM documents), l AS (SELECT doc_id, unnest(ls) AS raw, unnest(range(0, len(ls))) AS pos FROM d), t AS (SELECT doc_id, pos, {O.rtrim('raw')} AS line, {O.trim('raw')} AS k FROM l), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY pos) AS rn FROM t), g AS (SELECT * FROM f WHERE k = '' OR length(k) <= 2 OR rn = 1), h AS (SELECT *, lag(k) OVER (PARTITION BY doc_id ORDER BY pos) AS pk, max(CASE WHEN k <> '' THEN pos END) OVER (PARTITION BY doc_id) AS lastpos FROM g) SELECT doc_id, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos), '')) AS cleaned_sha256 FROM h WHERE k <> '' OR (pk <> '' AND pos < lastpos) GROUP BY doc_id")
 def image_line_dedup(spark, sf_dir):
     text = F.concat("text", F.lit("\n\n\nab\n"), F.left("text", F.lit(60)), F.lit("\n \n"))
     return _table(spark, sf_dir, "documents").select("doc_id", T.digest(images.clean_lines(text)).alias("cleaned_sha256"))
 
 
-@_query(f"WITH l AS (SELECT doc_id, {O.trim('x')} AS k FROM (SELECT doc_id, unnest(string_split(concat(left(text, 200), repeat(concat(chr(10), 'LOOP'), CAST(doc_id % 12 AS INT))), chr(10))) AS x FROM documents) y WHERE {O.trim('x')} <> ''), c AS (SELECT doc_id, k, count(*) AS c FROM l GROUP BY doc_id, k), s AS (SELECT doc_id, sum(c) AS n, max(c) AS top FROM c GROUP BY doc_id) SELECT d.doc_id, coalesce(n >= 6 AND CAST(top AS DOUBLE) / n > CAST(0.7 AS DOUBLE), false) AS is_loop FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id")
+@query(f"WITH l AS (SELECT doc_id, {O.trim('x')} AS k FROM (SELECT doc_id, unnest(string_split(concat(text, repeat(concat(chr(10), 'LOOP'), CAST(doc_id % 12 AS INT))), chr(10))) AS x FROM documents) y WHERE {O.trim('x')} <> ''), c AS (SELECT doc_id, k, count(*) AS c FROM l GROUP BY doc_id, k), s AS (SELECT doc_id, sum(c) AS n, max(c) AS top FROM c GROUP BY doc_id) SELECT d.doc_id, coalesce(n >= 6 AND CAST(top AS DOUBLE) / n > CAST(0.7 AS DOUBLE), false) AS is_loop FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id")
 def image_loop(spark, sf_dir):
-    text = F.concat(F.left("text", F.lit(200)), F.repeat(F.lit("\nLOOP"), (F.col("doc_id") % 12).cast("int")))
+    text = F.concat("text", F.repeat(F.lit("\nLOOP"), (F.col("doc_id") % 12).cast("int")))
     return _table(spark, sf_dir, "documents").select("doc_id", images.is_loop(text).alias("is_loop"))
 
 
-_LANGS = _sql_values(list(languages.LANGUAGES), "code, en, es")
+_LANGS = sql_values(list(languages.LANGUAGES), "code, en, es")
 
 
-@_query(f"SELECT doc_id, concat(en, ' / ', es) AS label FROM documents LEFT JOIN {_LANGS} ON lang = code")
+@query(f"SELECT doc_id, concat(en, ' / ', es) AS label FROM documents LEFT JOIN {_LANGS} ON lang = code")
 def language_lookup(spark, sf_dir):
     return languages.with_names(_table(spark, sf_dir, "documents"), "lang").select("doc_id", "label")
 
 
-@_query(f"SELECT code, en AS name_en, es AS name_es FROM {_LANGS} WHERE contains(lower(code), 'an') OR contains(lower(en), 'an') OR contains(lower(es), 'an')")
+@query(f"SELECT code, en AS name_en, es AS name_es FROM {_LANGS} WHERE contains(lower(code), 'an') OR contains(lower(en), 'an') OR contains(lower(es), 'an')")
 def language_filter(spark, sf_dir):
     return languages.dimension(spark).where(languages.matches("AN")).select("code", "name_en", "name_es")
 
 
-@_query("""WITH e AS (SELECT page_id, unnest([concat('OEBPS/xhtml/c', page_id % 5, '.xhtml'), concat('OEBPS/a/xhtml/c', page_id % 5, '.xhtml'), concat('xhtml/c', page_id % 4, '.xhtml'), 'mimetype']) AS zip_name FROM pages),
+@query("""WITH e AS (SELECT page_id, unnest([concat('OEBPS/xhtml/c', page_id % 5, '.xhtml'), concat('OEBPS/a/xhtml/c', page_id % 5, '.xhtml'), concat('xhtml/c', page_id % 4, '.xhtml'), 'mimetype']) AS zip_name FROM pages),
 i AS (SELECT page_id, unnest([concat('xhtml/c', page_id % 5, '.xhtml'), 'c9.xhtml']) AS item_name FROM pages),
 m AS (SELECT e.page_id, zip_name, item_name, row_number() OVER (PARTITION BY e.page_id, item_name ORDER BY CASE WHEN zip_name = item_name THEN 0 ELSE 1 END, length(zip_name), zip_name) AS n FROM e JOIN i ON e.page_id = i.page_id AND (zip_name = item_name OR ends_with(zip_name, concat('/', item_name))))
 SELECT page_id, zip_name, item_name FROM m WHERE n = 1""")
@@ -416,7 +408,7 @@ def zip_suffix_join(spark, sf_dir):
     return structure.match_entries(entries, items, ["page_id"]).select("page_id", "zip_name", "item_name")
 
 
-@_query(f"""WITH p AS (SELECT page_id % 10 AS book, page_id, url AS item_name, CASE WHEN page_id % 3 = 0 THEN '' ELSE regexp_extract(html, '(?s)<title>(.*?)</title>', 1) END AS title, CASE WHEN page_id % 6 = 0 THEN '' ELSE regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) END AS h1 FROM pages)
+@query(f"""WITH p AS (SELECT page_id % 10 AS book, page_id, url AS item_name, CASE WHEN page_id % 3 = 0 THEN '' ELSE regexp_extract(html, '(?s)<title>(.*?)</title>', 1) END AS title, CASE WHEN page_id % 6 = 0 THEN '' ELSE regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) END AS h1 FROM pages)
 SELECT book, printf('cap_%02d.html', row_number() OVER (PARTITION BY book ORDER BY page_id)) AS file, item_name, coalesce(nullif({O.trim('title')}, ''), nullif({O.trim('h1')}, ''), item_name) AS title FROM p""")
 def chapter_manifest(spark, sf_dir):
     n = F.col("page_id")
@@ -427,7 +419,7 @@ def chapter_manifest(spark, sf_dir):
 _FILES = ["/a/libro.EPUB", "b.docx", "/c/d.e/f.PDF", "x.txt", "/q/.htm", "page.html", "noext", "/z/archive.tar.odt"]
 
 
-@_query(f"SELECT path, lower(regexp_extract(path, '[^/.][^/]*?(\\.[^./]+)$', 1)) AS suffix, CASE WHEN path ILIKE '%.epub' THEN 'epub' WHEN path ILIKE 'page.html' THEN 'html' WHEN path ILIKE '%.docx' THEN 'docx' WHEN path ILIKE '%.pdf' OR path ILIKE '%.odt' THEN 'convert' END AS route, concat(coalesce(regexp_extract(path, '^(.*/)?[^/]*$', 1), ''), CASE WHEN regexp_matches(path, '[^/.][^/]*\\.[^./]+$') THEN regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]+$', '') ELSE regexp_extract(path, '([^/]*)$', 1) END, '_fr', CASE WHEN path ILIKE '%.epub' THEN '.epub' ELSE '.docx' END) AS output FROM {_sql_values([(f,) for f in _FILES], 'path')}")
+@query(f"SELECT path, lower(regexp_extract(path, '[^/.][^/]*?(\\.[^./]+)$', 1)) AS suffix, CASE WHEN path ILIKE '%.epub' THEN 'epub' WHEN path ILIKE 'page.html' THEN 'html' WHEN path ILIKE '%.docx' THEN 'docx' WHEN path ILIKE '%.pdf' OR path ILIKE '%.odt' THEN 'convert' END AS route, concat(coalesce(regexp_extract(path, '^(.*/)?[^/]*$', 1), ''), CASE WHEN regexp_matches(path, '[^/.][^/]*\\.[^./]+$') THEN regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]+$', '') ELSE regexp_extract(path, '([^/]*)$', 1) END, '_fr', CASE WHEN path ILIKE '%.epub' THEN '.epub' ELSE '.docx' END) AS output FROM {sql_values([(f,) for f in _FILES], 'path')}")
 def format_dispatch(spark, sf_dir):
     p = F.col("path")
     return _values(spark, [(f,) for f in _FILES], "path string").select("path", paths.suffix(p).alias("suffix"), paths.route(p).alias("route"), paths.output_name(p, F.lit("fr")).alias("output"))
@@ -436,25 +428,25 @@ def format_dispatch(spark, sf_dir):
 _HOSTS = ["C:\\Users\\a b\\x.docx", "d:/y/z.epub", "/mnt/c/Users/x.docx", "/home/u/f.html", "relative/p.pdf"]
 
 
-@_query(f"SELECT path, CASE WHEN regexp_matches(path, '^[A-Za-z]:[\\\\/]') THEN concat('/mnt/', lower(left(path, 1)), '/', replace(path[4:], chr(92), '/')) ELSE path END AS wsl, CASE WHEN regexp_matches(path, '^/mnt/[A-Za-z]/') THEN concat(upper(path[6]), ':', chr(92), replace(path[8:], '/', chr(92))) ELSE path END AS windows FROM {_sql_values([(h,) for h in _HOSTS], 'path')}")
+@query(f"SELECT path, CASE WHEN regexp_matches(path, '^[A-Za-z]:[\\\\/]') THEN concat('/mnt/', lower(left(path, 1)), '/', replace(path[4:], chr(92), '/')) ELSE path END AS wsl, CASE WHEN regexp_matches(path, '^/mnt/[A-Za-z]/') THEN concat(upper(path[6]), ':', chr(92), replace(path[8:], '/', chr(92))) ELSE path END AS windows FROM {sql_values([(h,) for h in _HOSTS], 'path')}")
 def host_paths(spark, sf_dir):
     p = F.col("path")
     return _values(spark, [(h,) for h in _HOSTS], "path string").select("path", paths.host_path(p, "wsl").alias("wsl"), paths.host_path(p, "windows").alias("windows"))
 
 
-@_query("SELECT o_orderkey AS id, array_to_string(list_filter([CASE WHEN s // 3600 > 0 THEN concat(s // 3600, 'h') END, CASE WHEN s % 3600 // 60 > 0 THEN concat(s % 3600 // 60, 'm') END, concat(s % 60, 's')], lambda x: x IS NOT NULL), ' ') AS duration FROM (SELECT o_orderkey, o_orderkey % 9001 AS s FROM orders) x")
+@query("SELECT o_orderkey AS id, array_to_string(list_filter([CASE WHEN s // 3600 > 0 THEN concat(s // 3600, 'h') END, CASE WHEN s % 3600 // 60 > 0 THEN concat(s % 3600 // 60, 'm') END, concat(s % 60, 's')], lambda x: x IS NOT NULL), ' ') AS duration FROM (SELECT o_orderkey, o_orderkey % 9001 AS s FROM orders) x")
 def durations(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), T.duration(F.col("o_orderkey") % 9001).alias("duration"))
 
 
-@_query("SELECT doc_id, left(sha256(text), 16) AS image_hash, CASE WHEN doc_id % 4 = 0 THEN 'left' WHEN doc_id % 4 = 1 THEN 'right' ELSE 'center' END AS align FROM documents")
+@query("SELECT doc_id, left(sha256(text), 16) AS image_hash, CASE WHEN doc_id % 4 = 0 THEN 'left' WHEN doc_id % 4 = 1 THEN 'right' ELSE 'center' END AS align FROM documents")
 def image_hash_align(spark, sf_dir):
     d = F.col("doc_id")
     jc = F.when(d % 4 == 0, "left").when(d % 4 == 1, "right").when(d % 4 == 2, "both")
     return _table(spark, sf_dir, "documents").select("doc_id", images.image_hash(F.encode("text", "UTF-8")).alias("image_hash"), structure.alignment(jc).alias("align"))
 
 
-@_query(f"""WITH RECURSIVE {O.packed(350)}, g AS (SELECT p.doc_id, d.lang, group_id, string_agg(p.text, concat(chr(10), '||||', chr(10)) ORDER BY pos) AS text FROM packed p JOIN documents d ON d.doc_id = p.doc_id GROUP BY p.doc_id, d.lang, group_id),
+@query(f"""WITH RECURSIVE {O.packed(350)}, g AS (SELECT p.doc_id, d.lang, group_id, string_agg(p.text, concat(chr(10), '||||', chr(10)) ORDER BY pos) AS text FROM packed p JOIN documents d ON d.doc_id = p.doc_id GROUP BY p.doc_id, d.lang, group_id),
 u AS (SELECT sha256(text) AS h, min(lang) AS lang, min(text) AS text FROM g GROUP BY 1)
 SELECT concat(en, ' / ', es) AS language, count(*) AS n_calls, CAST(sum({O.effective('text')}) AS BIGINT) AS words, CAST(sum(greatest(64, least(CAST(floor({O.effective('text')} * CAST(2.6 AS DOUBLE)) AS INT), 2048))) AS BIGINT) AS tokens FROM u LEFT JOIN {_LANGS} ON lang = code GROUP BY 1""")
 def translation_plan(spark, sf_dir):
@@ -464,3 +456,6 @@ def translation_plan(spark, sf_dir):
     once = groups.groupBy(T.digest(F.col("text")).alias("chunk_hash")).agg(F.min("lang").alias("lang"), F.min("text").alias("text"))
     per = once.groupBy("lang").agg(F.count("*").alias("n_calls"), _long(F.sum(T.effective_words(F.col("text")))).alias("words"), _long(F.sum(T.token_budget(F.col("text")))).alias("tokens"))
     return languages.with_names(per, "lang").select(F.col("label").alias("language"), "n_calls", "words", "tokens")
+
+
+from quire.plans import file_queries  # noqa: E402, F401  (registers its queries)

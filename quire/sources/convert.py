@@ -5,8 +5,12 @@ from __future__ import annotations
 import shutil
 import subprocess
 import tempfile
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import pandas as pd
+from pyspark.sql import DataFrame
+
 #: Fixed value: seconds that a conversion may take.
 TIMEOUT = 120
 OFFICE, EBOOK = ("soffice", "libreoffice"), ("ebook-convert",)
@@ -35,3 +39,24 @@ def to_docx(data: bytes, suffix: str, tool: str | None = None) -> bytes:
         if made is None:
             raise RuntimeError("the converter wrote nothing")
         return made.read_bytes()
+
+
+def converted(files: DataFrame, tools: dict[str, str] | None = None) -> DataFrame:
+    """(path, content, error): files (path, content) as DOCX, each by a command on its executor; a DOCX stays, a failure leaves its reason.
+
+    tools may name the commands, by ".pdf" and "" for all others. The folder that a command works in is scratch space of its task.
+    """
+    named = tools or {}
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for row in batch.itertuples(index=False):
+                suffix = "." + row.path.rsplit(".", 1)[-1].lower()
+                try:
+                    rows.append((row.path, bytes(row.content) if suffix == ".docx" else to_docx(bytes(row.content), suffix, named.get(".pdf" if suffix == ".pdf" else "")), None))
+                except (OSError, RuntimeError, subprocess.SubprocessError) as e:
+                    rows.append((row.path, None, str(e)[:500]))
+            yield pd.DataFrame(rows, columns=["path", "content", "error"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, content binary, error string")

@@ -10,7 +10,11 @@ from copy import deepcopy
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quire.operators import regroup
+from quire.sources.files import read_files
 
 _W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 _R = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -97,6 +101,7 @@ def units_of(data: bytes) -> list[dict]:
     """The translatable paragraphs in order; those with images or without text are left out, but counted in pos."""
     rels, out = _rels(data), []
     for pos, (container, p) in enumerate(paragraphs(body_of(data))):
+        # A picture's paragraph is no unit: its runs must stay.
         if has_image(p):
             continue
         unit = read_unit(p, rels)
@@ -219,29 +224,48 @@ def set_font(root: ET.Element, name: str, points: int) -> None:
                 e.attrib.update(attrs)
 
 
-def rewrite(data: bytes, translations: list[tuple[int, str, list[int] | None]], captions: dict[int, str] | None = None, font: tuple[str, int] | None = None) -> tuple[bytes, dict[str, int]]:
-    """(file, counts of actions): translations as (pos, text, runs or None), captions by the position of their image's paragraph."""
+def _stored(data: bytes, root: ET.Element) -> bytes:
+    """The file with another body."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(data)) as old, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
+        for info in old.infolist():
+            new.writestr(info, ET.tostring(root, encoding="utf-8", xml_declaration=True) if info.filename == "word/document.xml" else old.read(info.filename))
+    return out.getvalue()
+
+
+def merge(data: bytes, groups: list[list[int]]) -> bytes:
+    """The file with each group's paragraphs, by position, made one: the first takes the others' content, a blank between."""
+    root = body_of(data)
+    found = [p for _, p in paragraphs(root)]
+    parents = {child: holder for holder in root.iter() for child in holder}
+    for first, *rest in groups:
+        for pos in rest:
+            found[first].append(_run(" "))
+            found[first].extend([child for child in found[pos] if child.tag != w("pPr")])
+            parents[found[pos]].remove(found[pos])
+    return _stored(data, root)
+
+
+def rewrite(data: bytes, translations: list[tuple[int, str, list[int] | None]], captions: dict[int, list[str]] | None = None, font: tuple[str, int] | None = None) -> tuple[bytes, dict[str, int]]:
+    """(file, counts of actions): translations as (pos, text, runs or None), captions by the position of their images' paragraph."""
     root = body_of(data)
     found, counts = [p for _, p in paragraphs(root)], {"keep": 0, "fallback": 0, "rebuild": 0, "plain": 0, "caption": 0}
     for pos, text, runs in translations:
         counts[apply_to_paragraph(found[pos], text, runs)] += 1
     if captions:
         parents = {child: holder for holder in root.iter() for child in holder}
-        for pos, text in captions.items():
-            if text:
-                holder = parents[found[pos]]
-                holder.insert(list(holder).index(found[pos]) + 1, caption(text))
+        for pos, texts in captions.items():
+            holder = parents[found[pos]]
+            at = list(holder).index(found[pos]) + 1
+            for text in reversed([t for t in texts if t]):
+                holder.insert(at, caption(text))
                 counts["caption"] += 1
     if font:
         set_font(root, *font)
-    out = io.BytesIO()
-    with zipfile.ZipFile(io.BytesIO(data)) as old, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
-        for info in old.infolist():
-            new.writestr(info, ET.tostring(root, encoding="utf-8", xml_declaration=True) if info.filename == "word/document.xml" else old.read(info.filename))
-    return out.getvalue(), counts
+    return _stored(data, root), counts
 
 
-def _scan(spark: SparkSession, path: str, make, schema: str) -> DataFrame:
+def _scan(files: DataFrame, make, schema: str) -> DataFrame:
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
@@ -249,32 +273,71 @@ def _scan(spark: SparkSession, path: str, make, schema: str) -> DataFrame:
                 if rows:
                     yield pd.DataFrame([{"path": row.path, **r} for r in rows])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInPandas(run, schema)
 
 
+def units(files: DataFrame) -> DataFrame:
+    """Units of DOCX files (path, content)."""
+    return _scan(files, units_of, UNIT)
+
+
+def images(files: DataFrame) -> DataFrame:
+    """Embedded pictures of DOCX files (path, content)."""
+    return _scan(files, images_of, IMAGE)
+
+
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
     """Units of all DOCX files under a path."""
-    return _scan(spark, path, units_of, UNIT)
+    return units(read_files(spark, path, ".docx"))
 
 
 def read_docx_images(spark: SparkSession, path: str) -> DataFrame:
-    return _scan(spark, path, images_of, IMAGE)
+    return images(read_files(spark, path, ".docx"))
+
 
+def merged(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """files (path, content) with paragraphs that a line break cut made one: regroup.merge_units inside each container decides."""
+    parts = regroup.merge_units((found if found is not None else units(files)).select("path", "container", "pos", "text"), ["path", "container"], tight=True).where("n_parts > 1")
+    groups = parts.groupBy("path").agg(F.collect_list("positions").alias("g"))
 
-def write_docx(spark: SparkSession, path: str, translated: DataFrame, font: tuple[str, int] | None = None) -> DataFrame:
-    """(path, docx, fallbacks): the files under a path with translated (path, pos, translation) put in place."""
-    from pyspark.sql import functions as F
+    @F.pandas_udf("binary")
+    def run(content: pd.Series, groups: pd.Series) -> pd.Series:
+        return pd.Series([merge(bytes(c), [[int(x) for x in own] for own in g]) if g is not None else c for c, g in zip(content, groups, strict=True)])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    rows = translated.groupBy("path").agg(F.collect_list(F.struct("pos", "translation")).alias("t"))
+    return files.join(groups, "path", "left").select("path", run("content", "g").alias("content"))
+
+
+def formatted(found: DataFrame) -> DataFrame:
+    """(path, unit, pos, text, run_idx): units, those without links and notes cut where their runs' format changes; unit counts from 0."""
+    plain = found.where((F.size("links") == 0) & (F.size("notes") == 0))
+    runs = plain.select("path", "pos", F.explode("runs").alias("r")).select("path", "pos", "r.*")
+    groups = regroup.split_formats(runs, ["path", "pos"]).where("n_groups > 1")
+    whole = found.join(groups.select("path", "pos").distinct(), ["path", "pos"], "left_anti")
+    both = whole.select("path", "pos", F.lit(0).alias("group_no"), "text", F.lit(None).cast("array<int>").alias("run_idx")).unionByName(groups.select("path", "pos", "group_no", "text", "run_idx"))
+    number = F.row_number().over(Window.partitionBy("path").orderBy("pos", "group_no")) - 1
+    return both.select("path", number.alias("unit"), "pos", "text", "run_idx")
+
+
+def rewritten(files: DataFrame, translated: DataFrame, captions: DataFrame | None = None, font: tuple[str, int] | None = None) -> DataFrame:
+    """(path, docx, fallbacks, captions): files (path, content) with translated (path, pos, translation, run_idx) and captions (path, pos,
+    n, translation) put in place."""
+    rows = translated.groupBy("path").agg(F.collect_list(F.struct("pos", "translation", "run_idx")).alias("t"))
+    every = files.select("path", "content").join(rows, "path", "left")
+    if captions is None:
+        every = every.withColumn("c", F.lit(None).cast("array<struct<pos:int,n:int,translation:string>>"))
+    else:
+        every = every.join(captions.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "translation"))).alias("c")), "path", "left")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                data, counts = rewrite(bytes(row.content), [(x["pos"], x["translation"], None) for x in (row.t if row.t is not None else [])], font=font)
-                out.append({"path": row.path, "docx": data, "fallbacks": counts["fallback"]})
-            yield pd.DataFrame(out, columns=["path", "docx", "fallbacks"])
-
-    return files.join(rows, "path", "left").mapInPandas(run, "path string, docx binary, fallbacks long")
+                notes: dict[int, list[str]] = {}
+                for x in row.c if row.c is not None else []:
+                    notes.setdefault(x["pos"], []).append(x["translation"])
+                texts = [(x["pos"], x["translation"], None if x["run_idx"] is None else [int(i) for i in x["run_idx"]]) for x in (row.t if row.t is not None else [])]
+                data, counts = rewrite(bytes(row.content), texts, notes, font)
+                out.append({"path": row.path, "docx": data, "fallbacks": counts["fallback"], "captions": counts["caption"]})
+            yield pd.DataFrame(out, columns=["path", "docx", "fallbacks", "captions"])
+
+    return every.mapInPandas(run, "path string, docx binary, fallbacks long, captions long")

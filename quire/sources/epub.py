@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quire.functions import paths
 from quire.operators import structure
 from quire.sources import html as H
+from quire.sources.files import read_files
 
 #: An EPUB's first entry, and the media types of chapters.
 MIME = b"application/epub+zip"
@@ -39,14 +40,18 @@ def entries_of(data: bytes) -> list[tuple[str, str, bytes]]:
 
 def read_epubs(spark: SparkSession, path: str) -> DataFrame:
     """(path, zip_name, media, entry_no, content) of the entries of all EPUB files under a path."""
+    return entries(read_files(spark, path, ".epub"))
+
+
+def entries(files: DataFrame) -> DataFrame:
+    """The entries of EPUB files (path, content)."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                found = entries_of(row.content)
+                found = entries_of(bytes(row.content))
                 yield pd.DataFrame({"path": row.path, "zip_name": [n for n, _, _ in found], "media": [m for _, m, _ in found], "entry_no": range(len(found)), "content": [c for _, _, c in found]})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInPandas(run, ENTRY)
 
 
@@ -142,7 +147,7 @@ def export_review(found: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def review_files(title: str, manifest: list[dict]) -> dict[str, str]:
-    """The manifest and the index page of a review folder."""
+    """The manifest and the index page of a review folder. The manifest's names and the index's words are fixed values."""
     links = "\n".join(f'    <li><a href="{m["archivo"]}">{entities.escape(m["titulo"])}</a></li>' for m in manifest)
     safe = entities.escape(title)
     index = f"<!DOCTYPE html>\n<html><head><meta charset='utf-8'/><title>Revisión — {safe}</title></head><body>\n<h1>Revisión: {safe}</h1>\n<p>{len(manifest)} capítulos traducidos</p>\n<ol>\n{links}\n</ol>\n</body></html>"
@@ -165,15 +170,42 @@ def with_body(original: str, reviewed: str) -> str:
     return H.to_xhtml(H.serialize(a[: x[0] + 1]) + H.serialize(b[y[0] + 1 : y[1]]) + H.serialize(a[x[1] :]))
 
 
+def restored(page: str, item: str, files: dict[str, str]) -> str:
+    """A reviewed page with the addresses that its item had: files maps a review folder's pages to items."""
+    base = posixpath.dirname(item)
+
+    def change(url: str) -> str:
+        if not url or url.startswith(paths.KEPT):
+            return url
+        path, mark, fragment = url.partition("#")
+        target = files.get(path, path)
+        return (posixpath.relpath(target, base) if base else target) + (mark + fragment if fragment else "")
+
+    return H.map_urls(page, change)
+
+
+def read_review(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(manifest, files) of a review folder for import_review; FileNotFoundError without a manifest. Rows belong to the path ''."""
+    files = read_files(spark, folder, ".html", ".json").select(F.regexp_extract("path", r"([^/]*)$", 1).alias("archivo"), F.decode("content", "UTF-8").alias("html"), F.lit("").alias("path"))
+    found = files.where(F.col("archivo") == MANIFEST).select("html").collect()  # one file, or none
+    if not found:
+        raise FileNotFoundError(f"{folder} holds no {MANIFEST}: it is no review folder")
+    rows = [("", x["archivo"], x["item_name"]) for x in json.loads(found[0].html)]
+    return spark.createDataFrame(rows, "path string, archivo string, item_name string"), files.where(F.col("archivo") != MANIFEST)
+
+
 def import_review(manifest: DataFrame, files: DataFrame, originals: DataFrame) -> DataFrame:
     """(path, item_name, html) from manifest (path, archivo, item_name), files (path, archivo, html) and originals (path, item_name, html).
 
-    Chapters whose file is missing are left out; one whose original is missing is taken as it was reviewed.
+    Addresses become those of the archive again, and the reviewed body goes into the original page. Chapters whose file is missing are
+    left out; one whose original is missing is taken as it was reviewed.
     """
-    found = manifest.join(files.withColumnRenamed("html", "_reviewed"), ["path", "archivo"]).join(originals.withColumnRenamed("html", "_original"), ["path", "item_name"], "left")
+    names = manifest.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("archivo", "item_name"))).alias("_names"))
+    found = manifest.join(files.withColumnRenamed("html", "_reviewed"), ["path", "archivo"]).join(originals.withColumnRenamed("html", "_original"), ["path", "item_name"], "left").join(names, "path")
 
     @F.pandas_udf("string")
-    def merge(original: pd.Series, reviewed: pd.Series) -> pd.Series:
-        return pd.Series([with_body(o, r) if isinstance(o, str) else H.to_xhtml(r) for o, r in zip(original, reviewed, strict=True)])
+    def merge(original: pd.Series, reviewed: pd.Series, item: pd.Series, names: pd.Series) -> pd.Series:
+        pages = [restored(r, i, dict(n)) for r, i, n in zip(reviewed, item, names, strict=True)]
+        return pd.Series([with_body(o, r) if isinstance(o, str) else H.to_xhtml(r) for o, r in zip(original, pages, strict=True)])
 
-    return found.select("path", "item_name", merge("_original", "_reviewed").alias("html"))
+    return found.select("path", "item_name", merge("_original", "_reviewed", "item_name", "_names").alias("html"))

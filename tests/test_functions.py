@@ -21,15 +21,15 @@ def column_of(spark, column, texts):
 
 
 @pytest.mark.parametrize("text,n,parts,status", [
-    ("a |||| b |||| c", 3, ["a", "b", "c"], "ok"), ("a |||| b", 3, ["a", "b", "b"], "padded"), ("a |||| b |||| c |||| d", 2, ["a", "b"], "cut"), ("", 1, [""], "ok"),
-    ("  foo  ||||  bar  ||||  baz  ", 3, ["foo", "bar", "baz"], "ok"), ("a", 4, None, "error"), ("a||||b||||c||||d", 1, None, "error"),
+    ("rojo |||| verde |||| azul", 3, ["rojo", "verde", "azul"], "ok"), ("sur |||| norte", 3, ["sur", "norte", "norte"], "padded"), ("1 |||| 2 |||| 3 |||| 4", 2, ["1", "2"], "cut"), ("", 1, [""], "ok"),
+    (" \tpan ||||  sal  ||||\n vino", 3, ["pan", "sal", "vino"], "ok"), ("x", 4, None, "error"), ("p||||q||||r||||s", 1, None, "error"),
 ])
 def test_split_group(spark, text, n, parts, status):
     got = one(spark, regroup.split_group(F.col("t"), F.col("n")), t=text, n=n)
     assert (got.parts, got.status) == (parts, status)
 
 
-@pytest.mark.parametrize("texts,limit,groups", [(["hola", "mundo", "foo"], 10, [0, 0, 0]), (["una frase larga de varias palabras", "corta", "otra frase larga aqui"], 3, [0, 1, 2]), (["x y"], 1, [0]), (["a", "b c", "d"], 3, [0, 0, 1])])
+@pytest.mark.parametrize("texts,limit,groups", [(["uno dos", "tres", "cuatro"], 4, [0, 0, 0]), (["un texto que pasa del tope", "breve", "y este que lo pasa otra vez"], 4, [0, 1, 2]), (["x y"], 1, [0]), (["a", "b c", "d"], 3, [0, 0, 1]), ([], 5, []), (["w"] * 1000, 7, [i // 7 for i in range(1000)])])
 def test_pack(spark, texts, limit, groups):
     got = one(spark, regroup.pack(F.transform("t", T.effective_words), limit), t=texts)
     assert got == groups
@@ -51,8 +51,8 @@ def test_words_and_white_space_are_pythons(spark):
 
 
 @pytest.mark.parametrize("source,translation,labels", [
-    ("Hello world", "Hola mundo", []), ("Hello", "Hola...", [quality.ELLIPSIS]), ("Hello...", "Hola...", []), ("Hello…", "Hola...", []), ("Normal text", "* First item\n* Second item", [quality.LISTS]),
-    ("* First item\n* Second item", "* Primer elemento\n* Segundo elemento", []), ("Hello", "Lo siento, no puedo traducir esto", [quality.META]), ("Hola", "I cannot translate this text", [quality.META]),
+    ("Rain today", "Hoy llueve", []), ("Wait", "Espera...", [quality.ELLIPSIS]), ("Wait...", "Espera...", []), ("Wait…", "Espera...", []), ("Bread and milk", "* Pan\n* Leche", [quality.LISTS]),
+    ("- bread\n- milk", "- pan\n- leche", []), ("Rain", "Aquí no puedo traducir nada", [quality.META]), ("Lluvia", "Sorry, I cannot translate it", [quality.META]),
     ("x", "I CAN'T translate...", [quality.ELLIPSIS, quality.META]),
 ])
 def test_anomalies(spark, source, translation, labels):
@@ -60,7 +60,7 @@ def test_anomalies(spark, source, translation, labels):
 
 
 @pytest.mark.parametrize("text,links,notes,intact", [
-    ("texto ⟦1⟧ con enlace y nota ⟦2⟧", [1], [2], True), ("texto ⟦1⟧ sin la nota", [1], [2], False), ("texto ⟦1⟧ con ⟦2⟧ y extra ⟦3⟧", [1], [2], False), ("texto plano sin tokens", [], [], True), ("enlace ⟦1⟧ y otro ⟦2⟧", [1, 2], [], True),
+    ("⟦2⟧ va antes que ⟦1⟧", [1], [2], True), ("solo queda ⟦1⟧", [1], [2], False), ("⟦1⟧, ⟦2⟧ y de más ⟦3⟧", [1], [2], False), ("nada marcado", [], [], True), ("⟦1⟧⟦2⟧", [1, 2], [], True), ("⟦1⟧ dos veces ⟦1⟧", [1], [], False),
 ])
 def test_tokens(spark, text, links, notes, intact):
     assert one(spark, quality.tokens_intact(F.col("t"), F.col("l"), F.col("n")), t=text, l=links, n=notes) is intact
@@ -71,7 +71,7 @@ def test_guards(spark):
     assert column_of(spark, quality.guard_error(F.lit("a b c"), F.col("t")), [words, "si no " * 25, " ".join(f"w{i}" for i in range(101)), "si " * 40]) == [None, "repetition 2", "length", None]
 
 
-@pytest.mark.parametrize("text,clean", [("linea1\nlinea2\nlinea3", "linea1\nlinea2\nlinea3"), ("hola\nmundo\nhola", "hola\nmundo"), ("a\nxy\nlargo", "a\nxy\nlargo"), ("", ""), ("\n\na1b\n\n\nxyz\na1b\n \n", "a1b\n\nxyz"), ("ab\nab", "ab\nab")])
+@pytest.mark.parametrize("text,clean", [("SALIDA\nENTRADA\nCAJA", "SALIDA\nENTRADA\nCAJA"), ("menú\npostre\nmenú", "menú\npostre"), ("4\nkm\nlejos", "4\nkm\nlejos"), ("", ""), ("\n\na1b\n\n\nxyz\na1b\n \n", "a1b\n\nxyz"), ("ab\nab", "ab\nab"), ("\n".join(f"línea {i % 300}" for i in range(3000)), "\n".join(f"línea {i}" for i in range(300)))])
 def test_image_lines(spark, text, clean):
     assert one(spark, images.clean_lines(F.col("t")), t=text) == clean
 
@@ -91,7 +91,7 @@ def png(w, h):
 
 
 def test_image_discard(spark):
-    rows = spark.createDataFrame([(1, bytearray(png(50, 50))), (2, bytearray(png(200, 200))), (3, bytearray(b"esto no es una imagen")), (4, bytearray(png(200, 99)))], "i int, content binary")
+    rows = spark.createDataFrame([(1, bytearray(png(50, 50))), (2, bytearray(png(200, 200))), (3, bytearray(b"solo letras")), (4, bytearray(png(200, 99)))], "i int, content binary")
     assert [r.x for r in rows.orderBy("i").select(images.discard(F.col("content")).alias("x")).collect()] == [True, False, True, True]
     done = images.translate_images(rows, lambda content: "uno\nuno\ndos" if len(content) else "")
     assert {r.i: (r.status, r.translation) for r in done.collect()} == {1: ("small", None), 2: ("text", "uno\ndos"), 3: ("small", None), 4: ("small", None)}

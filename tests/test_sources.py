@@ -20,8 +20,8 @@ def test_html_nodes_and_round_trip():
     assert H.serialize(H.parse(PAGE)) == PAGE
     pieces = H.parse(PAGE)
     nodes = H.text_nodes(pieces)
-    out = H.apply(pieces, {nodes[1]: "Hola", nodes[4]: "x < z", nodes[5]: ""})
-    assert "<p> Hola <b>" in out and "x &lt; z" in out and out.endswith("<p>end")
+    out = H.apply(pieces, {nodes[1]: " Hola ", nodes[4]: "x < z", nodes[5]: "end"}, {nodes[4]: [(1, "<i/>")]})
+    assert "<p> Hola <b>" in out and "x<i/> &lt; z" in out and out.endswith("<p>end")
     assert H.title_of(pieces) == ("T & t", "One")
     assert len(H.text_nodes(pieces, comments=True)) == 7
 
@@ -101,7 +101,7 @@ def test_docx(spark, tmp_path):
     assert [units[k].text for k in sorted(units)] == ["Plain bold", "See ⟦1⟧ and ⟦2⟧", "cell"]
     assert units[1].links[1].url == "http://e.org" and units[1].links[1].text == "link" and units[1].notes[2].note_id == "4"
     assert len({r.signature for r in units[0].runs}) == 2
-    data, counts = docx.rewrite(make_docx(), [(0, "Llano ⟦3⟧  x", None), (1, "Ver ⟦1⟧ y ⟦2⟧.", None), (4, "celda", None)], captions={2: "pie"}, font=("Bookman Old Style", 11))
+    data, counts = docx.rewrite(make_docx(), [(0, "Llano ⟦3⟧  x", None), (1, "Ver ⟦1⟧ y ⟦2⟧.", None), (4, "celda", None)], captions={2: ["pie"]}, font=("Bookman Old Style", 11))
     again = docx.units_of(data)
     assert [u["text"] for u in again if u["text"] != "pie"] == ["Llano x", "Ver ⟦1⟧ y ⟦2⟧.", "celda"] and "pie" in [u["text"] for u in again]
     assert counts == {"keep": 0, "fallback": 0, "rebuild": 1, "plain": 2, "caption": 1}
@@ -161,8 +161,83 @@ def test_runs_over_files(spark, tmp_path):
     books, _ = translate_epubs(spark, str(tmp_path / "in"), Options(slots=2), stub)
     with zipfile.ZipFile(io.BytesIO(bytes(books.first().epub))) as z:
         assert b"<p>HELLO</p>" in z.read("OEBPS/x/c1.xhtml")
-    files, _ = translate_docx(spark, str(tmp_path / "in"), Options(slots=2, limit=1), stub)
-    assert [u["text"] for u in docx.units_of(bytes(files.first().docx))] == ["PLAIN BOLD", "See ⟦1⟧ and ⟦2⟧", "cell"]
+    files, done = translate_docx(spark, str(tmp_path / "in"), Options(slots=2, limit=1), stub)
+    assert [u["text"] for u in docx.units_of(bytes(files.first().docx))] == ["PLAINbold", "See ⟦1⟧ and ⟦2⟧", "cell"] and done.count() == 1
+    files, done = translate_docx(spark, str(tmp_path / "in"), Options(slots=2), stub)
+    runs = docx.units_of(bytes(files.first().docx))[0]["runs"]
+    assert [r["text"] for r in runs] == ["PLAIN", "BOLD"] and runs[1]["signature"] != runs[0]["signature"]
+
+    class Gone(translate.Stub):
+        def ensure_ready(self):
+            raise LookupError("no model")
+
+    with pytest.raises(LookupError):
+        translate_docx(spark, str(tmp_path / "in"), Options(slots=2), Gone())
+
+
+def test_whole_run_of_an_epub(spark, tmp_path):
+    from quire.plans import samples
+    from quire.plans.documents import Options, export_review, import_review, run
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/book.epub").write_bytes(samples.BOOK)
+    stub = translate.Stub(lambda t: t.upper() + ("..." if t == "Two" else ""), lambda content: "READ")
+    names = {r.name for r in run(spark, str(tmp_path / "in"), "epub", Options(slots=2, images=True), stub, str(tmp_path / "out")).collect()}
+    assert names == {"book_es.epub", "book_es_sospechosos.txt"}
+    with zipfile.ZipFile(tmp_path / "out/book_es.epub") as z:
+        page = z.read("OEBPS/x/c1.xhtml").decode()
+        assert "SOME SAID SO (<a" in page and ">Miller, 2001</a>, P. 12 AND MORE</p>" in page and "A PAGE THAT<span" in page and "</span> ENDS HERE" in page and ">READ</figcaption>" in page
+        assert "<pre>stays</pre>" in z.read("OEBPS/x/c2.xhtml").decode() and z.namelist()[0] == "mimetype"
+    report = (tmp_path / "out/book_es_sospechosos.txt").read_text()
+    assert report.startswith("Reporte de traducciones sospechosas — book_es.epub\n" + "=" * 60 + "\n\n👁️  Chunk ") and report.endswith("...\n\nTotal: 1 bloque(s) sospechoso(s)")
+    assert spark.read.parquet(str(tmp_path / "out/_summary")).first().n_suspicious == 1 and spark.read.parquet(str(tmp_path / "out/_failures")).count() == 0
+    export_review(spark, str(tmp_path / "in"), Options(slots=2), stub, str(tmp_path / "review"))
+    page = tmp_path / "review/cap_02.html"
+    page.write_text(page.read_text().replace("TWO...", "ZWEI"))
+    (back,) = import_review(spark, str(tmp_path / "in"), str(tmp_path / "review")).collect()
+    with zipfile.ZipFile(io.BytesIO(bytes(back.epub))) as z:
+        text = z.read("OEBPS/x/c2.xhtml").decode()
+        assert "<h1>ZWEI</h1>" in text and 'href="c1.xhtml#t"' in text and 'src="../i/a.png"' in z.read("OEBPS/x/c1.xhtml").decode()
+    import pytest
+
+    with pytest.raises(FileNotFoundError):
+        import_review(spark, str(tmp_path / "in"), str(tmp_path / "in"))
+
+
+def test_whole_run_of_a_docx(spark, tmp_path):
+    from quire.plans import samples
+    from quire.plans.documents import Options, run
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/letter.docx").write_bytes(samples.LETTER)
+    run(spark, str(tmp_path / "in"), "docx", Options(slots=2, merge=True, images=True, font=("Georgia", 12)), translate.Stub(str.upper, lambda content: "READ"), str(tmp_path / "out"))
+    units = docx.units_of((tmp_path / "out/letter_es.docx").read_bytes())
+    assert [u["text"] for u in units][1:] == ["SEE ⟦1⟧ AND ⟦2⟧", "A LINE THAT WAS CUT IN TWO.", "READ", "IN A CELL", "DEEPER"]
+    assert [r["text"] for r in units[0]["runs"]] == ["PLAIN START", "BOLD PART", " ", "PLAIN END"] and "Georgia" in units[0]["runs"][1]["signature"]
+
+
+def test_converters_and_html(spark, tmp_path):
+    from quire.plans.documents import Options, run
+    from quire.sources import convert, files
+
+    tool = tmp_path / "tool"
+    tool.write_text('#!/bin/sh\nwhile [ "$1" != "--outdir" ]; do shift; done\n[ -s "$3" ] || exit 1\ncp "$3" "$2/entrada.docx"\n')
+    tool.chmod(0o755)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/p.html").write_text(PAGE)
+    (tmp_path / "in/a.png").write_bytes(__import__("quire.plans.samples", fromlist=["x"]).png(120, 120))
+    run(spark, str(tmp_path / "in"), "html", Options(slots=2, images=True), translate.Stub(str.upper, lambda content: "READ"), str(tmp_path / "out"))
+    page = (tmp_path / "out/p_es.html").read_text()
+    assert "<style>img { max-width" in page and "<p> HI <b>THERE</b>" in page and ">READ</figcaption>" in page
+    run(spark, str(tmp_path / "in"), "html", Options(slots=2, tools={"": str(tool)}), translate.Stub(str.upper), str(tmp_path / "out"))
+    assert "HI <b>THERE" in (tmp_path / "out/p_es.docx").read_text()
+    rows = spark.createDataFrame([("x.docx", bytearray(b"1")), ("y.odt", bytearray(b"2")), ("z.rtf", bytearray()), ("q.pdf", bytearray(b"4"))], "path string, content binary")
+    got = {r.path: r for r in convert.converted(rows, {"": str(tool), ".pdf": str(tmp_path / "none")}).collect()}
+    assert bytes(got["x.docx"].content) == b"1" and bytes(got["y.odt"].content) == b"2" and got["z.rtf"].content is None and got["z.rtf"].error and got["q.pdf"].error
+    import pytest
+
+    with pytest.raises(Exception, match="no name inside"):
+        files.write_files(spark.createDataFrame([("../x", bytearray(b"1"))], "name string, content binary"), str(tmp_path / "out")).count()
 
 
 def test_addresses_and_resources(spark, tmp_path):

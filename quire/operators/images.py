@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quire.functions.text import lines, right_trim, trim
+from quire.functions.text import left_trim, lines, right_trim, trim
 
 #: Least width and height; a loop has 6 lines or more, over 0.7 of which are one; lines of 2 characters always stay.
 LEAST_SIDE, LOOP_LINES, LOOP_SHARE, SHORT_LINE = 100, 6, 0.7, 2
@@ -124,22 +124,21 @@ def clean_lines(text: Column) -> Column:
     the line kept before it is not blank.
     """
 
-    def firsts(ls: Column) -> Column:
-        keyed = F.array_sort(F.transform(ls, lambda x, i: F.struct(trim(x).alias("k"), i.alias("i"))))
-        chosen = lambda s: F.filter(s, lambda x, i: (F.length(x["k"]) <= SHORT_LINE) | (i == 0) | (F.get(s, i - 1)["k"] != x["k"]))
-        places = F.sort_array(F.transform(F.transform(F.array(keyed), chosen)[0], lambda x: x["i"]))
-        return F.transform(places, lambda i: F.get(ls, i))
+    def firsts(own: Column) -> Column:
+        return F.filter(own, lambda x, i: (F.length(x["k"]) <= SHORT_LINE) | (i == 0) | (F.get(own, i - 1)["k"] != x["k"]))
 
-    def solid(ls: Column) -> Column:
-        return F.filter(ls, lambda x, i: (trim(x) != "") | ((i > 0) & (trim(F.get(ls, i - 1)) != "")))
+    def solid(own: Column) -> Column:
+        return F.filter(own, lambda x, i: (x["k"] != "") | ((i > 0) & (F.get(own, i - 1)["k"] != "")))
 
-    def ended(ls: Column) -> Column:
-        return F.when((F.size(ls) > 0) & (trim(F.get(ls, F.size(ls) - 1)) == ""), F.slice(ls, F.lit(1), F.size(ls) - 1)).otherwise(ls)
+    def ended(own: Column) -> Column:
+        return F.when((F.size(own) > 0) & (F.get(own, F.size(own) - 1)["k"] == ""), F.slice(own, F.lit(1), F.size(own) - 1)).otherwise(own)
 
-    out = F.array(F.transform(lines(text), right_trim))
-    for step in (firsts, solid, ended):
+    keyed = F.transform(F.transform(lines(text), right_trim), lambda x, i: F.struct(left_trim(x).alias("k"), i.alias("i"), x.alias("x")))
+    placed = lambda own: F.array_sort(F.transform(own, lambda x: F.struct(x["i"].alias("i"), x["k"].alias("k"), x["x"].alias("x"))))
+    out = F.array(F.array_sort(keyed))
+    for step in (firsts, placed, solid, ended):
         out = F.array(F.transform(out, step)[0])
-    return F.array_join(out[0], "\n")
+    return F.array_join(out[0]["x"], "\n")
 
 
 def image_text(raw: Column) -> Column:

@@ -38,11 +38,12 @@ def pack(words: Column, limit: int) -> Column:
     return F.transform(F.array(words), folded)[0]
 
 
-def pack_units(units: DataFrame, limit: int, doc: str = "doc_id", pos: str = "pos", text: str = "text") -> DataFrame:
-    """units with group_id. A document's units are gathered once, with their texts, so that these cross one shuffle; grouping by document
+def pack_units(units: DataFrame, limit: int, doc: str = "doc_id", pos: str = "pos", text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """units with group_id, of other columns all or those in ``keep``. A document's units are gathered once, with their texts, so that these cross one shuffle; grouping by document
     and group afterwards needs no other."""
-    rest = [c for c in units.columns if c not in (doc, pos)]
-    whole = units.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), effective_words(F.col(text)).alias("w"), F.struct(*rest).alias("u")))).alias("u"))
+    rest = [c for c in units.columns if c not in (doc, pos)] if keep is None else list(keep)
+    carried = [F.struct(*rest).alias("u")] if rest else []
+    whole = units.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), effective_words(F.col(text)).alias("w"), *carried))).alias("u"))
     zipped = F.arrays_zip(F.col("u").alias("u"), pack(F.col("u.w"), limit).alias("g"))
     each = whole.select(doc, F.explode(zipped).alias("x"))
     return each.select(doc, F.col("x.u.p").alias(pos), *(F.col(f"x.u.u.{c}").alias(c) for c in rest), F.col("x.g").alias("group_id"))

@@ -75,7 +75,7 @@ def limit_first_n(spark, sf_dir):
 
 def _pack(limit: int) -> None:
     def packed(spark, sf_dir):
-        return regroup.pack_units(_units(spark, sf_dir), limit).select("doc_id", "pos", "group_id")
+        return regroup.pack_units(_units(spark, sf_dir), limit, keep=()).select("doc_id", "pos", "group_id")
 
     packed.__name__ = f"pack_groups_{limit}"
     query(f"WITH RECURSIVE {O.packed(limit)} SELECT doc_id, CAST(pos AS INT) AS pos, CAST(group_id AS INT) AS group_id FROM packed")(packed)
@@ -89,7 +89,7 @@ _JOINED = f"{O.packed(60)}, joined AS (SELECT doc_id, group_id, string_agg(text,
 
 @query(f"WITH RECURSIVE {_JOINED} SELECT doc_id, CAST(group_id AS INT) AS group_id, CAST(n AS INT) AS n_units, sha256(text) AS text_sha256 FROM joined")
 def join_groups(spark, sf_dir):
-    return regroup.join_groups(regroup.pack_units(_units(spark, sf_dir), 60)).select("doc_id", "group_id", "n_units", T.digest(F.col("text")).alias("text_sha256"))
+    return regroup.join_groups(regroup.pack_units(_units(spark, sf_dir), 60, keep=("text",))).select("doc_id", "group_id", "n_units", T.digest(F.col("text")).alias("text_sha256"))
 
 
 @query(f"""WITH RECURSIVE {_JOINED},
@@ -97,7 +97,7 @@ s AS (SELECT doc_id, group_id, list_transform(string_split(text, '||||'), lambda
 SELECT doc_id, CAST(group_id AS INT) AS group_id, CASE WHEN len(p) = want THEN 'ok' WHEN abs(len(p) - want) > 2 THEN 'error' WHEN len(p) < want THEN 'padded' ELSE 'cut' END AS status,
   CASE WHEN abs(len(p) - want) > 2 THEN NULL WHEN len(p) < want THEN array_to_string(list_concat(p, list_transform(range(0, want - len(p)), lambda i: p[-1])), '|') ELSE array_to_string(p[1:want], '|') END AS parts FROM s""")
 def split_groups_status(spark, sf_dir):
-    joined = regroup.join_groups(regroup.pack_units(_units(spark, sf_dir), 60))
+    joined = regroup.join_groups(regroup.pack_units(_units(spark, sf_dir), 60, keep=("text",)))
     want = F.greatest(F.lit(1), (F.col("n_units") + F.col("doc_id") % 7 - 3).cast("int"))
     return joined.withColumn("s", regroup.split_group(F.col("text"), want)).select("doc_id", "group_id", "s.status", F.array_join("s.parts", "|").alias("parts"))
 

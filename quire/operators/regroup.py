@@ -33,7 +33,8 @@ def pack(words: Column, limit: int) -> Column:
     def folded(ws: Column) -> Column:
         parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(ws) - 1) / PART).cast("int")), lambda i: F.slice(ws, i * PART + 1, F.lit(PART)))
         start = state(F.lit(-1), F.lit(0), F.array().cast("array<array<int>>"))
-        return F.when(F.size(ws) > 0, F.flatten(F.aggregate(parts, start, whole, lambda a: a["out"]))).otherwise(F.array().cast("array<int>"))
+        short = F.aggregate(ws, state(F.lit(-1), F.lit(0), F.array().cast("array<int>")), step, lambda a: a["out"])
+        return F.when(F.size(ws) <= PART, short).otherwise(F.flatten(F.aggregate(parts, start, whole, lambda a: a["out"])))
 
     return F.transform(F.array(words), folded)[0]
 

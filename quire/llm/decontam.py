@@ -24,10 +24,23 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def shingles(found: str, n: int) -> Column:
-    """All runs of n words of an array column, each joined by spaces; none if there are fewer words."""
-    run = ", ".join(f"{found}[i + {k}]" for k in range(n))
-    return F.expr(f"if(size({found}) < {n}, array(), transform(sequence(0, size({found}) - {n}), i -> concat_ws(' ', {run})))")
+def positions(docs: DataFrame, widths: list[int]) -> DataFrame:
+    """(doc_id, text_key, n_words, pos, width, w0, w1 .., h): every run of words of each width in whole texts, with its hash, from one scan.
+
+    The words of a run are columns beside each other, so that runs are made, hashed and probed without a string of their own.
+    """
+    most = max(widths)
+    found = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
+    side = ", ".join(["w", *(f"slice(w, {k + 1}, greatest(size(w) - {k}, 0))" for k in range(1, most))])
+    names = [f"w{k}" for k in range(most)]
+    each = found.select("doc_id", "text_key", F.size("w").alias("n_words"), F.posexplode(F.expr(f"arrays_zip({side})")).alias("pos", "z"))
+    each = each.select("doc_id", "text_key", "n_words", "pos", "z.*").toDF("doc_id", "text_key", "n_words", "pos", *names)
+    runs = {k: F.when(F.col(f"w{k - 1}").isNotNull(), F.xxhash64(*names[:k])) for k in widths}
+    if len(runs) == 1:
+        each = each.withColumns({"width": F.lit(most), "h": runs[most]})
+    else:
+        each = each.select("*", F.inline(F.array(*(F.struct(F.lit(k).alias("width"), h.alias("h")) for k, h in runs.items()))))
+    return each.where("h is not null")
 
 
 def item_windows(items: DataFrame, size: int, shingle: int) -> tuple[DataFrame, DataFrame]:
@@ -46,20 +59,20 @@ def occurrences(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS, shi
     A window is the ordered set of its shingles. Documents keep only shingles that some window has; those rows give every
     shingle's number of occurrences over all documents. A window is contained only where its rarest shingle occurs (the necessary
     prefix for full containment), so only that one is joined; the start that it implies must lie inside the document with the whole
-    window before the document's end, and the window's shingles must all stand there in order. Shingles are compared as strings.
+    window before the document's end, and the window's shingles must all stand there in order. Shingles are found by their hashes and
+    then compared as strings.
     """
     windows, owners = item_windows(items, size, shingle)
-    known = stored(windows.select("width", F.explode("run").alias("shingle")).distinct(), "known")
-    widths = [r.width for r in known.select("width").distinct().collect()]  # at most SHINGLE_WORDS values
-    found = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w"))
-    rows = None
-    for width in sorted(widths):
-        own = found.select("doc_id", "text_key", F.size("w").alias("n_words"), F.lit(width).alias("width"), F.posexplode(shingles("w", width)).alias("pos", "shingle"))
-        own = own.join(small_side(known.where(F.col("width") == width).select("shingle")), "shingle", "left_semi")
-        rows = own if rows is None else rows.unionByName(own)
-    if rows is None:
+    known = windows.select("width", F.explode("run").alias("shingle")).distinct()
+    widths = sorted(r.width for r in windows.select("width").distinct().collect())  # at most SHINGLE_WORDS values
+    if not widths:
         empty = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit("").alias("window_id")).where("false")
         return empty, owners
+    part = [F.when(F.col("width") > k, F.split("shingle", " ")[k]) for k in range(max(widths))]  # a hash passes over nulls
+    known = stored(known.withColumn("h", F.xxhash64(*part)).groupBy("h").agg(F.collect_list("shingle").alias("shingles")), "known")
+    text = F.concat_ws(" ", *(F.when(F.col("width") > k, F.col(f"w{k}")) for k in range(max(widths))))
+    rows = positions(docs, widths).join(small_side(known), "h").where(F.array_contains("shingles", text))
+    rows = rows.select("width", text.alias("shingle"), "doc_id", "text_key", "n_words", "pos")
     rows = stored(rows, "shingles")
     rarity = rows.groupBy("width", "shingle").agg(F.count("*").alias("df"))
     ranked = windows.select("window_id", "n", "width", "run", F.posexplode("run").alias("offset", "shingle")).join(rarity, ["width", "shingle"], "left")

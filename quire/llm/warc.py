@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lookup_skewed, session, shared_dir
+from .common import lookup_skewed, release, session, shared_dir, stored
 
 #: Payloads from this many bytes on are stored as response once and revisited by the other records.
 REVISIT_BYTES = 1000
@@ -36,12 +36,13 @@ def write_archive(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTE
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     each = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), body.alias("payload")).withColumns({"digest": F.sha1("payload"), "n": F.octet_length("payload")})
     each = each.withColumn("strong", F.concat(F.sha2("payload", 256), F.lit(":"), F.col("n").cast("string")))
-    groups = each.groupBy("strong", "digest").agg(F.max("page_id").alias("first"), F.count("*").alias("copies"))
     # Equal addresses mean equal bytes, so any row's payload will do: each task sends one of a payload's copies, however many it has.
     each.groupBy("strong", "digest").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
-    light = each.select("page_id", "url", "digest", "strong", "n")
-    found = lookup_skewed(light, groups.select("strong", "first", "copies"), "strong", "copies", F.coalesce(F.col("page_id"), F.lit(0)))
+    # Payloads are read and hashed once more for this table; all else works on it.
+    light = stored(each.select("page_id", "url", "digest", "strong", "n"), "warc-addresses")
+    groups = stored(light.groupBy("strong").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")), "warc-groups")
+    found = lookup_skewed(light, groups, "strong", "copies", F.coalesce(F.col("page_id"), F.lit(0)))
     revisit = (F.col("n") >= revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("first"))
     header = F.concat(
         F.lit(f"WARC/1.1{EOL}"), _line("WARC-Type", F.when(revisit, "revisit").otherwise("response")), _line("WARC-Record-ID", record_id(F.col("page_id"))), _line("WARC-Date", F.lit(DATE)),
@@ -50,6 +51,7 @@ def write_archive(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTE
         _line("Content-Type", F.lit("text/html; charset=utf-8")), _line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("n").cast("string"))), F.lit(EOL),
     )
     found.select("page_id", "digest", "strong", header.alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
+    release(light, groups)
 
 
 def _field(name: str) -> Column:
@@ -66,7 +68,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     checked = payloads.select("strong", F.octet_length("payload").alias("payload_bytes"), F.sha1("payload").alias("stored_digest"), (F.concat(F.sha2("payload", 256), F.lit(":"), F.octet_length("payload").cast("string")) == F.col("strong")).alias("sound"))
     headers = spark.read.parquet(f"{path}/headers")
     counts = headers.groupBy("strong").agg(F.count("*").alias("copies"))
-    right = counts.join(checked, "strong", "left")
+    right = stored(counts.join(checked, "strong", "left"), "warc-checked")
     rows = lookup_skewed(headers, right, "strong", "copies", F.coalesce(F.col("page_id"), F.lit(0)))
     kind = _field("WARC-Type")
     return rows.select(

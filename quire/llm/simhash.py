@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
+from pyspark.sql.window import Window
 
 from .common import components, lookup_skewed, session, small_side, stored, utf8
 
@@ -60,8 +61,9 @@ def near_components(prints: DataFrame) -> DataFrame:
     """(fp, component) of the distinct fingerprints that have a neighbour at Hamming distance 4 or less.
 
     First every fingerprint meets only the smallest one of each of its cells, so that a thousand variants of a text become one
-    component through as many rows. The full join of the cells then only looks for links between different components: every link
-    is compared, but a dense group emits no quadratic number of pairs.
+    component through as many rows. The full join then only looks for links between different components: cells whose members are
+    all of one, as in dense groups, are left out, so that those neither compare all their members there nor emit all their pairs.
+    The join's exchanges are Spark's own, so that adaptive execution may split a hot cell.
     """
     grid = cells(prints).repartition("cell")
     shared = grid.groupBy("cell").agg(F.min("fp").alias("leader"), F.max("fp").alias("last")).where("leader < last").drop("last")
@@ -69,8 +71,10 @@ def near_components(prints: DataFrame) -> DataFrame:
     first = grid.withColumnRenamed("cell", "c").join(shared.hint("merge"), (F.col("c") == F.col("cell")) & near).select(F.col("fp").alias("u"), F.col("leader").alias("v"))
     part = stored(components(first.distinct()), "parts")
     named = prints.select("fp").join(part.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("part"))
-    named = cells(stored(named, "named-parts"), "part").repartition("cell")
-    a, b = named, named.select(F.col("cell").alias("cell2"), F.col("fp").alias("fp2"), F.col("part").alias("part2"))
+    of_cell = Window.partitionBy("cell")
+    mixed = cells(stored(named, "named-parts"), "part").withColumns({"least": F.min("part").over(of_cell), "last": F.max("part").over(of_cell)}).where("least < last")
+    a = stored(mixed.select("cell", "fp", "part"), "mixed-cells")
+    b = a.select(F.col("cell").alias("cell2"), F.col("fp").alias("fp2"), F.col("part").alias("part2"))
     across = (F.col("cell") == F.col("cell2")) & (F.col("part") < F.col("part2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= DISTANCE)
     more = a.join(b.hint("merge"), across).select(F.col("part").alias("u"), F.col("part2").alias("v")).distinct()
     return components(more.unionByName(part.select(F.col("node").alias("u"), F.col("component").alias("v")))).withColumnRenamed("node", "fp")

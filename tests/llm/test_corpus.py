@@ -221,6 +221,26 @@ def test_line_dedup_query(spark, sf_dir):
     assert {r.doc_id: r.text_sha256 for r in line_dedup.op6_line_dedup(spark, sf_dir).collect()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
 
 
+def test_decontamination_widths(spark):
+    """Items of one to eight words, and longer ones, in texts of few different words, against all windows of all texts."""
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice("ab") + rng.choice("cdef") for _ in range(n))
+    items = [(i, text(rng.choice([1, 2, 3, 4, 5, 6, 8, 13, 15]))) for i in range(60)]
+    docs = [(i, text(rng.randrange(40)) + (" " + rng.choice(items)[1] if i % 3 == 0 else "")) for i in range(80)]
+    windows = [(i, w[k : k + 13]) for i, t in items for w in [t.split()] for k in range(max(len(w) - 12, 1))]
+    want = {}
+    for i, t in docs:
+        w, hit, owners = t.split(), set(), set()
+        for item, run in windows:
+            for k in range(len(w) - len(run) + 1):
+                if w[k : k + len(run)] == run:
+                    hit |= set(range(k, k + len(run)))
+                    owners.add(str(item))
+        want[i] = (len(w), len(hit), len(owners), hashlib.sha256(",".join(sorted(owners)).encode()).hexdigest())
+    got = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in got} == want
+
+
 def test_decontamination_odd_rows(spark, odd_docs, no_docs):
     long = " ".join(f"w{i}" for i in range(40))
     items = spark.createDataFrame([(1, "Same TEXT"), (2, ""), (3, None), (None, "日本 \U0001f600"), (5, long), (6, long), (7, "!!! ???")], "item_id long, text string")

@@ -6,6 +6,7 @@ import html as entities
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,12 +24,20 @@ CAPTION = "data-translated-caption"
 
 _PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z][^\s/>]*(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.DOTALL)
 _ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+)))?")
+_CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);")
 _CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}}
 
 
+def unescape(raw: str, closed: bool = False) -> str:
+    """Character references read as HTML has them, where a semicolon may be missing (``&amp``); closed: as XML has them, the others stay as they stand."""
+    if not closed or "&" not in raw:
+        return entities.unescape(raw)
+    return _CLOSED.sub(lambda m: entities.unescape(m[0]) if m[0][1] == "#" else html5.get(m[0][1:], m[0]), raw)
+
+
 @dataclass
 class Piece:
-    """kind: text, open, close, void, comment, declaration. ``skipped``: inside what stays untranslated."""
+    """kind: text, open, close, void, comment, declaration. ``skipped``: inside what stays untranslated. ``closed``: as in ``unescape``."""
 
     kind: str
     raw: str
@@ -36,14 +45,15 @@ class Piece:
     attrs: dict[str, str] = field(default_factory=dict)
     parent: int = -1
     skipped: bool = False
+    closed: bool = False
 
     @property
     def text(self) -> str:
-        return entities.unescape(self.raw)
+        return unescape(self.raw, self.closed)
 
 
-def parse(page: str | bytes) -> list[Piece]:
-    """The pieces in order; ``parent`` is the place of the element that a piece stands in, -1 at the top."""
+def parse(page: str | bytes, closed: bool = False) -> list[Piece]:
+    """The pieces in order; ``parent`` is the place of the element that a piece stands in, -1 at the top. closed: texts as in ``unescape``."""
     if isinstance(page, bytes):
         page = page.decode("utf-8", "replace")
     pieces: list[Piece] = []
@@ -55,7 +65,7 @@ def parse(page: str | bytes) -> list[Piece]:
         inside = stack[-1] if stack else -1
         skip = inside >= 0 and pieces[inside].skipped
         if raw.startswith("<!--"):
-            pieces.append(Piece("comment", raw, parent=inside, skipped=skip))
+            pieces.append(Piece("comment", raw, parent=inside, skipped=skip, closed=closed))
         elif raw.startswith(("<!", "<?")):
             pieces.append(Piece("declaration", raw, parent=inside, skipped=skip))
         elif raw.startswith("</"):
@@ -78,12 +88,12 @@ def parse(page: str | bytes) -> list[Piece]:
                     end = re.compile(rf"</{local}\s*>", re.IGNORECASE).search(page, at)
                     stop = end.start() if end else len(page)
                     if stop > at:
-                        pieces.append(Piece("text", page[at:stop], parent=stack[-1], skipped=True))
+                        pieces.append(Piece("text", page[at:stop], parent=stack[-1], skipped=True, closed=closed))
                     at = stop
         elif pieces and pieces[-1].kind == "text" and pieces[-1].parent == inside:
             pieces[-1].raw += raw
         else:
-            pieces.append(Piece("text", raw, parent=inside, skipped=skip))
+            pieces.append(Piece("text", raw, parent=inside, skipped=skip, closed=closed))
     return pieces
 
 
@@ -265,18 +275,18 @@ def title_of(pieces: list[Piece]) -> tuple[str, str]:
 NODES = ArrayType(StructType([StructField("node", IntegerType()), StructField("text", StringType())]))
 
 
-@F.pandas_udf(NODES)
-def _nodes(pages: pd.Series) -> pd.Series:
-    def one(page: str | None) -> list[dict]:
-        pieces = parse(page or "")
-        return [{"node": i, "text": pieces[i].text} for i in text_nodes(pieces)]
+def html_units(pages: DataFrame, key: str = "page_id", html: str = "html", closed: bool = False) -> DataFrame:
+    """(key, pos, node, text): the texts of pages by position; node is the place to put a translation back to. closed: texts as in ``unescape``."""
 
-    return pages.map(one)
+    @F.pandas_udf(NODES)
+    def nodes(texts: pd.Series) -> pd.Series:
+        def one(page: str | None) -> list[dict]:
+            pieces = parse(page or "", closed)
+            return [{"node": i, "text": pieces[i].text} for i in text_nodes(pieces)]
 
+        return texts.map(one)
 
-def html_units(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, pos, node, text): the texts of pages by position; node is the place to put a translation back to."""
-    cut = pages.select(key, F.posexplode(_nodes(F.col(html))).alias("pos", "n"))
+    cut = pages.select(key, F.posexplode(nodes(F.col(html))).alias("pos", "n"))
     return cut.select(key, "pos", "n.node", "n.text")
 
 

@@ -33,6 +33,16 @@ def test_html_quirks():
     assert x.startswith("<?xml") and "<br/>" in x and 'xmlns="http://www.w3.org/1999/xhtml"' in x and "<img src='a'/>" in x
 
 
+def test_references_without_semicolon():
+    raw = "a&amp &amp; &ampx; &amp;lt; &#65; &#65 &#x42; &nosuch; &copy"
+    assert H.unescape(raw) == "a& & &x; &lt; A A B &nosuch; ©"
+    assert H.unescape(raw, closed=True) == "a&amp & &ampx; &lt; A &#65 B &nosuch; &copy"
+    pieces = H.parse(f"<p>{raw}</p>", closed=True)
+    assert pieces[1].text == H.unescape(raw, closed=True) and H.serialize(pieces) == f"<p>{raw}</p>"
+    again = H.parse(H.apply(pieces, {1: pieces[1].text}), closed=True)
+    assert again[1].text == pieces[1].text
+
+
 def test_captions():
     out, n = H.with_captions('<p><img src="a"></p><figure><img src="b"/></figure><img src="c">', {"a": "A&", "b": "B"})
     assert n == 2 and out.count("<figcaption") == 2 and 'B</figcaption></figure><img src="c">' in out and "A&amp;</figcaption></figure></p>" in out

@@ -97,9 +97,14 @@ def parse(page: str | bytes, closed: bool = False) -> list[Piece]:
     return pieces
 
 
+def texts_of(pieces: list[Piece], comments: bool = False) -> list[tuple[int, str]]:
+    """Places and texts to translate: inside an element, not skipped, not blank. Comments count only if asked for."""
+    return [(i, text) for i, p in enumerate(pieces) if (p.kind == "text" or comments and p.kind == "comment") and p.parent >= 0 and not p.skipped and (text := p.text).strip()]
+
+
 def text_nodes(pieces: list[Piece], comments: bool = False) -> list[int]:
-    """Places of the texts to translate: inside an element, not skipped, not blank. Comments count only if asked for."""
-    return [i for i, p in enumerate(pieces) if (p.kind == "text" or comments and p.kind == "comment") and p.parent >= 0 and not p.skipped and p.text.strip()]
+    """The places that ``texts_of`` gives."""
+    return [i for i, _ in texts_of(pieces, comments)]
 
 
 def serialize(pieces: list[Piece]) -> str:
@@ -281,8 +286,7 @@ def html_units(pages: DataFrame, key: str = "page_id", html: str = "html", close
     @F.pandas_udf(NODES)
     def nodes(texts: pd.Series) -> pd.Series:
         def one(page: str | None) -> list[dict]:
-            pieces = parse(page or "", closed)
-            return [{"node": i, "text": pieces[i].text} for i in text_nodes(pieces)]
+            return [{"node": i, "text": text} for i, text in texts_of(parse(page or "", closed))]
 
         return texts.map(one)
 
